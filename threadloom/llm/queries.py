@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm import bpe
 from threadloom.llm.common import read
 from threadloom.llm.decontam import decontaminate
 
@@ -37,5 +38,25 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_decontaminate": op8_decontaminate}
+def ranks() -> dict[bytes, int]:
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = ranks()
+    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), known), known)
+    return decoded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
+    "op8_decontaminate": op8_decontaminate,
+}
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
