@@ -294,7 +294,7 @@ def _once(key: str, make):
     return _made[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row."""
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), f"encode {uuid.uuid4().hex}"
 
