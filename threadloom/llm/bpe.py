@@ -58,7 +58,7 @@ def load_ranks(path: str, most: int = 1_000_000) -> dict[bytes, int]:
 class Transducer:
     """Encodes bytes by the merges that ``ranks`` stands for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000, most_pairs: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 170_000, most_pairs: int = 400_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.size_of = {rank: len(token) for token, rank in ranks.items()}
@@ -180,7 +180,7 @@ class Transducer:
 class Encoder:
     """Texts to ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 300_000, most_recent: int = 50_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 220_000, most_recent: int = 30_000) -> None:
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\s", f"[{_SPACE}]").replace("\\S", f"[^{_SPACE}]")).findall
         self.by_runs = pattern == PATTERN
@@ -286,10 +286,9 @@ _LITTLE = Struct("=I").pack(1) == Struct("<I").pack(1)
 
 
 def _once(key: str, make):
-    """What this Python worker has made under ``key``; earlier makes are dropped."""
+    """What this Python worker has made under ``key``. It holds one at a time: a worker may serve either operator."""
     if key not in _made:
-        for old in [k for k in _made if k.split()[0] == key.split()[0]]:
-            del _made[old]
+        _made.clear()
         _made[key] = make()
     return _made[key]
 
