@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, quality_model, quality_rules
+from threadloom.llm import bpe, langid, quality_model, quality_rules, secret_scan, spans
 from threadloom.llm.common import read
 from threadloom.llm.decontam import decontaminate
 
@@ -39,6 +39,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    """Counts of base spans by kind, the hash of the base spans, and all spans, from doc_id and spans."""
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in kinds),
+        F.sha2(spans.joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        spans.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secret_scan.scan(read(spark, sf_dir, "documents")), ["assign", "access", "hex"])
+
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
@@ -82,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
