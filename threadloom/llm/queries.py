@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, quality_model, quality_rules, secret_scan, spans
+from threadloom.llm import bpe, langid, pii, quality_model, quality_rules, secret_scan, spans
 from threadloom.llm.common import read
 from threadloom.llm.decontam import decontaminate
 
@@ -50,6 +50,10 @@ def _span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.detect(read(spark, sf_dir, "documents")), ["email", "ip", "card", "phone"])
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secret_scan.scan(read(spark, sf_dir, "documents")), ["assign", "access", "hex"])
 
@@ -92,6 +96,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
