@@ -193,16 +193,16 @@ def train(
     return LanguageModel(languages, logs.astype(np.float32), shares >= 0.01, penalty)
 
 
-def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", batch_chars: int = 8_000_000) -> DataFrame:
-    """doc_id, lang, score and spans (start, end in code points, lang) of every row."""
+def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, batch_chars: int = 8_000_000) -> DataFrame:
+    """doc_id, predicted, score and spans (start, end in code points, lang) of every row; with ``keep``, those columns as well."""
     shared, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.scripts, model.penalty)), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         own = _model(key, shared)
-        out: dict[str, list] = {"lang": [], "score": [], "spans": []}
+        out: dict[str, list] = {"predicted": [], "score": [], "spans": []}
         for texts in _portions(batch.column(1).to_pylist(), batch_chars):
             for text, (lang, score, spans) in zip(texts, own.spans(texts)):
-                out["lang"].append(lang)
+                out["predicted"].append(lang)
                 out["score"].append(score)
                 if len(spans) > 1:
                     places = [m.span() for m in _WORDS.finditer(text)]
@@ -210,10 +210,12 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
                 else:
                     ends = [(0, len(text), k) for _, _, k in spans]
                 out["spans"].append([{"start": a, "end": b, "lang": own.languages[k]} for a, b, k in ends])
-        return {"doc_id": batch.column(0), **out}
+        return {name: batch.column(2 + k) for k, name in enumerate(names)} | out
 
-    frame = slim(docs, doc_id=doc_id, text=text)
-    return map_rows(frame, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, lang string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run)
+    names = keep or [doc_id]
+    frame = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), *(F.col(f"`{n}`") for n in names))
+    kinds = ", ".join(f"`{n}` {frame.schema[n].dataType.simpleString()}" for n in names)
+    return map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run)
 
 
 _models: dict[str, LanguageModel] = {}

@@ -108,14 +108,14 @@ def _of_kind(order: int, kind: Kind, text: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, candidates of every row; others that overlap a base candidate are left out."""
-    frame = slim(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
+def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, text, candidates (and the columns ``keep``) of every row; others that overlap a base candidate are left out."""
+    frame = slim(docs, doc_id=doc_id, text=text, **{k: k for k in keep}).select("doc_id", *keep, F.col("text").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
     base = F.concat(*(_of_kind(n, k, F.col("text")) for n, k in enumerate(KINDS) if k.base))
     more = F.concat(*(_of_kind(n, k, F.col("text")) for n, k in enumerate(KINDS) if not k.base))
-    frame = frame.select("doc_id", "given", base.alias("base"), more.alias("more"))
+    frame = frame.select("doc_id", *keep, "given", base.alias("base"), more.alias("more"))
     free = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return frame.select("doc_id", F.col("given").alias("text"), F.concat("base", F.when(F.size("more") > 0, free).otherwise(F.col("more"))).alias("candidates"))
+    return frame.select("doc_id", *keep, F.col("given").alias("text"), F.concat("base", F.when(F.size("more") > 0, free).otherwise(F.col("more"))).alias("candidates"))
 
 
 def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -168,9 +168,9 @@ def train(found: DataFrame) -> dict[str, float]:
     return classifier(counts, estimate(counts)) if counts else {}
 
 
-def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text and spans (kind, order, start, end, base, score) of every row."""
-    found = candidates(docs, doc_id, text)
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, text, spans (kind, order, start, end, base, score) and the columns ``keep`` of every row."""
+    found = candidates(docs, doc_id, text, keep)
     weights = train(found)
 
     def score(s: Column) -> Column:
@@ -184,7 +184,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         return 1 / (1 + F.exp(-logit))
 
     scored = F.transform("candidates", lambda s: F.struct(s["kind"].alias("kind"), s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), score(s).alias("score")))
-    return found.select("doc_id", "text", F.filter(scored, lambda s: s["base"] | (s["score"] >= 0.5)).alias("spans"))
+    return found.select("doc_id", "text", *keep, F.filter(scored, lambda s: s["base"] | (s["score"] >= 0.5)).alias("spans"))
 
 
 def redact(text: Column, found: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, langid, neardup, pii, quality_model, quality_rules, secret_scan, spans, substring_dedup
+from threadloom.llm import bpe, chat, langid, neardup, pii, quality_model, quality_rules, secret_scan, spans, substring_dedup
 from threadloom.llm.common import read
 from threadloom.llm.decontam import decontaminate
 
@@ -28,6 +28,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    parsed = chat.parse(chat.transcripts(conversations).select("conv_id", "part", "transcript"), chat.train(conversations), "transcript")
+    return parsed.select(
+        "conv_id",
+        "part",
+        F.size("parsed").cast("bigint").alias("n_turns"),
+        F.array_join(F.transform("parsed", lambda t: t["role"]), ",").alias("roles"),
+        F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = quality_model.score(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
@@ -84,7 +96,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
-    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("predicted").alias("lang_pred"), "score")
 
 
 def ranks() -> dict[bytes, int]:
@@ -111,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_chat_format": op7_chat_format,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
