@@ -1,0 +1,3 @@
+"""Plans: the registered queries. Importing this package fills the registry."""
+
+from threadloom.plans import core_queries  # noqa: F401
