@@ -16,9 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_right
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -53,36 +51,37 @@ class LanguageModel:
 
     def __post_init__(self) -> None:
         self.words: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def _word(self, word: str) -> int:
-        """The row of a word in the table of scores, made when first met."""
-        n = self.words[word] = len(self.words)
-        if n >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        found = _LETTERS.findall(word)
-        score, letters = 0.0, 0
-        for letters_only in found:
-            lower = letters_only.lower()
-            letters += len(letters_only)
-            used = self.scripts[script_of(lower)]
-            if used.any():
-                own = self.grams[buckets_of(lower, len(self.grams))].sum(0)
-                score = score + np.where(used, own, own.min() - 50)
-        self.table[n], self.letters[n] = score, letters
-        return n
-
-    def rows(self, text: str) -> np.ndarray:
-        get, make = self.words.get, self._word
-        return np.fromiter([i if (i := get(w)) is not None else make(w) for w in text.split()], np.int64)
+        self.table = np.zeros((0, len(self.languages)), np.float32)
+        self.letters = np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Scores words not met before, all at once, and gives each a row in the table."""
+        bare = [w if w.isalpha() else "".join(_LETTERS.findall(w)) for w in words]
+        grams, owner, far = gram_buckets([w.lower() for w in bare], len(self.grams))
+        scores = np.stack([np.bincount(owner, self.grams[grams, k], len(words)) for k in range(len(self.languages))], 1)
+        used = self.scripts[scripts_of(far)]
+        known = used.any(1) & np.fromiter(map(bool, bare), bool, len(bare))
+        scores = np.where(used, scores, scores.min(1, keepdims=True) - 50)
+        scores[~known] = 0
+        at = len(self.words)
+        self.words.update(zip(words, range(at, at + len(words))))
+        self.table = np.concatenate([self.table, scores.astype(np.float32)])
+        self.letters = np.concatenate([self.letters, np.fromiter(map(len, bare), np.int64, len(bare))])
+
+    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The table rows of each text's words."""
+        split = [t.split() if t and self.languages else [] for t in texts]
+        new = set().union(*split) - self.words.keys()
+        if new:
+            self.learn(sorted(new))
+        find = self.words.__getitem__
+        return [np.fromiter(map(find, words), np.int64, len(words)) for words in split]
 
     def spans(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, int]]]]:
         """Language, score and (first word, end, language number) spans of each text; all texts step through together."""
         if len(self.words) > self.most_words:
             self.__post_init__()
-        rows = [self.rows(t) if t and self.languages else np.zeros(0, np.int64) for t in texts]
+        rows = self.rows(texts)
         order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
         sizes = np.array([len(rows[k]) for k in order], np.int64)
         steps = int(sizes[0]) if len(sizes) else 0
@@ -131,16 +130,34 @@ class LanguageModel:
         return out
 
 
-def script_of(word: str) -> int:
-    """The script of a word's first letter beyond the basic Latin ones, if any."""
-    far = max(word)
-    return _NAMES.index(_SCRIPTS[bisect_right(_STARTS, ord(far)) - 1][1])
-
-
-def buckets_of(word: str, buckets: int) -> list[int]:
-    """The buckets of a lower-case word's n-grams: two, three and four characters, word ends marked."""
-    data = f"<{word}>"
-    return [crc32(data[k : k + n].encode("utf-8", "surrogatepass")) % buckets for n in (2, 3, 4) for k in range(len(data) - n + 1)]
+def gram_buckets(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-case words: the bucket of every n-gram (two, three and four characters, word ends marked), the number of the
+    word it belongs to, and each word's highest code point."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chars = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    far = np.maximum.reduceat(chars, np.cumsum(sizes) - sizes).astype(np.int64)
+    found, own = [], []
+    for n in (2, 3, 4):
+        count = len(chars) - n + 1
+        if count <= 0:
+            continue
+        hashed = np.full(count, n, np.uint64)
+        for k in range(n):
+            hashed = (hashed ^ chars[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> np.uint64(29)
+        whole = owner[:count] == owner[n - 1 :]
+        found.append((hashed[whole] % np.uint64(buckets)).astype(np.int64))
+        own.append(owner[:count][whole])
+    return np.concatenate(found), np.concatenate(own), far
+
+
+def scripts_of(far: np.ndarray) -> np.ndarray:
+    """The scripts of code points: a word has that of its highest one."""
+    by_range = np.array([_NAMES.index(name) for _, name in _SCRIPTS])
+    return by_range[np.searchsorted(_STARTS, far, side="right") - 1]
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -169,12 +186,17 @@ def train(
     )
 
     def count(batch: pa.RecordBatch) -> dict[str, object]:
-        counts: dict[tuple[str, int], int] = {}
+        out: dict[str, list] = {"lang": [], "bucket": [], "n": []}
+        by_lang: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for word in _LETTERS.findall(text.lower()):
-                for key in [*buckets_of(word, buckets), -1 - script_of(word)]:
-                    counts[lang, key] = counts.get((lang, key), 0) + 1
-        return {"lang": [k[0] for k in counts], "bucket": [k[1] for k in counts], "n": list(counts.values())}
+            by_lang.setdefault(lang, []).extend(_LETTERS.findall(text.lower()))
+        for lang, words in by_lang.items():
+            grams, _, far = gram_buckets(words, buckets)
+            keys, n = np.unique(np.concatenate([grams, -1 - scripts_of(far)]) if words else grams, return_counts=True)
+            out["lang"] += [lang] * len(keys)
+            out["bucket"] += keys.tolist()
+            out["n"] += n.tolist()
+        return out
 
     counted = map_rows(sample, "lang string, bucket bigint, n bigint", count).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.collect()  # at most buckets + scripts rows a language
