@@ -85,9 +85,12 @@ def token_set(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams; a shorter text is its own; an empty one has none."""
-    flat = collapse(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1))), lambda i: F.substr(flat, i, F.lit(n))))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(grams)
+
+    def of(flat: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - n + 1, F.lit(1))), lambda i: F.substr(flat, i, F.lit(n)))
+        return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    return F.transform(F.array(collapse(text)), of)[0]  # the text is normalised once, not for every position
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -77,4 +77,4 @@ def greedy_freeze(candidates: DataFrame, n: int, seed: str, most: int = 2000) ->
             bins.add(best[2])
         return pd.DataFrame({"id": chosen, "position": range(1, len(chosen) + 1)})
 
-    return pool.groupBy(F.lit(0)).applyInPandas(pick, "id bigint, position bigint")
+    return pool.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(pick, "id bigint, position bigint")

@@ -146,8 +146,8 @@ def decontaminate_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAIRS = f"""n AS (SELECT doc_id AS id, {SPLIT_OF} AS split, {LEAK.format('text')} AS t FROM documents WHERE n_chars <= 3000),
- g AS (SELECT id, split, CASE WHEN t = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(t) - 3, 2)), i -> substr(t, i, 5))) END AS grams FROM n),
- s AS (SELECT id, split, len(grams) AS n, unnest(list_sort(list_transform(grams, x -> md5(x)))[1:12]) AS h FROM g), u AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 250),
+ g AS (SELECT id, split, CASE WHEN t = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) END AS grams FROM n),
+ s AS (SELECT id, split, len(grams) AS n, unnest(list_sort(list_transform(grams, lambda x: md5(x)))[1:12]) AS h FROM g), u AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 250),
  c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y USING (h) WHERE h IN (SELECT h FROM u) AND x.id < y.id AND x.split <> y.split AND least(x.n, y.n) >= 0.92::DOUBLE * greatest(x.n, y.n)),
  pairs AS (SELECT * FROM (SELECT a, b, round(len(list_intersect(x.grams, y.grams))::DOUBLE / (len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams))), 8) AS similarity FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b) WHERE similarity >= 0.92)"""
 
@@ -195,7 +195,7 @@ _WHOLE = lambda i: " + ".join(f"regexp_matches(lower(text), '(^|[^a-z0-9]){s}($|
  c AS (SELECT *, top = 0 OR top = sec AS unsure, CASE WHEN top = 0 THEN 0.20 WHEN top = sec THEN 0.35 ELSE round(least(0.94::DOUBLE, 0.54::DOUBLE + 0.12::DOUBLE * top + 0.06::DOUBLE * (top - sec)), 2) END::DOUBLE AS conf FROM q)
  SELECT doc_id, CASE WHEN unsure THEN 'UNSURE' ELSE name END AS suggested_intent, conf AS intent_confidence, CASE WHEN unsure OR sens OR act >= 3 OR name = 'other' THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS suggested_action,
  array_to_string(list_filter([CASE WHEN top > 0 AND top = sec THEN 'INTENT_TIE' END, CASE WHEN tk <= 5 THEN 'LOW_CONTEXT' END, CASE WHEN conf < 0.6 THEN 'LOW_INTENT_CONFIDENCE' END, CASE WHEN NOT unsure AND act > 1 THEN 'MULTI_INTENT_SIGNAL' END,
- CASE WHEN top = 0 THEN 'NO_TAXONOMY_SIGNAL' END, CASE WHEN (top > 0 AND top = sec) OR (NOT unsure AND act > 1 AND top - sec <= 1) THEN 'TAXONOMY_BOUNDARY' END], x -> x IS NOT NULL), '|') AS flags FROM c""")
+ CASE WHEN top = 0 THEN 'NO_TAXONOMY_SIGNAL' END, CASE WHEN (top > 0 AND top = sec) OR (NOT unsure AND act > 1 AND top - sec <= 1) THEN 'TAXONOMY_BOUNDARY' END], lambda x: x IS NOT NULL), '|') AS flags FROM c""")
 def provisional_labels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", *(c.alias(n) for n, c in taxonomy.label(F.col("text"), WHOLE, SENSITIVE).items()))
