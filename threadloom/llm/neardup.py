@@ -145,5 +145,5 @@ def near_duplicates(
             found = components(links)
         centres *= 8
     result = base.join(classes, "print", "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
