@@ -34,7 +34,7 @@ def overall(classes: DataFrame, cells: DataFrame, gold: str = "gold", pred: str
 def action_metrics(rows: DataFrame, gold: Column, pred: Column) -> DataFrame:
     """Escalation as the positive class; ``gold`` and ``pred`` are true for escalate."""
     r = rows.select(gold.alias("g"), pred.alias("p"))
-    c = r.agg(F.count("*").alias("n"), F.count_if("g and p").alias("tp"), F.count_if("not g and p").alias("fp"), F.count_if("g and not p").alias("fn"), F.count_if("not g and not p").alias("tn"))
+    c = r.agg(F.count("*").alias("n"), F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("not g and p")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"), F.count_if(F.expr("not g and not p")).alias("tn"))
     x = lambda a, b: F.round(ratio(a, b), 8)
     tp, fp, fn, tn, n = (F.col(k) for k in ("tp", "fp", "fn", "tn", "n"))
     return c.select("n", "tp", "fp", "fn", "tn", x(tp, tp + fp).alias("precision"), x(tp, tp + fn).alias("recall"), x(2 * tp, 2 * tp + fp + fn).alias("f1"), x(fp, fp + tn).alias("false_escalation"), x(fn, tp + fn).alias("missed_escalation"), x(fn, fn + tn).alias("unsafe_auto"), x(fn + tn, n).alias("coverage"))
