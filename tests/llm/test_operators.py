@@ -112,7 +112,7 @@ def test_near_duplicates_find_chains_within_a_bucket(spark):
         base[step * 6 : step * 6 + 2] = [f"s{step}a", f"s{step}b"]
     rows = list(enumerate(chain))
     expected = components(rows, 3, 85)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, share=85, centres=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, share=85).collect()}
     assert got == expected
 
 

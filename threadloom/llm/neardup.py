@@ -5,9 +5,9 @@ member stands for it. A single pass of hashing fills ``bins`` bins with their sm
 that its own pseudo-random order reaches first. ``bins / rows`` bands of bins give the bucket keys.
 
 Candidates of a bucket are a star: its smallest id with every other. Links are confirmed on full sets, and components are
-found by alternating stars. Buckets that still hold several components are taken up again: each member outside the bucket's
-largest component becomes a centre in turn, a few per round and more each time, until none is left. So every pair of
-different components that share a bucket is compared, while a group of copies costs a star and not its square.
+found by alternating stars. The members of buckets that still hold several components are taken up again: an exact prefix
+filter over their rarest shingles proposes the pairs of different components that could still be alike. So no link between
+documents that share a bucket is lost, while a group of copies costs a star and not its square.
 
 Two documents at the threshold share no bucket with a probability of (1 - similarity ** rows) ** bands: below 1e-7 here.
 
@@ -93,6 +93,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, share: int) -> D
     return map_rows(both, f"a {kind}, b {kind}", run)
 
 
+def across(nodes: DataFrame, texts: DataFrame, shingle: int, share: int) -> DataFrame:
+    """Pairs (a, b) of different components that could be alike, from nodes (node, n, own): none that is alike is left out.
+
+    Two alike sets share one of each one's rarest shingles, as many as a set may lack and one more. A shingle that only one
+    node has cannot be shared, which bounds the intersection from above; near misses around one text fail this bound.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        columns = {name: batch.column(k) for k, name in enumerate(("node", "n", "own"))}
+        return columns | {"grams": [shingle_set(t, shingle).view(np.int64) for t in batch.column(3).to_pylist()]}
+
+    joined = nodes.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("node", "n", "own", "text")
+    grams = map_rows(joined, f"node {kind}, n bigint, own {kind}, grams array<bigint>", run).select("node", "n", "own", F.explode("grams").alias("gram")).distinct()
+    counts = grams.groupBy("gram").agg(F.count("*").alias("seen"))
+    ranked = grams.join(counts, "gram")
+    single = F.sum(F.when(F.col("seen") == 1, 1).otherwise(0)).over(Window.partitionBy("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("seen", "gram"))  # a partition is one text
+    ranked = ranked.withColumn("most", F.col("n") - single).withColumn("place", place)
+    prefix = written(ranked.where(f"seen > 1 AND place <= n - ceil({share} * n / 100) + 1 AND 100 * most >= {share} * n").select("gram", "node", "n", "own", "most"))
+    other = prefix.select("gram", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "own", "most")))
+    bound = f"own < other_own AND 100 * least(most, other_most) >= {share} * (n + other_n - least(most, other_most))"
+    pairs = prefix.join(other, "gram").where(bound)
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -101,7 +127,6 @@ def near_duplicates(
     share: int = 80,
     bins: int = 128,
     rows: int = 4,
-    centres: int = 8,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``share`` is the least similarity in hundredths."""
     frame = slim(docs, doc_id=doc_id, text=text)
@@ -118,32 +143,15 @@ def near_duplicates(
     tried = written(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     links = written(confirmed(tried, frame, shingle, share))
     found = components(links)
-    served = None
-    while True:
-        own = F.coalesce("component", "node").alias("own")
-        placed = member.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", own)
-        open_keys = placed.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
-        mixed_rows = written(placed.join(open_keys, "key", "left_semi").distinct())
-        groups = mixed_rows.groupBy("key", "own").agg(F.count("*").alias("size"))
-        largest = groups.groupBy("key").agg(F.max(F.struct("size", "own")).alias("top")).select("key", F.col("top.own").alias("top"))
-        waiting = mixed_rows.join(groups, ["key", "own"]).join(largest, "key").where("own <> top")
-        if served is not None:
-            waiting = waiting.join(served, ["key", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("size", F.xxhash64("node"), "node"))
-        now = written(waiting.withColumn("turn", turn).where(F.col("turn") <= centres).select("key", "node", F.col("n").alias("rep_n"), "own"))
-        if now.isEmpty():
-            break
-        served = now.select("key", "node") if served is None else written(served.unionByName(now.select("key", "node")))
-        other = now.select("key", F.col("node").alias("rep"), "rep_n", F.col("own").alias("rep_own"))
-        pairs = mixed_rows.join(other, "key").where((F.col("own") != F.col("rep_own")) & near)
-        pairs = pairs.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"))
+    own = F.coalesce("component", "node").alias("own")
+    placed = member.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", own)
+    open_keys = placed.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
+    unsettled = written(placed.join(open_keys, "key", "left_semi").select("node", "n", "own").distinct())
+    if not unsettled.isEmpty():
+        fresh = written(across(unsettled, frame, shingle, share).join(tried, ["a", "b"], "left_anti"))
         new = written(confirmed(fresh, frame, shingle, share))
-        tried = written(tried.unionByName(fresh))
         if not new.isEmpty():
-            links = written(links.unionByName(new))
-            found = components(links)
-        centres *= 8
+            found = components(links.unionByName(new))
     result = base.join(classes, "print", "left").join(found, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
