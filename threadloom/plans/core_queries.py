@@ -172,6 +172,18 @@ def decontaminate_near(spark: SparkSession, d: str) -> DataFrame:
     return splits.decontaminate_near(assigned, _near(spark, d))
 
 
+# The two queries above read only short documents, as their SQL does. These two read all documents.
+@query("near_duplicate_pairs_whole", None)
+def near_duplicate_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return splits.near_pairs(split_docs(spark, d), "doc_id")
+
+
+@query("decontaminate_near_whole", None)
+def decontaminate_near_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = split_docs(spark, d)
+    return splits.decontaminate_near(docs.select(F.col("doc_id").alias("id"), "split"), splits.near_pairs(docs, "doc_id"))
+
+
 @query("sanitize_text", r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '@[A-Za-z0-9_]+', '<HANDLE>', 'g'), '[0-9]{7,}', '<NUMBER>', 'g'), '\s+', ' ', 'g'), ' ')) AS clean_hash FROM documents""")
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(tx.sanitize_public(F.col("text")), 256).alias("clean_hash"))
