@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
+from threadloom.llm import quality_rules
 
 
 def say(rng: random.Random, n: int) -> str:
@@ -42,3 +45,11 @@ def test_long_documents_are_compared(spark, tmp_path):
     scored = sorted((-jaccard(bag, set(item.split())), k) for k, bag in enumerate(bags) if bag & set(item.split()))[:3]
     assert [(r.doc_id, r.similarity) for r in sorted(run(spark, "benchmark_similarity_whole", d), key=lambda r: (-r.similarity, r.doc_id))] == [(k, -s) for s, k in scored]
     assert scored[0][1] == 5
+
+
+def test_every_good_label_is_trusted(spark):
+    """Where all documents are labelled 1, both multinomials are the same, so that every ratio is 0; 5,200 is more than the former limit."""
+    docs = spark.range(5200).selectExpr("id AS doc_id", "concat('word', id, ' and ', id % 7) AS text")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    scored = quality_rules.apply_rules(docs, labels.unionAll(labels.where("doc_id < 9")), buckets=1 << 10)
+    assert [tuple(r) for r in scored.select("score").distinct().collect()] == [(0.0,)]

@@ -1,11 +1,11 @@
 """Quality rules in DataFrame functions alone: base counts, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word unigrams and bigrams are counted: one over every document (the raw corpus), one over
-trusted documents (a bounded, hash-chosen set of ids labelled as good, at most ``trusted_rows``, which is what is
-broadcast). A document's score is the mean log ratio of its n-grams; it is kept if no base rule fails and the score
+trusted documents (every document whose id is labelled as good). A document's score is the mean log ratio of its n-grams; it is kept if no base rule fails and the score
 reaches a fixed threshold. The ratios are one array of ``buckets`` doubles, a scalar subquery of the scoring query.
 
-Every count is over whole texts and all documents, and no text is shuffled. Three-word windows are compared by 64-bit
+Every count is over whole texts and all documents. Only the semi join of documents and good labels may shuffle texts; it
+drops null ids first, and AQE splits its skewed partitions. Three-word windows are compared by 64-bit
 hashes within one document.
 
 Cases: null texts have no words and fail the base rules; empty tables give empty results; without trusted documents every
@@ -78,12 +78,15 @@ def ngram_buckets(tokens: Column, buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row with ``ratios``, an array of log(p trusted / p raw) by bucket. ``trusted`` has distinct ids, ``doc_id``."""
+    """One row with ``ratios``, an array of log(p trusted / p raw) by bucket. ``trusted`` has ids, ``doc_id``."""
     frame = slim(docs, doc_id=doc_id, text=text)
-    marked = frame.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")
-    marked = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    grams = marked.select("trusted", F.explode(ngram_buckets(F.col("tokens"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
+
+    def grams(rows: DataFrame, trusted: int) -> DataFrame:
+        tokens = rows.select(words(F.coalesce("text", F.lit(""))).alias("tokens"))
+        return tokens.select(F.lit(trusted).alias("trusted"), F.explode(ngram_buckets(F.col("tokens"), buckets)).alias("bucket"))
+
+    both = grams(frame, 0).unionAll(grams(frame.join(trusted, "doc_id", "left_semi"), 1))
+    counts = both.groupBy("bucket").agg(F.count_if(F.col("trusted") == 0).alias("raw"), F.sum("trusted").alias("target"))
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
     table = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("t"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
@@ -95,10 +98,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, doc_id: str =
     )
 
 
-def trusted_ids(labels: DataFrame, trusted_rows: int, doc_id: str = "doc_id", good: str = "quality") -> DataFrame:
-    """At most ``trusted_rows`` distinct ids labelled 1, chosen by hash."""
+def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", good: str = "quality") -> DataFrame:
+    """The ids labelled 1."""
     frame = slim(labels, doc_id=doc_id, good=good)
-    return frame.where((F.col("good") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(trusted_rows)
+    return frame.where((F.col("good") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
 def apply_rules(
@@ -110,10 +113,9 @@ def apply_rules(
     most_repeated: int = 50,
     threshold: float = -0.5,
     buckets: int = 1 << 16,
-    trusted_rows: int = 5000,
 ) -> DataFrame:
     """doc_id, base counts, base_failed, score (mean log ratio, 0 without n-grams) and kept of every row."""
-    ratios = log_ratios(docs, trusted_ids(labels, trusted_rows), buckets, doc_id, text).scalar()
+    ratios = log_ratios(docs, trusted_ids(labels), buckets, doc_id, text).scalar()
     # The optimizer folds this column into the sum below; it is never written out row by row.
     counted = base_counts(docs, doc_id, text).withColumn("ratios", ratios)
     total = F.aggregate(ngram_buckets(F.col("tokens"), buckets), F.lit(0.0), lambda a, b: a + F.get("ratios", b))
