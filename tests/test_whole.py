@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from threadloom.llm import quality_rules
+from threadloom.llm import langid, quality_rules
 
 
 def say(rng: random.Random, n: int) -> str:
@@ -53,3 +53,13 @@ def test_every_good_label_is_trusted(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     scored = quality_rules.apply_rules(docs, labels.unionAll(labels.where("doc_id < 9")), buckets=1 << 10)
     assert [tuple(r) for r in scored.select("score").distinct().collect()] == [(0.0,)]
+
+
+def test_every_labelled_language_is_learned(spark):
+    """A rare language among many rows without a label, a frequent one, and one that has only a long text."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "'lorem ipsum dolor' AS text", "CASE WHEN id % 2 = 0 THEN 'la' END AS lang")
+    rare = spark.createDataFrame([(k, t, lang) for k in range(20_000, 20_010) for t, lang in [("ein kleines Haus", "de"), ("une petite maison " * 1200, "fr")]], rows.schema)
+    model = langid.train(rows.unionAll(rare), sample_rows=20)
+    assert model.languages == ["de", "fr", "la"]
+    only = langid.train(rows.select("doc_id", "text", F.when(F.col("doc_id") == 4, "la").alias("lang")).where("doc_id <> 0"), sample_rows=20)
+    assert only.languages == ["la"]

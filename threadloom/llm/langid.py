@@ -3,8 +3,9 @@
 Script ranges narrow the languages that a word may have; hashed character n-grams score it for each of them; Viterbi over
 the words, with a penalty for every switch, labels spans. A document's language is the one with most letters.
 
-The model is fitted on a bounded sample: about ``sample_rows`` labelled rows, chosen by a hash of the id among texts of at
-most ``sample_chars`` characters, each counted whole. What is collected is a table of ``buckets`` counts per language.
+The model is fitted on a bounded sample: each language has an equal share of ``sample_rows``, at least ``least_rows``, and
+gives all its labelled rows up to that, or about that many, chosen by a hash of the id; no language is without a row. Each
+text is counted whole, in portions of words. What is collected is a table of ``buckets`` counts per language.
 Everything that is scored is scored whole.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from, all are; rows with a
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +172,7 @@ def train(
     text: str = "text",
     lang: str = "lang",
     sample_rows: int = 4000,
-    sample_chars: int = 20_000,
+    least_rows: int = 50,
     buckets: int = 1 << 16,
     penalty: float = 12.0,
     most_languages: int = 200,
@@ -178,31 +180,33 @@ def train(
     """Fits the model on a sample of the labelled rows that are not held out."""
     frame = slim(docs, doc_id=doc_id, text=text, lang=lang)
     labelled = frame.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = frame.count()
     parts = 1 << 30
-    sample = labelled.where(
-        (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(parts)) < int(parts * min(1.0, sample_rows / max(1, total))) + 1)
-        & (F.length("text") <= sample_chars)
-    )
+    labelled = labelled.withColumn("place", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(parts)))
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).limit(most_languages + 1).collect()
+    if len(known) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; the model may have {most_languages}")
+    quota = max(least_rows, sample_rows // max(1, len(known)))
+    # The first row of a language is always learned.
+    limits = [F.when(F.col("lang") == r.lang, F.lit(max(r.first, int(parts * min(1.0, quota / r.n))))) for r in known]
+    sample = labelled.where(F.col("place") <= F.coalesce(*limits, F.lit(-1))).drop("place")
 
     def count(batch: pa.RecordBatch) -> dict[str, object]:
         out: dict[str, list] = {"lang": [], "bucket": [], "n": []}
         by_lang: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            by_lang.setdefault(lang, []).extend(_LETTERS.findall(text.lower()))
-        for lang, words in by_lang.items():
-            grams, _, far = gram_buckets(words, buckets)
-            keys, n = np.unique(np.concatenate([grams, -1 - scripts_of(far)]) if words else grams, return_counts=True)
-            out["lang"] += [lang] * len(keys)
-            out["bucket"] += keys.tolist()
-            out["n"] += n.tolist()
+            by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            for words in batched((m.group() for text in texts for m in _LETTERS.finditer(text.lower())), 200_000):
+                grams, _, far = gram_buckets(list(words), buckets)
+                keys, n = np.unique(np.concatenate([grams, -1 - scripts_of(far)]), return_counts=True)
+                out["lang"] += [lang] * len(keys)
+                out["bucket"] += keys.tolist()
+                out["n"] += n.tolist()
         return out
 
     counted = map_rows(sample, "lang string, bucket bigint, n bigint", count).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.collect()  # at most buckets + scripts rows a language
     languages = sorted({r.lang for r in rows})
-    if len(languages) > most_languages:
-        raise ValueError(f"{len(languages)} languages; the model may have {most_languages}")
     grams = np.full((buckets, len(languages)), 0.2)
     scripts = np.zeros((len(_NAMES), len(languages)))
     for r in rows:
