@@ -2,8 +2,8 @@
 
 Each stage takes all documents that its predecessor kept and returns those that it keeps, with the columns of documents; the
 last returns token ids. Language identification rejects texts without any identifiable language. Of each group of
-near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest id stays. Documents with any benchmark window
-go. Personal data are replaced by their kinds. Rows with a null id pass the stages that compare documents; of rows with the same id and text one stays.
+near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest id stays. Rows with any benchmark window
+go, whatever their id. Personal data are replaced by their kinds. Rows with a null id pass the stage that compares documents; of rows with the same id and text one stays.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.select("doc_id", (F.col("n_hit") == 0).alias("keep")))
+    found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=["lang", "source", "n_chars"])
+    return found.where("n_hit = 0").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

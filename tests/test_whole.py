@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
+import corpus_pipeline
 from threadloom.llm import langid, quality_rules
 
 
@@ -63,3 +64,12 @@ def test_every_labelled_language_is_learned(spark):
     assert model.languages == ["de", "fr", "la"]
     only = langid.train(rows.select("doc_id", "text", F.when(F.col("doc_id") == 4, "la").alias("lang")).where("doc_id <> 0"), sample_rows=20)
     assert only.languages == ["la"]
+
+
+def test_pipeline_judges_each_row_by_its_own_text(spark, tmp_path):
+    rng = random.Random(3)
+    item, clean = say(rng, 40), say(rng, 40)
+    docs = spark.createDataFrame([(1, clean, "en", "s", 7), (1, "x " + item, "en", "s", 8), (None, item, "en", "s", 9), (None, clean, "de", "t", None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(1, clean, "en", "s", 7), (None, clean, "de", "t", None)}

@@ -71,7 +71,7 @@ def _automaton(key: str, patterns: list[tuple[str, list[str]]]):
     return _automata[key]
 
 
-def _scan(docs: DataFrame, patterns: list[tuple[str, list[str]]], key: str) -> DataFrame:
+def _scan(docs: DataFrame, patterns: list[tuple[str, list[str]]], key: str, kinds: list[str]) -> DataFrame:
     """Adds the numbers of hit words and the items found to what earlier blocks have found."""
     shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
@@ -95,10 +95,10 @@ def _scan(docs: DataFrame, patterns: list[tuple[str, list[str]]], key: str) -> D
             out["n_words"].append(len(words))
             out["hits"].append(hits)
             out["items"].append(items)
-        return {"doc_id": batch.column(0), "text": texts, **out}
+        return {"doc_id": batch.column(0), "text": texts, **out} | {f"_{k}": batch.column(5 + k) for k in range(len(kinds))}
 
     patterns_exist = bool(patterns)
-    return map_rows(docs, _SCANNED, scan)
+    return map_rows(docs, _SCANNED + "".join(f", _{k} {kind}" for k, kind in enumerate(kinds)), scan)
 
 
 def decontaminate(
@@ -110,26 +110,37 @@ def decontaminate(
     item_text: str = "text",
     window: int = 10,
     block_windows: int = 200_000,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """For each document row: doc_id, n_words, n_hit, items (sorted ids), spans (start and end of each hit run, code points)."""
+    """For each document row: doc_id, n_words, n_hit, items (sorted ids), spans (start and end of each hit run, code points);
+    with ``keep``, text and those columns as well."""
+    names = keep or []
+    kinds = [docs.schema[n].dataType.simpleString() for n in names]
     windows = item_windows(slim(items, item=item_id, text=item_text).withColumn("item", F.col("item").cast("string")), window)
     grouped = windows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("owners"))
     total = grouped.count()
     blocks = max(1, -(-total // block_windows))
-    found = slim(docs, doc_id=doc_id, text=text).select(
+    found = slim(docs, doc_id=doc_id, text=text, **{f"_{k}": n for k, n in enumerate(names)}).select(
         "doc_id",
         "text",
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
+        *(f"_{k}" for k in range(len(names))),
     )
     block = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
     for k in range(blocks):
         rows = (grouped if blocks == 1 else grouped.where(block == k)).collect()
         if k:
             found = written(found)
-        found = _scan(found, sorted((r.pattern, list(r.owners)) for r in rows), uuid.uuid4().hex)
-    return map_rows(found, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>", _located)
+        found = _scan(found, sorted((r.pattern, list(r.owners)) for r in rows), uuid.uuid4().hex, kinds)
+    own = "" if keep is None else "text string, " + "".join(f"`{n}` {kind}, " for n, kind in zip(names, kinds))
+
+    def located(batch: pa.RecordBatch) -> dict[str, object]:
+        passed = {} if keep is None else {"text": batch.column(1)} | {n: batch.column(5 + k) for k, n in enumerate(names)}
+        return passed | _located(batch)
+
+    return map_rows(found, f"doc_id bigint, {own}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>", located)
 
 
 def _located(batch: pa.RecordBatch) -> dict[str, object]:
