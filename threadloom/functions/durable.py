@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share: in ``spark.checkpoint.dir``, else in the warehouse.
+
+    Everything there may be deleted once the application has ended.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top}/threadloom-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder that all machines share: cuts the lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="threadloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    path, schema = f"{path}/threadloom-{uuid.uuid4().hex}", df.schema
+    path, schema = f"{shared_dir(spark)}/{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
