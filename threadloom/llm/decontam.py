@@ -4,32 +4,34 @@ Every item gives windows of ``window`` consecutive words (one shorter window if
 the automaton's patterns; each document is normalised and scanned once, and matches are mapped back through word
 numbers to code-point offsets of the original text.
 
-The automaton is sent to the executors in blocks of at most ``block_windows`` windows, so what is broadcast has a fixed
-bound whatever the benchmark's size. One block is the usual case and needs no shuffle at all. Further blocks scan the
-documents again, one after the other, with a table written between them.
+The automaton is sent to the executors in blocks of about ``block_windows`` pairs of a window and an item that has it, so
+that what is broadcast has a fixed bound whatever the benchmark's size, and however many items share a window. One block is
+the usual case and needs no shuffle at all. With several, the documents are written once with row numbers, each block reads
+their texts, and only rows that it hits are gathered by row number.
 
 Cases: null texts and texts without words have no words and are never hit; null item ids hit words but are not listed;
-repeated rows are scanned row by row; empty tables give empty results; columns beside the named ones are ignored.
+repeated rows are scanned row by row; ids may have any type; texts of any length are scanned whole; empty tables give empty
+results; columns beside the named ones are ignored, and those of ``keep`` may have any name but those of the result.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_rows, slim, written
+from threadloom.llm.common import held, map_rows, slim, written
 
 #: Bytes of a word after lower-casing: digits, a-z and everything beyond ASCII. Other bytes separate words.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_SCANNED = "doc_id bigint, text string, n_words bigint, hits array<bigint>, items array<string>"
-_automata: dict[str, object] = {}
+_FOUND = "n_words bigint, hits array<struct<n:bigint,start:bigint,end:bigint>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,48 +59,53 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return map_rows(items, "pattern string, item string", cut)
 
 
-def _automaton(key: str, patterns: list[tuple[str, list[str]]]):
-    """The automaton of a block, built once in each Python worker; only the last block's is held."""
-    if key not in _automata:
-        import ahocorasick
+def _automaton(pairs: list[tuple[str, str | None]]):
+    import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for pattern, owners in patterns:
-            automaton.add_word(pattern, (pattern.count(" ") - 1, owners))
-        automaton.make_automaton()
-        _automata.clear()
-        _automata[key] = automaton
-    return _automata[key]
+    owners: dict[str, list[str]] = {}
+    for pattern, item in pairs:
+        owners.setdefault(pattern, []).extend(() if item is None else (item,))
+    automaton = ahocorasick.Automaton()
+    for pattern, own in owners.items():
+        automaton.add_word(pattern, (pattern.count(" ") - 1, own))
+    automaton.make_automaton()
+    return automaton
 
 
-def _scan(docs: DataFrame, patterns: list[tuple[str, list[str]]], key: str, kinds: list[str]) -> DataFrame:
-    """Adds the numbers of hit words and the items found to what earlier blocks have found."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+def _scan(docs: DataFrame, pairs: list[tuple[str, str | None]], with_text: bool = False) -> DataFrame:
+    """All columns, without ``text``, the first, if so asked, with n_words, hits (number and place of every hit word) and items."""
+    shared, key, exist = docs.sparkSession.sparkContext.broadcast(pairs), f"automaton {uuid.uuid4().hex}", bool(pairs)
+    first = 0 if with_text else 1
+    names = docs.columns[first:]
 
     def scan(batch: pa.RecordBatch) -> dict[str, object]:
-        automaton = _automaton(key, shared.value)
+        automaton = held(key, lambda: _automaton(shared.value))
         out: dict[str, list] = {name: [] for name in ("n_words", "hits", "items")}
-        texts = batch.column(1)
-        for text, hits, items in zip(texts.to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            words = words_of(text)
-            if words and patterns_exist:
-                scanned = _pattern(words)
-                found = list(automaton.iter(scanned))
-                if found:
-                    hit, owners, at, number = set(hits), set(items), 0, 0
-                    for end, (length, own) in found:
-                        number += scanned.count(" ", at, end + 1)
-                        at = end + 1
-                        hit.update(range(number - 1 - length, number - 1))
-                        owners.update(own)
-                    hits, items = sorted(hit), sorted(owners)
+        for value in batch.column(0):
+            text = value.as_py()
+            words, hit, owners = words_of(text), set(), set()
+            if words and exist:
+                scanned, at, number = _pattern(words), 0, 0
+                for end, (length, own) in automaton.iter(scanned):
+                    number += scanned.count(" ", at, end + 1)
+                    at = end + 1
+                    hit.update(range(number - 1 - length, number - 1))
+                    owners.update(own)
+            places = [m.span() for m in _WORD.finditer(text)] if hit else []
             out["n_words"].append(len(words))
-            out["hits"].append(hits)
-            out["items"].append(items)
-        return {"doc_id": batch.column(0), "text": texts, **out} | {f"_{k}": batch.column(5 + k) for k in range(len(kinds))}
+            out["hits"].append([{"n": n, "start": places[n][0], "end": places[n][1]} for n in sorted(hit)])
+            out["items"].append(sorted(owners))
+        return {name: batch.column(first + k) for k, name in enumerate(names)} | out
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema[first:])
+    return map_rows(docs, kinds + _FOUND, scan)
+
 
-    patterns_exist = bool(patterns)
-    return map_rows(docs, _SCANNED + "".join(f", _{k} {kind}" for k, kind in enumerate(kinds)), scan)
+def _merged(hits):
+    """Places of runs of neighbouring hit words, from hits in order."""
+    begins = F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["n"] < h["n"] - 1))
+    ends = F.filter(hits, lambda h, i: (i == F.size(hits) - 1) | (F.get(hits, i + 1)["n"] > h["n"] + 1))
+    return F.transform(F.arrays_zip(begins["start"].alias("start"), ends["end"].alias("end")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def decontaminate(
@@ -115,47 +122,19 @@ def decontaminate(
     """For each document row: doc_id, n_words, n_hit, items (sorted ids), spans (start and end of each hit run, code points);
     with ``keep``, text and those columns as well."""
     names = keep or []
-    kinds = [docs.schema[n].dataType.simpleString() for n in names]
     windows = item_windows(slim(items, item=item_id, text=item_text).withColumn("item", F.col("item").cast("string")), window)
-    grouped = windows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("owners"))
-    total = grouped.count()
-    blocks = max(1, -(-total // block_windows))
-    found = slim(docs, doc_id=doc_id, text=text, **{f"_{k}": n for k, n in enumerate(names)}).select(
-        "doc_id",
-        "text",
-        F.lit(0).cast("bigint").alias("n_words"),
-        F.array().cast("array<bigint>").alias("hits"),
-        F.array().cast("array<string>").alias("items"),
-        *(f"_{k}" for k in range(len(names))),
-    )
-    block = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
-    for k in range(blocks):
-        rows = (grouped if blocks == 1 else grouped.where(block == k)).collect()
-        if k:
-            found = written(found)
-        found = _scan(found, sorted((r.pattern, list(r.owners)) for r in rows), uuid.uuid4().hex, kinds)
-    own = "" if keep is None else "text string, " + "".join(f"`{n}` {kind}, " for n, kind in zip(names, kinds))
-
-    def located(batch: pa.RecordBatch) -> dict[str, object]:
-        passed = {} if keep is None else {"text": batch.column(1)} | {n: batch.column(5 + k) for k, n in enumerate(names)}
-        return passed | _located(batch)
-
-    return map_rows(found, f"doc_id bigint, {own}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>", located)
-
-
-def _located(batch: pa.RecordBatch) -> dict[str, object]:
-    spans, n_hit = [], []
-    for text, hits in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-        n_hit.append(len(hits))
-        own: list[dict[str, int]] = []
-        if hits:
-            places = [m.span() for m in _WORD.finditer(text)]
-            last = None
-            for n in hits:
-                if n - 1 == last:
-                    own[-1]["end"] = places[n][1]
-                else:
-                    own.append({"start": places[n][0], "end": places[n][1]})
-                last = n
-        spans.append(own)
-    return {"doc_id": batch.column(0), "n_words": batch.column(2), "n_hit": n_hit, "items": batch.column(4), "spans": spans}
+    pairs = written(windows.distinct())
+    blocks = max(1, -(-pairs.count() // block_windows))
+    frame = slim(docs, text=text, _id=doc_id, **{f"_{k}": n for k, n in enumerate(names)})
+    if blocks == 1:
+        found = _scan(frame, [(r.pattern, r.item) for r in pairs.collect()], keep is not None)
+    else:
+        frame = written(frame.withColumn("_row", F.monotonically_increasing_id()))
+        block = F.pmod(F.xxhash64("pattern", "item"), F.lit(blocks))
+        scanned = [_scan(frame.select("text", "_row"), [(r.pattern, r.item) for r in pairs.where(block == k).collect()]) for k in range(blocks)]
+        hit = reduce(DataFrame.unionAll, [s.where("size(hits) > 0") for s in scanned]).groupBy("_row")
+        hit = hit.agg(F.array_distinct(F.sort_array(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = _scan(frame, [], keep is not None).drop("hits", "items").join(hit, "_row", "left")
+        found = found.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<n:bigint,start:bigint,end:bigint>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    passed = [] if keep is None else ["text", *(F.col(f"_{k}").alias(n) for k, n in enumerate(names))]
+    return found.select(F.col("_id").alias("doc_id"), *passed, "n_words", F.size("hits").cast("bigint").alias("n_hit"), "items", _merged(F.col("hits")).alias("spans"))
