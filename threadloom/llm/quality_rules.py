@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import slim
+from threadloom.llm.spans import let
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -29,11 +30,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def repeated_words(tokens: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more."""
     hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - 3), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
@@ -85,7 +81,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, doc_id: str =
         tokens = rows.select(words(F.coalesce("text", F.lit(""))).alias("tokens"))
         return tokens.select(F.lit(trusted).alias("trusted"), F.explode(ngram_buckets(F.col("tokens"), buckets)).alias("bucket"))
 
-    both = grams(frame, 0).unionAll(grams(frame.join(trusted, "doc_id", "left_semi"), 1))
+    # A hash join builds on ids alone and never sorts texts.
+    both = grams(frame, 0).unionAll(grams(frame.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi"), 1))
     counts = both.groupBy("bucket").agg(F.count_if(F.col("trusted") == 0).alias("raw"), F.sum("trusted").alias("target"))
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
