@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from threadloom.llm.common import map_rows, slim
+from threadloom.llm.common import held, map_rows, slim
 
 #: White space in Unicode's sense; the default ``\s`` of Python also has four control characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -39,7 +39,6 @@ _UNEVEN = re.compile(f"[{_SPACE}](?:[{_SPACE}]|$)|^[{_SPACE}]|[\\t\\x0b-\\r\\x85
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that, after letters, make one piece under PATTERN.
 _MARKS = ".,;:!?%&*$#|+=()<>[]{}/"
-_made: dict[str, object] = {}
 
 
 def load_ranks(path: str, most: int = 1_000_000) -> dict[bytes, int]:
@@ -61,7 +60,6 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 170_000, most_pairs: int = 400_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.size_of = {rank: len(token) for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
         self.most_states, self.most_pairs = most_states, most_pairs
         self.pairs: dict[int, bool] = {}
@@ -104,13 +102,13 @@ class Transducer:
         out = []
         while end:
             out.append(lasts[end])
-            end -= self.size_of[lasts[end]]
+            end -= len(self.bytes_of[lasts[end]])
         return tuple(reversed(out))
 
     def _arc(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         settled, pending = self.states[number]
         pending += bytes((byte,))
-        end, lasts, sizes, prefixes = len(pending), self.lasts[number], self.size_of, self.prefixes
+        end, lasts, own_bytes, prefixes = len(pending), self.lasts[number], self.bytes_of, self.prefixes
         first = 0  # no token that began before is open any more
         while first < end - 1 and pending[first:-1] not in prefixes:
             first += 1
@@ -131,7 +129,7 @@ class Transducer:
                 break
             far = max(ways)
             ways.remove(far)
-            ways.add(far - sizes[lasts[far]] if far else 0)
+            ways.add(far - len(own_bytes[lasts[far]]) if far else 0)
         out: tuple[int, ...] = ()
         if cut > 0:
             out = self._chain(lasts, cut)
@@ -139,7 +137,7 @@ class Transducer:
             own: list[int | None] = [settled]
             for k in range(cut + 1, end + 1):
                 token = lasts[k]
-                own.append(token if token is not None and (back := k - sizes[token]) >= cut and own[back - cut] is not None else None)
+                own.append(token if token is not None and (back := k - len(own_bytes[token])) >= cut and own[back - cut] is not None else None)
             lasts = tuple(own)
         state = (settled, pending)
         if (to := self.numbers.get(state)) is None:
@@ -285,20 +283,12 @@ class Decoder:
 _LITTLE = Struct("=I").pack(1) == Struct("<I").pack(1)
 
 
-def _once(key: str, make):
-    """What this Python worker has made under ``key``. It holds one at a time: a worker may serve either operator."""
-    if key not in _made:
-        _made.clear()
-        _made[key] = make()
-    return _made[key]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) of every row."""
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), f"encode {uuid.uuid4().hex}"
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        encoder = _once(key, lambda: Encoder(shared.value, pattern))
+        encoder = held(key, lambda: Encoder(shared.value, pattern))
         return {"doc_id": batch.column(0), "ids": [encoder.encode(t) for t in batch.column(1).to_pylist()]}
 
     frame = slim(docs, doc_id=doc_id, text=text)
@@ -310,8 +300,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id",
     shared, key = encoded.sparkSession.sparkContext.broadcast(ranks), f"decode {uuid.uuid4().hex}"
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        decoder = _once(key, lambda: Decoder(shared.value))
+        decoder = held(key, lambda: Decoder(shared.value))
         return {"doc_id": batch.column(0), "ids": batch.column(1), "text": [decoder.decode(x or b"") for x in batch.column(1).to_pylist()]}
 
     frame = slim(encoded, doc_id=doc_id, ids=ids)
     return map_rows(frame, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids binary, text string", run)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass, so that a core holds one Python worker instead of two."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), f"both {uuid.uuid4().hex}"
+
+    def run(batch: pa.RecordBatch) -> dict[str, object]:
+        encoder, decoder = held(key, lambda: (Encoder(shared.value, pattern), Decoder(shared.value)))
+        ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
+        return {"doc_id": batch.column(0), "ids": ids, "text": [decoder.decode(x) for x in ids]}
+
+    frame = slim(docs, doc_id=doc_id, text=text)
+    return map_rows(frame, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids binary, text string", run)

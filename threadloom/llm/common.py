@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.durable import written
+
+__all__ = ["held", "map_rows", "read", "slim", "written"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="threadloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def map_rows(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict[str, object]]) -> DataFrame:
     """``mapInArrow`` for a function from one record batch to a dict of columns."""
 
@@ -51,6 +35,17 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], di
     return df.mapInArrow(run, schema)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What this Python worker has made under ``key``. It holds one thing at a time, as workers outlive a query's stages."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slim(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under our own names, so that columns beside them cannot clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

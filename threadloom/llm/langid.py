@@ -9,8 +9,10 @@ text is counted whole, in portions of words. What is collected is a table of ``b
 Everything that is scored is scored whole.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from, all are; rows with a
-null id are scored but not learned from; repeated rows are scored alike; ties go to the language that sorts first; columns
-beside the named ones are ignored.
+null id are scored but not learned from; repeated rows are scored alike; ties go to the language that sorts first; letters of
+a script that no language was learned with count for none, so that a text of such letters alone has score 0; texts of any
+length are learned from and scored whole; more than ``most_languages`` languages are an error, as the model's size grows with
+them; columns beside the named ones are ignored, and those of ``keep`` may have any name but predicted, score and spans.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import map_rows, slim
+from threadloom.llm.common import held, map_rows, slim
 
 #: First code points of letter ranges by script (Unicode); what lies between named ranges is "other".
 _SCRIPTS = [
@@ -55,6 +57,7 @@ class LanguageModel:
         self.words: dict[str, int] = {}
         self.table = np.zeros((0, len(self.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.certain = np.zeros(0, np.int64)  # the letters of words whose script some language uses
 
     def learn(self, words: list[str]) -> None:
         """Scores words not met before, all at once, and gives each a row in the table."""
@@ -65,10 +68,12 @@ class LanguageModel:
         known = used.any(1) & np.fromiter(map(bool, bare), bool, len(bare))
         scores = np.where(used, scores, scores.min(1, keepdims=True) - 50)
         scores[~known] = 0
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare))
         at = len(self.words)
         self.words.update(zip(words, range(at, at + len(words))))
         self.table = np.concatenate([self.table, scores.astype(np.float32)])
-        self.letters = np.concatenate([self.letters, np.fromiter(map(len, bare), np.int64, len(bare))])
+        self.letters = np.concatenate([self.letters, sizes])
+        self.certain = np.concatenate([self.certain, np.where(known, sizes, 0)])
 
     def rows(self, texts: list[str | None]) -> list[np.ndarray]:
         """The table rows of each text's words."""
@@ -121,14 +126,14 @@ class LanguageModel:
             if not n:
                 continue
             at = starts[:n] + place
-            own, letters = label[at], self.letters[flat[at]]
-            by = np.bincount(own, letters, len(self.languages))
-            if by.sum() == 0:
+            own, letters = label[at], self.letters[flat[at]].sum()
+            if not letters:
                 continue
+            by = np.bincount(own, self.certain[flat[at]], len(self.languages))
             top = int(by.argmax())
             edges = np.flatnonzero(np.diff(own)) + 1
             firsts, ends = [0, *edges.tolist()], [*edges.tolist(), n]
-            out[k] = (self.languages[top], float(by[top] / by.sum()), [(a, b, int(own[a])) for a, b in zip(firsts, ends)])
+            out[k] = (self.languages[top], float(by[top] / letters), [(a, b, int(own[a])) for a, b in zip(firsts, ends)])
         return out
 
 
@@ -205,15 +210,16 @@ def train(
         return out
 
     counted = map_rows(sample, "lang string, bucket bigint, n bigint", count).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counted.collect()  # at most buckets + scripts rows a language
-    languages = sorted({r.lang for r in rows})
+    rows = counted.toArrow()  # at most buckets + scripts rows a language, as packed columns
+    langs, keys, n = rows["lang"].to_pylist(), rows["bucket"].to_numpy(), rows["n"].to_numpy()
+    languages = sorted(set(langs))
+    number = {lang: k for k, lang in enumerate(languages)}
+    own = np.fromiter((number[x] for x in langs), np.int64, len(langs))
     grams = np.full((buckets, len(languages)), 0.2)
     scripts = np.zeros((len(_NAMES), len(languages)))
-    for r in rows:
-        if r.bucket >= 0:
-            grams[r.bucket, languages.index(r.lang)] += r.n
-        else:
-            scripts[-1 - r.bucket, languages.index(r.lang)] += r.n
+    is_gram = keys >= 0
+    grams[keys[is_gram], own[is_gram]] += n[is_gram]
+    scripts[-1 - keys[~is_gram], own[~is_gram]] += n[~is_gram]
     logs = np.log(grams / grams.sum(0, keepdims=True)) / 3  # the three lengths overlap
     shares = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
     return LanguageModel(languages, logs.astype(np.float32), shares >= 0.01, penalty)
@@ -224,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     shared, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.scripts, model.penalty)), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        own = _model(key, shared)
+        own = held(key, lambda: LanguageModel(*shared.value))
         out: dict[str, list] = {"predicted": [], "score": [], "spans": []}
         for texts in _portions(batch.column(1).to_pylist(), batch_chars):
             for text, (lang, score, spans) in zip(texts, own.spans(texts)):
@@ -244,17 +250,6 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     return map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run)
 
 
-_models: dict[str, LanguageModel] = {}
-
-
-def _model(key: str, shared) -> LanguageModel:
-    """The model of this Python worker, with the words it has met."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = LanguageModel(*shared.value)
-    return _models[key]
-
-
 def _portions(texts: list[str | None], most: int):
     """Consecutive parts of a list of texts with at most about ``most`` characters each."""
     part, size = [], 0

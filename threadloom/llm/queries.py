@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, chat, langid, neardup, pii, quality_model, quality_rules, secret_scan, spans, substring_dedup
-from threadloom.llm.common import read
+from threadloom.llm.common import read, written
 from threadloom.llm.decontam import decontaminate
 
 
@@ -29,12 +29,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = read(spark, sf_dir, "conversations")
-    parsed = chat.parse(chat.transcripts(conversations).select("conv_id", "part", "transcript"), chat.train(conversations), "transcript")
+    """Turns of transcripts with absent, wrong and varied markers; n_right lines of n_lines got the role of their turn. The model
+    never sees held-out conversations."""
+    parts = written(chat.transcripts(read(spark, sf_dir, "conversations")))
+    parsed = chat.parse_parts(parts, chat.train(parts.where(~chat.held_out(F.col("conv_id")))))
+    truth = F.flatten(F.transform("turns", lambda t: F.array_repeat(t["role"], F.size(F.split(t["text"], "\n")))))
+    right = F.zip_with("line_roles", truth, lambda a, b: F.coalesce((a == b).cast("bigint"), F.lit(0).cast("bigint")))
     return parsed.select(
         "conv_id",
         "part",
+        chat.held_out(F.col("conv_id")).alias("held_out"),
         F.size("parsed").cast("bigint").alias("n_turns"),
+        F.size("line_roles").cast("bigint").alias("n_lines"),
+        F.aggregate(right, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_right"),
         F.array_join(F.transform("parsed", lambda t: t["role"]), ",").alias("roles"),
         F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
     )
@@ -106,9 +113,7 @@ def ranks() -> dict[bytes, int]:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ranks()
-    decoded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), known), known)
-    return decoded.select(
+    return bpe.round_trip(read(spark, sf_dir, "documents"), ranks()).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from threadloom.llm.common import held
+
 #: Bytes with A-Z lower-cased.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -26,7 +28,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
+def hashes() -> WordHashes:
+    """The hashes that this worker remembers."""
+    return held("hashes", WordHashes)
 
 
 def split(text: str | None, lower: bool = False) -> list[bytes]:
@@ -58,10 +62,10 @@ def windows(hashes: np.ndarray, size: int, base: int = 0x9E3779B97F4A7C15) -> np
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
-    hashes = HASHES.of(split(text, lower=True))
-    n = len(hashes)
+    words = hashes().of(split(text, lower=True))
+    n = len(words)
     if n == 0:
         return np.zeros(0, np.uint64)
     if n < size:
-        return mixed(windows(hashes, n) + np.uint64(n))
-    return np.unique(windows(hashes, size))
+        return mixed(windows(words, n) + np.uint64(n))
+    return np.unique(windows(words, size))

@@ -7,11 +7,12 @@ the cover positions in its first ``period`` places holds a shared anchor; these
 hashed (95 bits), and removed if the smallest document with the same hash is smaller. Whole-text copies are settled by a 128-bit
 hash of the text first, and take no part in the rest.
 
-Every grouping is an aggregate with partial sums, every join is one that can be split when skewed, and the texts are
-dealt out by id once.
+Every grouping is an aggregate with partial sums; joins on windows and anchors meet plain exchanges, so that they are split
+when skewed; texts are dealt out by id.
 
 Cases: null texts have no words; rows with a null id are kept whole and remove nothing; rows that share an id do not affect
-each other; an empty table gives an empty result; columns beside the named ones are ignored.
+each other; repeated rows are handled alike; of equal windows that with the smallest id stays; texts of any length are read
+whole; an empty table gives an empty result; columns beside the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import map_rows, slim, written
-from threadloom.llm.shingles import HASHES, split, windows
+from threadloom.llm.shingles import hashes, split, windows
 
 #: Perfect difference sets, by period.
 COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -62,7 +63,7 @@ def _hashed(frame: DataFrame, kind: str, window: int, anchors: bool) -> DataFram
             out["doc_id"].append(number)
             out["p"].append(p)
             out["q"].append(q)
-            own = windows(HASHES.of(words), size) if anchors else np.zeros(0, np.uint64)
+            own = windows(hashes().of(words), size) if anchors else np.zeros(0, np.uint64)
             out["anchors"].append(own[_places(len(own), period, cover)].view(np.int64))
         return out
 
@@ -88,12 +89,12 @@ def _repeats(joined: DataFrame, kind: str, window: int) -> DataFrame:
             starts = np.flatnonzero(found[rank[period:]] > found[rank[:-period]])
             if not len(starts):
                 continue
-            hashes = HASHES.of(words)
+            own = hashes().of(words)
             out["doc_id"].append(number)
             out["p"].append(p)
             out["starts"].append(starts.astype(np.int32))
-            out["h"].append(windows(hashes, window)[starts].view(np.int64))
-            out["g"].append((windows(hashes, window, 0xC2B2AE3D27D4EB4F)[starts] >> np.uint64(33)).astype(np.int32))
+            out["h"].append(windows(own, window)[starts].view(np.int64))
+            out["g"].append((windows(own, window, 0xC2B2AE3D27D4EB4F)[starts] >> np.uint64(33)).astype(np.int32))
         return out
 
     found = map_rows(joined, f"doc_id {kind}, p bigint, starts array<int>, h array<bigint>, g array<int>", run)
@@ -109,13 +110,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = base.join(owners, ["p", "q"]).where("doc_id > owner").select("doc_id", "p")
 
     anchors = _hashed(frame, kind, window, True).select("p", F.posexplode("anchors").alias("k", "anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("anchor")
+    shared = written(anchors.groupBy("anchor").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("anchor"))
     hits = anchors.join(shared, "anchor").groupBy("p", "k").agg(F.lit(1).alias("one")).groupBy("p").agg(F.collect_list("k").alias("ks"))
     marked = written(hits.join(owners.select("p", F.col("owner").alias("doc_id")), "p").select("doc_id", "p", "ks"))
 
     repeats = _repeats(frame.join(marked, "doc_id").select("doc_id", "text", "p", "ks"), kind, window)
-    first = repeats.groupBy("h", "g").agg(F.min("doc_id").alias("lo"))
-    later = repeats.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id", "p").agg(F.collect_list("start").alias("starts"))
+    # Written, so that the join meets two plain exchanges, of which a hot window's can be split.
+    first = written(repeats.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "g", "lo"))
+    later = repeats.join(first, ["h", "g"]).where("doc_id > lo").groupBy("doc_id", "p").agg(F.collect_set("start").alias("starts"))
     removal = later.unionByName(copies.distinct().withColumn("starts", F.lit(None).cast("array<int>")))
     removal = removal.groupBy("doc_id").agg(F.collect_list(F.struct("p", "starts")).alias("removal"))
     return _kept(frame.join(removal, "doc_id", "left").select("doc_id", "text", "removal"), kind, window)
