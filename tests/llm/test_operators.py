@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -268,23 +270,102 @@ def test_votes_decide_which_patterns_are_personal():
     counts = {("name", (1, 1, 1)): 50, ("name", (1, 1, 0)): 30, ("name", (-1, -1, 0)): 60, ("name", (1, -1, 0)): 10}
     belief = pii.estimate(counts)
     assert belief["name", (1, 1, 1)] > 0.9 > 0.1 > belief["name", (-1, -1, 0)]
-    weights = pii.classifier(counts, belief)
+    weights = pii.classifier({(*key, shape): n for key, n in counts.items() for shape in (0, 3)}, belief)
     assert weights["gazetteer1"] > weights["gazetteer-1"]
 
 
-def test_chat_roles_are_recovered(spark):
+def test_pii_finds_planted_spans_beyond_the_base_and_leaves_decoys(spark):
+    rng = random.Random(9)
+    filler = lambda: " ".join(rng.choices("lorem ipsum dolor sit amet".split(), k=8))
+    people = [f"{a} {b}" for a in ("Mary", "Sophie", "Robert", "Carlos") for b in ("Smith", "Moreau", "Weber", "Qwimby")]
+    rows, wanted = [], {}
+    for k in range(240):
+        kind = k % 6
+        value = {0: people[k // 6 % len(people)], 1: f"{rng.randint(100, 650)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", 2: "GB29NWBK60161331926819", 3: "Old Bridge", 4: "000-00-0000", 5: "XQ00AAAABBBBCCCCDD"}[kind]
+        lead = {0: "Dear", 1: "my ssn is", 2: "bank transfer to", 3: "over the", 4: "part", 5: "code"}[kind]
+        tail = {3: " Street"}.get(kind, ".")
+        rows.append((str(k), f"{filler()} {lead} {value}{tail} {filler()}", "x", 1))
+        wanted[str(k)] = value if kind < 3 else None
+    frame = spark.createDataFrame(rows, "doc_id string, body string, spans string, text int")
+    for r in pii.detect(frame, text="body", keep=[]).collect():
+        found = [r.text[s.start : s.end] for s in r.spans]
+        assert found == ([wanted[r.doc_id]] if wanted[r.doc_id] else []), (r.text, r.spans)
+
+
+def test_spans_of_long_texts_are_linear_and_overlaps_are_redacted_whole(spark):
+    long = "x@y.co abcdef0123456789 " * 20_000
+    one = lambda t: spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    began = time.monotonic()
+    assert pii.detect(one(long)).select(F.size("spans"), F.length(pii.redact(F.col("text"), F.col("spans")))).first() == (20_000, len("<email> abcdef0123456789 ") * 20_000)
+    assert secret_scan.scan(one(long)).select(F.size("spans")).first() == (20_000,)
+    assert time.monotonic() - began < 60
+    hide = lambda t: pii.detect(one(t)).select(pii.redact(F.col("text"), F.col("spans"))).first()[0]
+    assert hide("call +1 555 222-3333@corp.example.com now 😀 x@y.co") == "call <phone> now 😀 <email>"
+    assert hide("x@y.co") == "<email>" and hide("") == ""
+
+
+def test_secret_rules_beyond_the_base_are_found(spark):
+    texts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "xoxb-1234567890-abc", "eyJabcdefghijk.eyJabcdefghijk.abcdefghijk", "AIza" + "x" * 35, "ghp_short eyJ xox"]
+    frame = spark.createDataFrame([(str(k), f"so {t} it is", "a") for k, t in enumerate(texts)], "doc_id string, text string, kinds string")
+    found = {r.doc_id: [s.kind for s in r.spans if not s.base] for r in secret_scan.scan(frame).collect()}
+    assert found == dict(zip("012345", [["private_key"], ["code_host"], ["chat_bot"], ["web_token"], ["map_key"], []]))
+
+
+def chats(spark, n=200, turns=5):
     rows = []
-    for c in range(200):
-        for t in range(5):
+    for c in range(n):
+        for t in range(turns):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", "short ask?" if t % 2 == 0 else "a long answer " * 12 + "\nand a second line " * 2))
-    rows += [(None, 0, "user", "hello?"), (500, 0, None, None), (501, None, "user", ""), (0, 700, "user", "late?")]
-    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    model = chat.train(frame)
-    parsed = {(r.conv_id, r.part): r for r in chat.parse(chat.transcripts(frame), model, "transcript").collect()}
-    assert [t.role for t in parsed[7, 0].parsed] == ["user", "assistant"] * 2 + ["user"]
-    assert parsed[7, 0].parsed[1].text == rows[1][3]
-    assert parsed[7, 0].rendered.startswith("<|user|>\nshort ask?<|end|>\n<|assistant|>\n")
-    assert parsed[500, 0].parsed == [] and (0, 2) in parsed and (None, 0) in parsed
+    return rows
+
+
+CHAT = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_chat_roles_are_recovered(spark):
+    rows = chats(spark)
+    rows += [(None, 0, "user", "hello?"), (500, 0, None, None), (501, None, "user", ""), (0, 700, "user", "late?"), (None, 0, "user", "hello?")]
+    frame = spark.createDataFrame(rows, CHAT).withColumn("rendered", F.lit("old"))
+    parts = chat.transcripts(frame)
+    model = chat.train(parts)
+    out = chat.parse_parts(parts, model).collect()
+    assert len(out) == 200 + 4
+    parsed = {r.conv_id: r for r in out}
+    assert sum([t.role for t in parsed[c].parsed] == ["user", "assistant"] * 2 + ["user"] for c in range(1, 200)) >= 197
+    marked = {r.conv_id: r for r in chat.parse(chat.transcripts(frame, canonical=True), model, "transcript").collect()}
+    assert [t.role for t in marked[7].parsed] == ["user", "assistant"] * 2 + ["user"]
+    assert marked[7].parsed[1].text == rows[1][3]
+    assert marked[7].rendered.startswith("<|user|>\nshort ask?<|end|>\n<|assistant|>\n")
+    assert marked[500].parsed == [] and len(marked[0].parsed) == 6
     bare = "\n".join(["short ask?", "a long answer " * 12, "short ask?", "a long answer " * 12])
     assert [t["role"] for t in model.turns(bare)] == ["user", "assistant", "user", "assistant"]
-    assert chat.parse(chat.transcripts(frame.where("false")), chat.train(frame.where("false")), "transcript").count() == 0
+    none = chat.transcripts(frame.where("false"))
+    assert chat.parse_parts(none, chat.train(none)).count() == 0
+    again = chat.parse(marked_frame := spark.createDataFrame([("user: a?", "x", 1)], "text string, rendered string, parsed int"), model)
+    assert again.columns == ["text", "parsed", "line_roles", "rendered"] and again.count() == marked_frame.count()
+
+
+def test_viterbi_over_roles_equals_exhaustive_search_and_parts_are_one_path(spark):
+    parts = chat.transcripts(spark.createDataFrame(chats(spark, 40, 6), CHAT))
+    model = chat.train(parts)
+    rng = random.Random(6)
+    pool = ["short ask?", "Assistant: a long answer here it is", "and more", "User: what", "", "Agent: ok.", "a long answer " * 9]
+
+    def value(path, lines):
+        scores = model.scores(lines)
+        return model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + sum(scores[t, s] for t, s in enumerate(path))
+
+    for _ in range(12):
+        lines = [rng.choice(pool) for _ in range(4)]
+        best = max(value(p, lines) for p in product(range(6), repeat=4))
+        assert abs(value(model.path(lines), lines) - best) < 1e-9
+    for _ in range(12):
+        lines = [rng.choice(pool) for _ in range(40)]
+        cuts = [lines[:7], lines[7:8], lines[8:30], lines[30:]]
+        ends = chat.chained([model.transfer(c, k == 0) for k, c in enumerate(cuts)])
+        path = [s for c, a, b in zip(cuts, [None, *ends], ends) for s in model.path(c, a, b)]
+        assert abs(value(path, lines) - value(model.path(lines), lines)) < 1e-9
+    long = spark.createDataFrame([(1, t // 2, "user" if t % 3 else "assistant", pool[t % 7]) for t in range(50)], CHAT)
+    whole = chat.parse_parts(chat.transcripts(long), model).first()
+    cut = sorted(chat.parse_parts(chat.transcripts(long, part_turns=4), model).collect(), key=lambda r: r.part)
+    assert len(cut) == 13 and [x for r in cut for x in r.line_roles] == whole.line_roles
