@@ -50,9 +50,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = ranks()
-    decoded = bpe.decode(bpe.encode(docs, known), known)
-    return decoded.select(
+    return bpe.round_trip(docs, ranks()).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
