@@ -1,9 +1,9 @@
 """The corpus pipeline: language, near-duplicates, contamination, personal data, tokens.
 
 Each stage takes all documents that its predecessor kept and returns those that it keeps, with the columns of documents; the
-last returns token ids. Language identification rejects texts without any identifiable language. Of each group of
-near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest id stays. Rows with any benchmark window
-go, whatever their id. Personal data are replaced by their kinds. Rows with a null id pass the stage that compares documents; of rows with the same id and text one stays.
+last returns token ids. Further columns of documents are left behind by the first stage, whatever their names. An empty table
+passes every stage as an empty table, and texts of any length are read whole. What each stage does with nulls, repeats and
+ties is said at the stage.
 """
 
 from __future__ import annotations
@@ -21,35 +21,45 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of documents whose id has a true verdict (columns doc_id, keep); rows with a null id stay."""
-    decided = verdict.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_and("keep").alias("keep"))
-    return docs.join(decided, "doc_id", "left").where(F.coalesce("keep", F.lit(True))).select(COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has an identifiable language.
+
+    Null texts, empty texts and texts without a letter go. Each row is judged alone, so repeated rows fare alike, and null ids,
+    languages and sources stay as they are. Where no language can be learned, every row goes.
+    """
     found = langid.identify(docs, langid.train(docs), keep=COLUMNS)
     return found.where(F.col("predicted") != "und").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the smallest id.
+
+    Rows that share an id are one document, and stay or go together; of those with the same text as well the first by
+    language, source and length stays. Rows with a null id, and null and empty texts, resemble nothing and stay.
+    """
     found = neardup.near_duplicates(docs, shingle=5, share=80)
-    kept = _keep(docs, found.select("doc_id", F.col("kept").alias("keep")))
-    return kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]))
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
+    first = F.min(F.struct("lang", "source", "n_chars")).alias("first")
+    with_id = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(first)
+    return with_id.select("doc_id", "text", "first.*").unionByName(docs.where(F.col("doc_id").isNull())).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of the benchmark. Each row is judged by its own text, whatever its id; null texts have no words
+    and stay; with an empty benchmark every row stays."""
     found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=["lang", "source", "n_chars"])
     return found.where("n_hit = 0").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data replaced by their kinds, and n_chars as it is then. Null texts stay null."""
     found = pii.detect(docs, keep=["lang", "source"])
     clean = found.select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("text"), "lang", "source")
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and hashes of every row; null texts encode as empty ones."""
     return bpe.round_trip(docs, ranks()).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
