@@ -71,8 +71,13 @@ def normalized_reply(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.lower(text), URL, "<url>"), "@[a-z0-9_]+", "<mention>"))
 
 
+def numbers_masked(normalized: Column) -> Column:
+    """A normalised reply with long numbers as placeholders."""
+    return collapse(F.regexp_replace(normalized, r"\b[0-9]{5,}\b", "<number>"))
+
+
 def normalize_for_leakage(text: Column) -> Column:
-    return collapse(F.regexp_replace(normalized_reply(text), r"\b[0-9]{5,}\b", "<number>"))
+    return numbers_masked(normalized_reply(text))
 
 
 def word_count(text: Column) -> Column:

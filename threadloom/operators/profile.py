@@ -22,8 +22,11 @@ def profile(messages: DataFrame, brand: str, text: str, actionable: list[str], g
     flags = reply_flags(F.col("norm"), actionable, generic)
     rows = messages.select(F.col(brand).alias("brand"), norm.alias("norm")).withColumn("words", tx.word_count(F.col("norm"))).withColumns(flags)
     per_text = rows.groupBy("brand", "norm").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("brand").orderBy(F.desc("n"), "norm")
-    head = per_text.withColumn("rn", F.row_number().over(order)).groupBy("brand").agg(F.sum(F.when(F.col("rn") <= top, F.col("n"))).alias("top_n"), F.count("*").alias("distinct_replies"))
+    # The largest of each salted part first, so that no task sorts all replies of a brand.
+    salted = per_text.select("brand", "n", F.pmod(F.xxhash64("norm"), F.lit(64)).alias("salt"))
+    largest = lambda rows, *by: rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n")))).where(F.col("rn") <= top)
+    head = largest(largest(salted, "brand", "salt"), "brand").groupBy("brand").agg(F.sum("n").alias("top_n"))
+    head = head.join(per_text.groupBy("brand").agg(F.count("*").alias("distinct_replies")), "brand")
     main = rows.groupBy("brand").agg(
         F.count("*").alias("messages"),
         F.percentile("words", 0.5).alias("median_words"),
@@ -53,9 +56,9 @@ def weighted(profiles: DataFrame, weights: dict[str, dict[str, float]], name: st
 
 def entropy(counts: DataFrame, group: str, count: str) -> DataFrame:
     """Shannon entropy of the counts of each group, as a share of the most it could be; 0 for a single key."""
-    total = F.sum(count).over(Window.partitionBy(group))
+    total = counts.groupBy(group).agg(F.sum(count).alias("total"))
     p = F.col(count) / F.col("total")
-    return counts.withColumn("total", total).groupBy(group).agg(F.count("*").alias("keys"), F.round(F.when(F.count("*") <= 1, 0.0).otherwise(-F.sum(p * F.log(p)) / F.log(F.count("*"))), 6).alias("entropy"))
+    return counts.join(total, group).groupBy(group).agg(F.count("*").alias("keys"), F.round(F.when(F.count("*") <= 1, 0.0).otherwise(-F.sum(p * F.log(p)) / F.log(F.count("*"))), 6).alias("entropy"))
 
 
 def token_counts(docs: DataFrame, group: str, text: str) -> DataFrame:

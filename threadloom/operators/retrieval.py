@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from threadloom.functions import text as tx
+from threadloom.functions.durable import written
 
 
 def term_weights(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None = None, least_docs: int = 1, sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -20,11 +28,80 @@ def term_weights(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None
     return raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
 
 
-def similarities(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query, doc, similarity: cosine of unit term weights (key, term, w), for pairs that share a term."""
-    q = queries.select(F.col("key").alias("query"), "term", F.col("w").alias("qw"))
-    d = docs.select(F.col("key").alias("doc"), "term", F.col("w").alias("dw"))
-    return q.join(d, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("similarity"))
+def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k best by falling score, then document."""
+    if len(scores) > k:
+        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
+        kept = np.flatnonzero(scores >= limit)  # with all ties at the limit
+    else:
+        kept = np.arange(len(scores))
+    return kept[np.lexsort((docs[kept], -scores[kept]))[:k]]
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """``rows`` in parts of about ``size``, by a hash of the key, so that a part has a bound whatever the table's size."""
+    rows = written(rows)
+    parts = max(1, -(-rows.count() // size))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
+
+
+def top_similar(queries: DataFrame, query: str, query_terms: Column, docs: DataFrame, doc: str, doc_terms: Column, k: int, least_docs: int = 1, block: int = 2000) -> DataFrame:
+    """query, doc, similarity, rank: for each query the k documents with the highest cosine of unit term weights above 0.
+
+    Queries are sent to the executors in blocks of bounded size. A task multiplies a batch of documents with a block and keeps
+    the k best of each query, so what is shuffled is k rows a query and batch, not a row for every pair that shares a term.
+    """
+    weights, idf = term_weights(docs, doc, doc_terms, least_docs=least_docs)
+    asked = written(term_weights(queries, query, query_terms, written(idf))[0].withColumnRenamed("key", "query"))
+    used = asked.select("term").distinct()
+    rows = weights.join(used, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    rows = written(rows)
+    found = [_multiplied(rows, part, k, queries.schema[query].dataType.simpleString(), docs.schema[doc].dataType.simpleString()) for part in _blocks(asked, "query", block * 200)]
+    return top_k(reduce(DataFrame.unionAll, found), k)
+
+
+def _multiplied(rows: DataFrame, block: DataFrame, k: int, query_type: str, doc_type: str) -> DataFrame:
+    local = block.toArrow()
+    names = sorted(set(local["query"].to_pylist()))
+    terms = sorted(set(local["term"].to_pylist()))
+    number = {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(terms), len(names)))
+    place = {q: i for i, q in enumerate(names)}
+    for q, t, w in zip(local["query"].to_pylist(), local["term"].to_pylist(), local["w"].to_pylist()):
+        matrix[number[t], place[q]] = w
+    shared = rows.sparkSession.sparkContext.broadcast((names, number, matrix))
+    schema = pa.schema([("query", from_type(query_type)), ("doc", from_type(doc_type)), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, number, matrix = shared.value
+        for batch in batches:
+            docs, scores = batch.column(0).to_pylist(), np.zeros((batch.num_rows, len(names)))
+            for i, (own, ws) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                at = [(number[t], w) for t, w in zip(own, ws) if t in number]
+                if at:
+                    scores[i] = np.array([w for _, w in at]) @ matrix[[n for n, _ in at]]
+            out: tuple[list, list, list] = ([], [], [])
+            order = np.argsort(np.argsort(np.array(docs, object))) if docs else np.zeros(0)
+            for j, name in enumerate(names):
+                some = np.flatnonzero(scores[:, j] > 0)
+                for i in some[_best(np.round(scores[some, j], 6), order[some], k)]:
+                    out[0].append(name)
+                    out[1].append(docs[i])
+                    out[2].append(float(scores[i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+    found = rows.select("key", "terms", "ws").mapInArrow(run, f"query {query_type}, doc {doc_type}, similarity double")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def from_type(name: str) -> pa.DataType:
+    return to_arrow_type(_parse_datatype_string(name))
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """Hashes (128 bits) of all runs of n words, each once."""
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.md5(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.array(words), runs)[0])
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query", score: str = "similarity", tie: str = "doc") -> DataFrame:
@@ -49,12 +126,44 @@ def bounded_quantile(values: DataFrame, column: str, quantile: float, low: float
     return values.agg(F.round(F.greatest(F.least(F.percentile(column, quantile), F.lit(high)), F.lit(low)), 6).alias("threshold"))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of a small set of query vectors (query, q) against all vectors (doc, v); the queries are what is broadcast."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")))
-    scored = vectors.join(F.broadcast(queries)).where("query <> doc").select("query", "doc", F.round(dot / (size("q") * size("v")), 6).alias("similarity"))
-    return top_k(scored, k)
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query, doc, similarity, rank: cosine top-k of query vectors (query, q) against all others (doc, v).
+
+    Queries go out in blocks of about ``block`` vectors; tasks multiply matrices and keep the k best of each query and batch.
+    """
+    types = queries.schema["query"].dataType.simpleString(), vectors.schema["doc"].dataType.simpleString()
+    schema = pa.schema([("query", from_type(types[0])), ("doc", from_type(types[1])), ("similarity", pa.float64())])
+
+    def against(part: DataFrame) -> DataFrame:
+        local = part.toArrow()
+        names = local["query"].to_pylist()
+        q = _units(np.array(local["q"].to_pylist(), float).reshape(len(names), -1))
+        shared = vectors.sparkSession.sparkContext.broadcast((names, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                docs = batch.column(0).to_pylist()
+                scores = _units(np.array(batch.column(1).to_pylist(), float).reshape(len(docs), -1)) @ q.T if docs and names else np.zeros((0, 0))
+                order = np.argsort(np.argsort(np.array(docs, object)))
+                own = {d: i for i, d in enumerate(docs)}
+                out: tuple[list, list, list] = ([], [], [])
+                for j, name in enumerate(names if docs else []):
+                    others = np.delete(np.arange(len(docs)), own[name]) if name in own else np.arange(len(docs))
+                    for i in others[_best(np.round(scores[others, j], 6), order[others], k)]:
+                        out[0].append(name)
+                        out[1].append(docs[i])
+                        out[2].append(float(scores[i, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+        return vectors.select("doc", "v").mapInArrow(run, f"query {types[0]}, doc {types[1]}, similarity double")
+
+    found = reduce(DataFrame.unionAll, [against(p) for p in _blocks(queries.select("query", "q"), "query", block)])
+    return top_k(found.withColumn("similarity", F.round("similarity", 6)), k)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
 def reply_terms(text: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.functions.durable import written
 
 
 def hash_sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
@@ -47,34 +47,30 @@ def quotas(counts: DataFrame, group: str, n: int) -> DataFrame:
     return floored.withColumn("left", left).withColumn("turn", order).select(group, "size", (F.col("seats") + F.when(F.col("turn") <= F.col("left"), 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
-def greedy_freeze(candidates: DataFrame, n: int, seed: str, most: int = 2000) -> DataFrame:
-    """Picks ``n`` candidates one by one: new flags first, then a new time bin, then distance from what is chosen, then hash.
+def greedy_freeze(candidates: DataFrame, n: int, seed: str, alike: float = 0.9) -> DataFrame:
+    """id, position of ``n`` candidates picked one by one: new flags first, then a new time bin, then distance from what is
+    chosen, then hash. Candidates whose tokens are as similar as ``alike`` to a chosen one's are left out.
 
-    Sequential by nature and meant for a few hundred cases, so it takes the first ``most`` in hash order, in one task.
-    ``candidates`` has id, text, bin and flags (array of strings).
+    Each pick is one aggregate over all candidates; only the chosen rows, at most ``n``, come to the driver. ``candidates``
+    has id, text, bin and flags (array of strings).
     """
-    pool = hash_sample(candidates.select("id", "text", "bin", "flags"), "id", seed, most)
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank_hash")
-        left = [(r.id, set(str(r.text).lower().split()), r.bin, set(r.flags), r.rank_hash) for r in rows.itertuples()]
-        chosen: list[int] = []
-        sets: list[set[str]] = []
-        flags: set[str] = set()
-        bins: set[int] = set()
-        while left and len(chosen) < n:
-            def worth(c):
-                far = min((1 - len(c[1] & s) / max(1, len(c[1] | s)) for s in sets), default=1.0)
-                return (-len(c[3] - flags), c[2] in bins, -far, c[4])
-
-            best = min(left, key=worth)
-            left.remove(best)
-            if any(best[1] == s for s in sets):
-                continue
-            chosen.append(best[0])
-            sets.append(best[1])
-            flags |= best[3]
-            bins.add(best[2])
-        return pd.DataFrame({"id": chosen, "position": range(1, len(chosen) + 1)})
-
-    return pool.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(pick, "id bigint, position bigint")
+    state = written(candidates.select("id", "bin", "flags", tx.token_set(F.col("text")).alias("tokens"), tx.hash_rank(seed, F.col("id")).alias("hash"), F.lit(1.0).alias("far")))
+    chosen: list = []
+    flags: set[str] = set()
+    bins: list = []
+    for position in range(n):
+        known = F.array(*map(F.lit, sorted(flags))).cast("array<string>")
+        old = F.col("bin").isin(bins) if bins else F.lit(False)
+        first = F.struct((-F.size(F.array_except("flags", known))).alias("new"), F.coalesce(old, F.lit(False)).alias("old"), (-F.col("far")).alias("near"), "hash", "id")
+        best = state.where(F.col("far") > 1 - alike).agg(F.min(first).alias("best")).first()["best"]
+        if best is None:
+            break
+        row = state.where(F.col("id") == best["id"]).select("bin", "flags", "tokens").first()
+        chosen.append((best["id"], position + 1))
+        flags |= set(row["flags"])
+        bins.append(row["bin"])
+        state = state.withColumn("far", F.least("far", 1 - tx.jaccard(F.col("tokens"), F.lit(row["tokens"]).cast("array<string>"))))
+        if position % 5 == 4:
+            state = written(state)
+    kind = candidates.schema["id"].dataType.simpleString()
+    return candidates.sparkSession.createDataFrame(chosen, f"id {kind}, position bigint")

@@ -40,28 +40,43 @@ def provisional_intent(text: Column, taxonomy: Taxonomy) -> Column:
     return F.when(best["score"] > 0, best["name"]).otherwise(taxonomy.default)
 
 
-def label(text: Column, taxonomy: Taxonomy, sensitive: list[str], low: float = 0.6) -> dict[str, Column]:
-    """Suggested intent (UNSURE without or with tied signals), confidence, action and flags."""
-    own = scores(text, taxonomy, bounded=True)
-    ranked = F.sort_array(F.array(*own), asc=False)
-    top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    active = sum(((s > 0).cast("int") for s in own), F.lit(0))
-    name = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-k).alias("place"), F.lit(i.name).alias("name")) for k, (s, i) in enumerate(zip(own, taxonomy.intents)))))["name"]
-    unsure = (top == 0) | (top == second)
-    confidence = F.when(top == 0, 0.20).when(top == second, 0.35).otherwise(F.round(F.least(F.lit(0.94), 0.54 + 0.12 * top + 0.06 * (top - second)), 2))
-    few = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))) <= 5
-    flags = F.array(
-        F.when((top > 0) & (top == second), "INTENT_TIE"),
-        F.when(few, "LOW_CONTEXT"),
-        F.when(confidence < low, "LOW_INTENT_CONFIDENCE"),
-        F.when(~unsure & (active > 1), "MULTI_INTENT_SIGNAL"),
-        F.when(top == 0, "NO_TAXONOMY_SIGNAL"),
-        F.when(((top > 0) & (top == second)) | (~unsure & (active > 1) & (top - second <= 1)), "TAXONOMY_BOUNDARY"),
-    )
-    escalate = unsure | tx.any_contains(F.lower(text), sensitive) | (active >= 3) | (name == taxonomy.default)
-    return {
-        "suggested_intent": F.when(unsure, "UNSURE").otherwise(name),
-        "intent_confidence": confidence,
-        "suggested_action": F.when(escalate, "ESCALATE").otherwise("AUTO_HANDLE"),
-        "flags": F.array_join(F.array_compact(flags), "|"),
-    }
+def label(text: Column, taxonomy: Taxonomy, sensitive: list[str], low: float = 0.6) -> Column:
+    """A struct: suggested_intent (UNSURE without or with tied signals), intent_confidence, suggested_action and flags.
+
+    Text and scores are bound once, so that each signal is looked for once however often its score is used.
+    """
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    places = F.array(*(F.struct(F.lit(-k).alias("place"), F.lit(i.name).alias("name")) for k, i in enumerate(taxonomy.intents)))
+
+    def counted(lowered: Column) -> Column:
+        has = lambda s: F.contains(lowered, F.lit(s)) & tx.signal_present(lowered, s)
+        own = [sum((has(s).cast("int") for s in i.signals), F.lit(0)) for i in taxonomy.intents]
+        few = F.size(F.regexp_extract_all(lowered, F.lit("[a-z0-9']+"), F.lit(0))) <= 5
+        return F.struct(F.array(*own).alias("own"), few.alias("few"), tx.any_contains(lowered, sensitive).alias("sensitive"))
+
+    def ranked(x: Column) -> Column:
+        best = F.array_max(F.zip_with(x["own"], places, lambda s, p: F.struct(s.alias("score"), p["place"].alias("place"), p["name"].alias("name"))))
+        down = F.sort_array(x["own"], asc=False)
+        return F.struct(F.get(down, F.lit(0)).alias("top"), F.get(down, F.lit(1)).alias("second"), F.size(F.filter(x["own"], lambda s: s > 0)).alias("active"), best["name"].alias("name"), x["few"].alias("few"), x["sensitive"].alias("sensitive"))
+
+    def judged(r: Column) -> Column:
+        top, second, active = r["top"], r["second"], r["active"]
+        unsure, tie = (top == 0) | (top == second), (top > 0) & (top == second)
+        confidence = F.when(top == 0, 0.20).when(top == second, 0.35).otherwise(F.round(F.least(F.lit(0.94), 0.54 + 0.12 * top + 0.06 * (top - second)), 2))
+        flags = F.array(
+            F.when(tie, "INTENT_TIE"),
+            F.when(r["few"], "LOW_CONTEXT"),
+            F.when(confidence < low, "LOW_INTENT_CONFIDENCE"),
+            F.when(~unsure & (active > 1), "MULTI_INTENT_SIGNAL"),
+            F.when(top == 0, "NO_TAXONOMY_SIGNAL"),
+            F.when(tie | (~unsure & (active > 1) & (top - second <= 1)), "TAXONOMY_BOUNDARY"),
+        )
+        escalate = unsure | r["sensitive"] | (active >= 3) | (r["name"] == taxonomy.default)
+        return F.struct(
+            F.when(unsure, "UNSURE").otherwise(r["name"]).alias("suggested_intent"),
+            confidence.alias("intent_confidence"),
+            F.when(escalate, "ESCALATE").otherwise("AUTO_HANDLE").alias("suggested_action"),
+            F.array_join(F.array_compact(flags), "|").alias("flags"),
+        )
+
+    return once(F.lower(text), lambda lowered: once(counted(lowered), lambda x: once(ranked(x), judged)))

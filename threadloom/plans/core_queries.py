@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.functions.durable import written
 from threadloom.operators import metrics, profile, sampling, splits, taxonomy, threads
 from threadloom.plans.registry import query
 from threadloom.plans.views import FAULTS, LEAK, MSGS, NORM, SPLIT_OF, WORDS, messages, split_docs, with_faults
@@ -51,12 +52,13 @@ def nested_threads(spark: SparkSession, d: str) -> DataFrame:
     return threads.nested(messages(spark, d)).select("conv_id", "message_count", "customer_messages", "brand_messages", F.sha2(threads.role_text(F.col("turns"), True), 256).alias("customer_text_hash"), replies[0]["text"].alias("first_reply"))
 
 
-@query("inconsistent_children", f"""WITH {MSGS}, r AS (SELECT parent_id AS source, message_id AS child FROM m WHERE parent_id IS NOT NULL UNION SELECT message_id, message_id FROM m WHERE conv_id % 9 = 0)
+@query("inconsistent_children", f"""WITH {MSGS}, r AS (SELECT parent_id AS source, message_id AS child FROM m WHERE parent_id IS NOT NULL UNION SELECT message_id, lead(message_id, 2) OVER (PARTITION BY conv_id ORDER BY turn) FROM m)
  SELECT source, child FROM r JOIN m ON m.message_id = r.child WHERE m.parent_id IS DISTINCT FROM r.source""")
 def inconsistent_children(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
     listed = m.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), F.col("message_id").alias("child"))
-    return threads.inconsistent_children(m, listed.union(m.where("conv_id % 9 = 0").select("message_id", "message_id")).distinct())
+    # Every message also lists the one after next, which answers another.
+    return threads.inconsistent_children(m, listed.union(m.select("message_id", F.lead("message_id", 2).over(Window.partitionBy("conv_id").orderBy("turn")))).distinct())
 
 
 @query("time_inversions", f"WITH {MSGS}, {FAULTS} SELECT f.id AS message_id, f.up AS parent_id FROM f JOIN m c ON c.message_id::VARCHAR = f.id JOIN m p ON p.message_id::VARCHAR = f.up WHERE c.turn < p.turn")
@@ -124,28 +126,28 @@ def time_bins(spark: SparkSession, d: str) -> DataFrame:
     return splits.time_bins(table(spark, d, "events"), "ts", "event_id", 7)
 
 
-KEYED = f"k AS (SELECT doc_id AS id, {SPLIT_OF} AS split, unnest([{LEAK.format('text')}, substr({NORM.format('text')}, 1, 240)]) AS key FROM documents WHERE {WORDS.format('text')} >= 8)"
+KEYED = f"k AS (SELECT doc_id AS id, {SPLIT_OF} AS split, unnest([{LEAK.format('text')}, substr({NORM.format('text')}, 1, 240)]) AS raw_key FROM documents WHERE {WORDS.format('text')} >= 8), kk AS (SELECT id, split, sha256(raw_key) AS key FROM k)"
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    docs = split_docs(spark, d).where(tx.word_count(F.col("text")) >= 8)
-    keys = F.array(tx.normalize_for_leakage(F.col("text")), F.substr(tx.normalized_reply(F.col("text")), F.lit(1), F.lit(240)))
-    return docs.select(F.col("doc_id").alias("id"), "split", F.explode(keys).alias("key"))
+    docs = split_docs(spark, d).where(tx.word_count(F.col("text")) >= 8).select(F.col("doc_id").alias("id"), "split", tx.normalized_reply(F.col("text")).alias("norm"))
+    keys = F.array(F.sha2(tx.numbers_masked(F.col("norm")), 256), F.sha2(F.substr("norm", F.lit(1), F.lit(240)), 256))
+    return written(docs.select("id", "split", F.explode(keys).alias("key")))  # read several times: texts are normalised once
 
 
-@query("exact_collisions", f"WITH {KEYED} SELECT sha256(key) AS key_hash, count(DISTINCT split) AS splits, count(DISTINCT id) AS ids, min(id) AS first_id FROM k GROUP BY key HAVING count(DISTINCT split) > 1")
+@query("exact_collisions", f"WITH {KEYED} SELECT key AS key_hash, count(DISTINCT split) AS splits, count(DISTINCT id) AS ids, min(id) AS first_id FROM kk GROUP BY key HAVING count(DISTINCT split) > 1")
 def exact_collisions(spark: SparkSession, d: str) -> DataFrame:
     return splits.exact_collisions(_keyed(spark, d))
 
 
-@query("decontaminate_exact", f"""WITH {KEYED}, t AS (SELECT DISTINCT key FROM k WHERE split = 'TRAIN'), dg AS (SELECT DISTINCT id FROM k WHERE split = 'DEVELOPMENT' AND key IN (SELECT key FROM t)),
- o AS (SELECT key FROM t UNION SELECT key FROM k WHERE split = 'DEVELOPMENT' AND id NOT IN (SELECT id FROM dg)), gg AS (SELECT DISTINCT id FROM k WHERE split = 'GOLD' AND key IN (SELECT key FROM o))
- SELECT DISTINCT id, split, id IN (SELECT id FROM dg UNION SELECT id FROM gg) AS dropped FROM k""")
+@query("decontaminate_exact", f"""WITH {KEYED}, t AS (SELECT DISTINCT key FROM kk WHERE split = 'TRAIN'), dg AS (SELECT DISTINCT id FROM kk WHERE split = 'DEVELOPMENT' AND key IN (SELECT key FROM t)),
+ o AS (SELECT key FROM t UNION SELECT key FROM kk WHERE split = 'DEVELOPMENT' AND id NOT IN (SELECT id FROM dg)), gg AS (SELECT DISTINCT id FROM kk WHERE split = 'GOLD' AND key IN (SELECT key FROM o))
+ SELECT DISTINCT id, split, id IN (SELECT id FROM dg UNION SELECT id FROM gg) AS dropped FROM kk""")
 def decontaminate_exact(spark: SparkSession, d: str) -> DataFrame:
     return splits.decontaminate_exact(_keyed(spark, d))
 
 
-PAIRS = f"""n AS (SELECT doc_id AS id, {SPLIT_OF} AS split, {LEAK.format('text')} AS t FROM documents WHERE n_chars <= 3000),
+PAIRS = f"""n AS (SELECT doc_id AS id, {SPLIT_OF} AS split, {LEAK.format('text')} AS t FROM documents),
  g AS (SELECT id, split, CASE WHEN t = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5))) END AS grams FROM n),
  s AS (SELECT id, split, len(grams) AS n, unnest(list_sort(list_transform(grams, lambda x: md5(x)))[1:12]) AS h FROM g), u AS (SELECT h FROM s GROUP BY h HAVING count(*) BETWEEN 2 AND 250),
  c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM s x JOIN s y USING (h) WHERE h IN (SELECT h FROM u) AND x.id < y.id AND x.split <> y.split AND least(x.n, y.n) >= 0.92::DOUBLE * greatest(x.n, y.n)),
@@ -153,8 +155,7 @@ PAIRS = f"""n AS (SELECT doc_id AS id, {SPLIT_OF} AS split, {LEAK.format('text')
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars <= 3000").select("doc_id")
-    return splits.near_pairs(split_docs(spark, d).join(docs, "doc_id", "left_semi"), "doc_id")
+    return splits.near_pairs(split_docs(spark, d), "doc_id")
 
 
 @query("near_duplicate_pairs", f"WITH {PAIRS} SELECT * FROM pairs")
@@ -167,21 +168,24 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
  gone AS (SELECT late FROM dv UNION SELECT late FROM z WHERE se = 'TRAIN' AND sl = 'GOLD' UNION SELECT z.late FROM z LEFT JOIN dv ON dv.late = z.early WHERE se = 'DEVELOPMENT' AND sl = 'GOLD' AND (gone_at IS NULL OR place < gone_at))
  SELECT id, split, id IN (SELECT late FROM gone) AS dropped FROM n""")
 def decontaminate_near(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars <= 3000").select("doc_id")
-    assigned = split_docs(spark, d).join(docs, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "split")
+    assigned = split_docs(spark, d).select(F.col("doc_id").alias("id"), "split")
     return splits.decontaminate_near(assigned, _near(spark, d))
 
 
-# The two queries above read only short documents, as their SQL does. These two read all documents.
+# A value that more than 250 documents share proposes no pairs above, as in the semantics followed there. These two have no such
+# limit: documents with equal grams are compared once for each split, and tokens count beside characters.
 @query("near_duplicate_pairs_whole", None)
 def near_duplicate_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
-    return splits.near_pairs(split_docs(spark, d), "doc_id")
+    return splits.near_pairs(split_docs(spark, d), "doc_id", token_threshold=0.9, most=None)
 
 
 @query("decontaminate_near_whole", None)
 def decontaminate_near_whole(spark: SparkSession, d: str) -> DataFrame:
     docs = split_docs(spark, d)
-    return splits.decontaminate_near(docs.select(F.col("doc_id").alias("id"), "split"), splits.near_pairs(docs, "doc_id"))
+    members = splits.copies(docs, "doc_id")
+    pairs = splits.near_pairs(docs, "doc_id", token_threshold=0.9, most=None)
+    found = splits.decontaminate_near(members.where("id = rep").select("id", "split"), pairs).select(F.col("id").alias("rep"), "dropped")
+    return members.join(found, "rep").select("id", "split", "dropped")
 
 
 @query("sanitize_text", r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '@[A-Za-z0-9_]+', '<HANDLE>', 'g'), '[0-9]{7,}', '<NUMBER>', 'g'), '\s+', ' ', 'g'), ' ')) AS clean_hash FROM documents""")
@@ -210,7 +214,7 @@ _WHOLE = lambda i: " + ".join(f"regexp_matches(lower(text), '(^|[^a-z0-9]){s}($|
  CASE WHEN top = 0 THEN 'NO_TAXONOMY_SIGNAL' END, CASE WHEN (top > 0 AND top = sec) OR (NOT unsure AND act > 1 AND top - sec <= 1) THEN 'TAXONOMY_BOUNDARY' END], lambda x: x IS NOT NULL), '|') AS flags FROM c""")
 def provisional_labels(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", *(c.alias(n) for n, c in taxonomy.label(F.col("text"), WHOLE, SENSITIVE).items()))
+    return docs.select("doc_id", taxonomy.label(F.col("text"), WHOLE, SENSITIVE).alias("label")).select("doc_id", "label.*")
 
 
 @query("round_robin_sample", "SELECT doc_id, lang, rn FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('rr:' || doc_id), doc_id) AS rn FROM documents) ORDER BY rn, lang LIMIT 60")
@@ -241,7 +245,7 @@ def freeze_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     flags = sampling.challenge_flags(F.col("text"), F.lit(False))
     names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items())))
-    return sampling.greedy_freeze(docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 4).alias("bin"), names.alias("flags")), 30, "fz", 300)
+    return sampling.greedy_freeze(docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 4).alias("bin"), names.alias("flags")), 30, "fz")
 
 
 GOLD = """g AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS gold, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'stupid') THEN 'toxic' WHEN regexp_matches(text, '[#%&|]|!!') THEN 'poor' ELSE 'good' END AS pred,
@@ -313,7 +317,5 @@ BOOT = """v AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, sum((lang
 
 @query("bootstrap_ratio", f"WITH {BOOT} SELECT (SELECT round(sum(num) / sum(den), 8) FROM v) AS estimate, round(quantile_cont(x, 0.025), 8) AS low, round(quantile_cont(x, 0.975), 8) AS high FROM x")
 def bootstrap_ratio(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     per = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("num"), F.count("*").alias("den"))
     return metrics.bootstrap(per.withColumn("pos", F.row_number().over(Window.orderBy("source")).cast("bigint") - 1), "b", 500)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.functions.durable import written
 from threadloom.operators import compare, contracts, gates, models, retrieval, taxonomy
 from threadloom.plans.core_queries import GENERIC, INTENTS, TAXONOMY
 from threadloom.plans.registry import query
-from threadloom.plans.views import LEAK, MSGS, SPLIT_OF, messages, split_docs
+from threadloom.plans.views import LEAK, MSGS, NORM, SPLIT_OF, messages, split_docs
 from threadloom.sources.tables import table
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
@@ -26,14 +27,8 @@ def _tokens(column: str):
     return F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9']+"), F.lit(0))
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    weights, idf = retrieval.term_weights(table(spark, d, "documents"), "doc_id", _tokens("text"), least_docs=2)
-    asked, _ = retrieval.term_weights(table(spark, d, "benchmark"), "item_id", _tokens("text"), idf)
-    return retrieval.similarities(asked, weights)
-
-
-def _top(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_similar(spark, d), 5)
+def _top(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    return retrieval.top_similar(table(spark, d, "benchmark"), "item_id", _tokens("text"), table(spark, d, "documents"), "doc_id", _tokens("text"), k, least_docs=2)
 
 
 @query("tfidf_topk", f"WITH {TFIDF} SELECT query, doc, similarity, rank FROM top")
@@ -61,7 +56,7 @@ WEIGHTS = {"similarity": 0.6, "intent_match": 0.25, "quality": 0.15, "template_p
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "n_chars", taxonomy.provisional_intent(F.col("text"), TAXONOMY).alias("intent"))
-    pool = retrieval.top_k(_similar(spark, d), 20).drop("rank").join(docs, "doc")
+    pool = _top(spark, d, 20).drop("rank").join(docs, "doc")
     pool = pool.withColumns({"intent_match": (F.col("intent") == "billing").cast("double"), "quality": F.least(F.col("n_chars") / 500.0, F.lit(1.0)), "template_penalty": (F.col("doc") % 3) / 9.0})
     return retrieval.hybrid(pool, WEIGHTS, 5)
 
@@ -116,30 +111,30 @@ def grounded_reply(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("reply", reply).select("message_id", "reply", F.array_join(gates.verify(F.col("reply"), F.col("text"), ["we have refunded"]), "|").alias("failures"))
 
 
-@query("template_cap", f"""WITH {MSGS} SELECT message_id, template_frequency FROM (SELECT message_id, count(*) OVER (PARTITION BY t) AS template_frequency, row_number() OVER (PARTITION BY t ORDER BY message_id) AS rn FROM (SELECT message_id, substr(lower(text), 1, 6) AS t FROM m WHERE NOT inbound)) WHERE rn <= 2""")
+@query("template_cap", f"""WITH {MSGS} SELECT message_id, template_frequency FROM (SELECT message_id, count(*) OVER (PARTITION BY t) AS template_frequency, row_number() OVER (PARTITION BY t ORDER BY message_id) AS rn FROM (SELECT message_id, {NORM.format("text")} AS t FROM m WHERE NOT inbound)) WHERE rn <= 2""")
 def template_cap(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d).where(~F.col("inbound")).select("message_id", F.substr(F.lower("text"), F.lit(1), F.lit(6)).alias("t"))
+    m = messages(spark, d).where(~F.col("inbound")).select("message_id", F.sha2(tx.normalized_reply(F.col("text")), 256).alias("t"))
     return retrieval.capped_templates(m, "t", "message_id", 2).select("message_id", "template_frequency")
 
 
-@query("embedding_topk", """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query, vec_id AS doc, round(list_sum(list_transform(list_zip(q, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS similarity FROM q, embeddings WHERE vec_id <> query)
+@query("embedding_topk", """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS doc, round(list_sum(list_transform(list_zip(q, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS similarity FROM q, embeddings WHERE vec_id <> query)
  SELECT query, doc, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM s) WHERE rank <= 5""")
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    asked = v.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     return retrieval.vector_top_k(asked, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")), 5)
 
 
-@query("recall_mrr", f"""WITH {TFIDF}, rel AS (SELECT DISTINCT item_id AS query, doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))), z AS (SELECT query, count(*) AS size FROM rel GROUP BY 1),
+@query("recall_mrr", f"""WITH {TFIDF}, bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM bw)),
+ ww AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), wg AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM ww)), rel AS (SELECT DISTINCT item_id AS query, doc_id AS item FROM bg JOIN wg USING (g)), z AS (SELECT query, count(*) AS size FROM rel GROUP BY 1),
  h AS (SELECT t.query, count(*) FILTER (rank <= 3) AS found, min(rank) AS first FROM top t JOIN rel ON rel.query = t.query AND rel.item = t.doc GROUP BY 1)
  SELECT count(*) AS queries, round(avg(coalesce(found, 0) / size), 8) AS recall, round(avg(coalesce(1.0 / first, 0)), 8) AS mrr FROM z LEFT JOIN h USING (query)""")
 def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     from threadloom.operators.metrics import recall_mrr as metric
 
-    # The benchmark is a fixed small table; each of its items is searched for as a prefix in every document.
-    heads = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.substr("text", F.lit(1), F.lit(40)).alias("head"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text")
-    relevant = docs.join(F.broadcast(heads), F.contains("text", F.col("head"))).select("query", "item").distinct()
+    # A document is relevant for an item if they have any eight words in a row in common, wherever these stand.
+    runs = lambda name, key, out: table(spark, d, name).select(F.col(key).alias(out), F.explode(retrieval.word_runs(_tokens("text"), 8)).alias("run"))
+    relevant = written(runs("benchmark", "item_id", "query").distinct().join(runs("documents", "doc_id", "item"), "run").select("query", "item").distinct())
     return metric(_top(spark, d).select("query", F.col("doc").alias("item"), "rank"), relevant, 3)
 
 
@@ -187,10 +182,10 @@ def distribution(spark: SparkSession, d: str) -> DataFrame:
     return compare.distribution(split_docs(spark, d), "lang", "split")
 
 
-@query("distribution_shift", f"WITH {_DIST} SELECT value, points, CASE WHEN points < 15 THEN 'LOW' WHEN points <= 30 THEN 'MODERATE' ELSE 'HIGH' END AS level FROM (SELECT coalesce(a.value, b.value) AS value, round(100 * abs(coalesce(a.rate, 0) - coalesce(b.rate, 0)), 6) AS points FROM (SELECT * FROM y WHERE split = 'TRAIN') a FULL JOIN (SELECT * FROM y WHERE split = 'GOLD' AND value <> 'es') b USING (value))")
+@query("distribution_shift", f"WITH {_DIST} SELECT value, points, CASE WHEN points < 15 THEN 'LOW' WHEN points <= 30 THEN 'MODERATE' ELSE 'HIGH' END AS level FROM (SELECT coalesce(a.value, b.value) AS value, round(100 * abs(coalesce(a.rate, 0) - coalesce(b.rate, 0)), 6) AS points FROM (SELECT * FROM y WHERE split = 'TRAIN') a FULL JOIN (SELECT * FROM y WHERE split = 'GOLD') b USING (value))")
 def distribution_shift(spark: SparkSession, d: str) -> DataFrame:
     x = compare.distribution(split_docs(spark, d), "lang", "split")
-    return compare.shift(x.where("split = 'TRAIN'"), x.where("split = 'GOLD' AND value <> 'es'"))
+    return compare.shift(x.where("split = 'TRAIN'"), x.where("split = 'GOLD'"))
 
 
 @query("contract_violations", """WITH b AS (SELECT conv_id * 1000 + turn AS key, role, text FROM conversations) SELECT key, 'ROLE' AS rule FROM b WHERE coalesce(role NOT IN ('user', 'assistant'), TRUE)
@@ -205,10 +200,10 @@ def id_digest(spark: SparkSession, d: str) -> DataFrame:
     return contracts.id_digest(table(spark, d, "documents"), "doc_id", "source")
 
 
-@query("store_merge", """SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0) AND doc_id % 5 = 0""")
+@query("store_merge", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def store_merge(spark: SparkSession, d: str) -> DataFrame:
-    stored = table(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", "quality")
-    new = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(9).alias("quality"))
+    stored = table(spark, d, "labels").select("doc_id", "quality")
+    new = table(spark, d, "documents").select("doc_id", F.lit(9).alias("quality"))
     return contracts.insert_only(stored, new, "doc_id")
 
 
@@ -228,7 +223,7 @@ def ids_subtract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
 
 
-_BENCHMARK_SQL = f"""WITH dd AS (SELECT doc_id, list_distinct({_TOK.format(LEAK.format('text'))}) AS t FROM documents WHERE n_chars < 1500), b AS (SELECT item_id, list_distinct({_TOK.format(LEAK.format('text'))}) AS t FROM benchmark),
+_BENCHMARK_SQL = f"""WITH dd AS (SELECT doc_id, list_distinct({_TOK.format(LEAK.format('text'))}) AS t FROM documents), b AS (SELECT item_id, list_distinct({_TOK.format(LEAK.format('text'))}) AS t FROM benchmark),
  dx AS (SELECT doc_id, unnest(t) AS w FROM dd), bx AS (SELECT item_id, unnest(t) AS w FROM b), s AS (SELECT doc_id, item_id, count(*) AS same FROM dx JOIN bx USING (w) GROUP BY 1, 2)
  SELECT item_id, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rn FROM (SELECT item_id, doc_id, round(same / (len(dd.t) + len(b.t) - same), 8) AS similarity FROM s JOIN dd USING (doc_id) JOIN b USING (item_id))) WHERE rn <= 3"""
 
@@ -244,11 +239,10 @@ def _benchmark_similarity(spark: SparkSession, d: str, docs: DataFrame) -> DataF
 
 @query("benchmark_similarity", _BENCHMARK_SQL)
 def benchmark_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark_similarity(spark, d, table(spark, d, "documents").where("n_chars < 1500"))
+    return _benchmark_similarity(spark, d, table(spark, d, "documents"))
 
 
-#: The query above reads only short documents, as its SQL does. This one reads all documents.
-@query("benchmark_similarity_whole", _BENCHMARK_SQL.replace(" WHERE n_chars < 1500", ""))
+@query("benchmark_similarity_whole", _BENCHMARK_SQL)
 def benchmark_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
     return _benchmark_similarity(spark, d, table(spark, d, "documents"))
 
