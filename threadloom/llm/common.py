@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,13 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict[str, object]]) -> DataFrame:
-    """``mapInArrow`` for a function from one record batch to a dict of columns."""
+def map_rows(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], dict[str, object]], rows: int = 2000) -> DataFrame:
+    """``mapInArrow`` for a function from one record batch to a dict of columns; it gets at most ``rows`` rows at a time, so that
+    no more results than theirs are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = function(batch.slice(at, rows))
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
@@ -41,7 +45,11 @@ _held: dict[str, object] = {}
 def held(key: str, make: Callable[[], object]) -> object:
     """What this Python worker has made under ``key``. It holds one thing at a time, as workers outlive a query's stages."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give the freed pages back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
         _held[key] = make()
     return _held[key]
 

@@ -225,7 +225,7 @@ def train(
     return LanguageModel(languages, logs.astype(np.float32), shares >= 0.01, penalty)
 
 
-def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, batch_chars: int = 8_000_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, batch_chars: int = 3_000_000) -> DataFrame:
     """doc_id, predicted, score and spans (start, end in code points, lang) of every row; with ``keep``, those columns as well."""
     shared, key = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.scripts, model.penalty)), uuid.uuid4().hex
 
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     names = keep or [doc_id]
     frame = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), *(F.col(f"`{n}`") for n in names))
     kinds = ", ".join(f"`{n}` {frame.schema[n].dataType.simpleString()}" for n in names)
-    return map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run)
+    return map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run, rows=10_000)
 
 
 def _portions(texts: list[str | None], most: int):

@@ -27,7 +27,7 @@ _SYMBOLS = "#*$%&|<>"
 
 def words(text: Column) -> Column:
     """The words of a text: runs of anything but ASCII white space."""
-    return F.filter(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
 
 
 def repeated_words(tokens: Column) -> Column:
@@ -64,25 +64,32 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def ngram_buckets(tokens: Column, buckets: int) -> Column:
-    """The buckets of a document's unigrams and bigrams."""
-    bucket = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
-    return F.concat(
-        F.transform(tokens, lambda w: bucket(w)),
-        F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: bucket(F.get(tokens, i), F.get(tokens, i + 1)))).otherwise(F.array().cast("array<int>")),
-    )
+def _bucket(buckets: int, *words: Column) -> Column:
+    return F.pmod(F.xxhash64(*words), F.lit(buckets)).cast("int")
+
+
+def gram_rows(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket of every unigram and bigram of the column ``text``, row by row, so that all of it runs in generated code."""
+    tokens = texts.select(words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    pairs = tokens.select(F.inline(F.arrays_zip(F.col("tokens").alias("w"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("v"))))
+    both = F.array(_bucket(buckets, F.col("w")), F.when(F.col("v").isNotNull(), _bucket(buckets, F.col("w"), F.col("v"))))
+    return pairs.select(F.explode(both).alias("bucket")).where(F.col("bucket").isNotNull())
+
+
+def total_ratio(tokens: Column, ratios: Column, buckets: int) -> Column:
+    """The sum of the log ratios of a document's unigrams and bigrams."""
+    follows = lambda i: F.get(tokens, i + 1)
+    own = F.transform(tokens, lambda w, i: F.get(ratios, _bucket(buckets, w)) + F.when(i < F.size(tokens) - 1, F.get(ratios, _bucket(buckets, w, follows(i)))).otherwise(0.0))
+    return F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row with ``ratios``, an array of log(p trusted / p raw) by bucket. ``trusted`` has ids, ``doc_id``."""
     frame = slim(docs, doc_id=doc_id, text=text)
 
-    def grams(rows: DataFrame, trusted: int) -> DataFrame:
-        tokens = rows.select(words(F.coalesce("text", F.lit(""))).alias("tokens"))
-        return tokens.select(F.lit(trusted).alias("trusted"), F.explode(ngram_buckets(F.col("tokens"), buckets)).alias("bucket"))
-
     # A hash join builds on ids alone and never sorts texts.
-    both = grams(frame, 0).unionAll(grams(frame.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi"), 1))
+    target = frame.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+    both = gram_rows(frame, buckets).withColumn("trusted", F.lit(0)).unionAll(gram_rows(target, buckets).withColumn("trusted", F.lit(1)))
     counts = both.groupBy("bucket").agg(F.count_if(F.col("trusted") == 0).alias("raw"), F.sum("trusted").alias("target"))
     spark = docs.sparkSession
     full = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
@@ -115,7 +122,7 @@ def apply_rules(
     ratios = log_ratios(docs, trusted_ids(labels), buckets, doc_id, text).scalar()
     # The optimizer folds this column into the sum below; it is never written out row by row.
     counted = base_counts(docs, doc_id, text).withColumn("ratios", ratios)
-    total = F.aggregate(ngram_buckets(F.col("tokens"), buckets), F.lit(0.0), lambda a, b: a + F.get("ratios", b))
+    total = total_ratio(F.col("tokens"), F.col("ratios"), buckets)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     scored = counted.withColumn("score", F.when(F.col("n_words") == 0, 0.0).otherwise(total / (2 * F.col("n_words") - 1)))
     return scored.drop("tokens", "ratios").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
