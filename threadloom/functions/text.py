@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 
 URL = r"https?://\S+|www\.\S+"
 WORD = r"[\p{L}\p{N}_]+(?:'+[\p{L}\p{N}_]+)*"
-#: Words too common to tell contents apart.
-STOP_WORDS = "a an and are as at be but by can for from had has have i if in is it its me my of on or our so that the this to was we with you your".split()
+#: Words that say nothing about content, besides the name of the brand.
+STOP_WORDS = "a about and are at be can do for from have how i in is it let me more my of on or please tell that the this to us what when which with you your".split()
+#: Phrases of questions that fit any request.
+GENERIC_QUESTIONS = (
+    "what's happening", "what is happening", "tell us more", "give us more detail", "give us more info",
+    "what you need", "how we can assist", "what you're looking for", "what issues are you having",
+)
+#: What a question may ask for, and what in a request shows that it is known.
+KNOWN_CONTEXT = (
+    (("device", "phone", "model"), ("iphone", "ipad", "android", "samsung", "windows", "mac", "ps4", "playstation", "bmw")),
+    (("operating system", " os", "ios", "android version"), ("ios", "android", "windows", "macos")),
+    (("app version", "version are you", "version you're"), ("version", "latest", "8.")),
+    (("error message", "error messages"), ("error", "no error")),
+    (("playlists",), ("playlist", "playlists")),
+)
 
 
 def any_contains(text: Column, terms: list[str]) -> Column:
@@ -111,16 +124,20 @@ def sanitize_public(text: Column) -> Column:
 
 
 def sanitize_reply(text: Column) -> Column:
-    """A reply without links, handles, addresses, long numbers and initials."""
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"')):
+    """A reply without links, placeholders, handles, addresses, long numbers, an agent's initials and the name after a greeting."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    for pattern in (URL, "<(?:url|mention|number)>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@[A-Za-z0-9_]+", "[0-9]{7,}", r"/[A-Z]{2,3}\b"):
-        text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(collapse(text), r" +([.,!?;:])", "$1"))
+    for pattern, new in (
+        (URL + "|<(?:url|email|mention|number)>", " "), ("@[A-Za-z0-9_]+", " "), (r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", " "),
+        (r"\b[0-9]{7,}\b", " "), (r"(^|\s)/[A-Z]{1,3}(\s|$|[.!?])", "$1$2"), (r"\s+", " "), ("^[ -]+|[ -]+$", ""),
+        (r"^(Hey|Hi|Hello)\s+[A-Z][a-z]{1,24}([!.])", "$1$2"), (r"\s+([,.!?])", "$1"), ("^[ -]+|[ -]+$", ""),
+    ):
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def without_greeting(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)^\s*(?:hey|hi|hello)(?: there)?[\s,!.-]*", "")
+    return F.trim(F.regexp_replace(text, r"(?i)^(?:hey|hi|hello)(?: there)?[,.!]*\s*", ""))
 
 
 def clean_exploration(text: Column) -> Column:
@@ -128,8 +145,78 @@ def clean_exploration(text: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z']+"), F.lit(0))
-    return F.array_except(F.filter(words, lambda w: F.length(w) > 2), F.array(*map(F.lit, STOP_WORDS)))
+    return F.array_except(F.filter(plain_tokens(text), lambda w: F.length(w) > 2), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def plain_tokens(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z']+"), F.lit(0)))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def generic_question(text: Column) -> Column:
+    return any_contains(F.lower(text), list(GENERIC_QUESTIONS))
+
+
+def asks_for_known(question: Column, customer: Column) -> Column:
+    """Whether a question asks for what the customer has already said."""
+    q, c = F.lower(question), F.lower(customer)
+    return reduce(or_, (any_contains(q, list(ask)) & any_contains(c, list(known)) for ask, known in KNOWN_CONTEXT))
+
+
+def question_only(text: Column) -> Column:
+    own = sentences(text)
+    return (F.size(own) > 0) & F.forall(own, lambda x: x.endswith("?"))
+
+
+def coverage_failure(reply: Column, customer: Column) -> Column:
+    """A reply of questions alone that asks for what is known, or of generic ones although the customer was specific."""
+    own = sentences(reply)
+    known = F.exists(own, lambda x: asks_for_known(x, customer))
+    bland = (F.size(content_tokens(customer)) >= 4) & F.forall(own, generic_question)
+    return question_only(reply) & (known | bland)
+
+
+def customer_parts(context: Column) -> Column:
+    """What the customer said in a context of parts such as CUSTOMER: text, divided by two bars."""
+    mine = F.filter(F.split(context, r" \|\| "), lambda x: x.startswith("CUSTOMER: "))
+    return F.transform(mine, lambda x: F.substr(x, F.lit(11)))
+
+
+def customer_only(context: Column, message: Column) -> Column:
+    """The customer's parts joined, or the message where there are none."""
+    own = customer_parts(context)
+    return F.when(F.size(own) > 0, F.array_join(own, " ")).otherwise(message)
+
+
+def customer_context(context: Column, message: Column) -> Column:
+    """The customer's parts, each once and without the message itself."""
+    return F.filter(F.array_distinct(customer_parts(context)), lambda x: x != message)
+
+
+def split_context(clip: Column, message: Column) -> Column:
+    """What a clipped context has beyond the message that it begins with."""
+    return F.when(clip.startswith(message), F.trim(F.substr(clip, F.length(message) + 1))).otherwise(clip)
+
+
+def plain_form(text: Column) -> Column:
+    """Lower case, letters and digits with single spaces: the form in which extracts are recognised."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def provider_message(text: Column, most: int = 300) -> Column:
+    """An error message without keys and links, clipped."""
+    hidden = F.regexp_replace(F.regexp_replace(text, r"(?i)(key|token|bearer)[=: ]+\S+", "$1 <hidden>"), URL, "<url>")
+    return F.substr(collapse(hidden), F.lit(1), F.lit(most))
+
+
+def retry_seconds(text: Column) -> Column:
+    """The wait that an error message asks for, in seconds; null without one."""
+    found = F.regexp_extract(text, r"(?i)(?:retry|try again)[a-z ]*(?:after|in)[ :]+([0-9.]+(?:ms|s|m|h)?[0-9.]*s?)", 1)
+    return F.when(found == "", None).when(found.rlike(r"^[0-9.]+$"), found.try_cast("double")).otherwise(duration_seconds(found))
 
 
 def reply_quality(text: Column) -> Column:
@@ -174,5 +261,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
 
+def wait_seconds(attempt: Column, asked: Column | None = None, most: float = 600.0) -> Column:
+    """How long to wait before trying again: doubling, or a little more than what was asked for, within a bound."""
+    doubled = F.pow(F.lit(2.0), attempt)
+    return F.least(F.greatest(doubled, F.coalesce(asked + 0.5, F.lit(0.0))) if asked is not None else doubled, F.lit(most))
+
+
 def bucket(value: Column, low: float, high: float) -> Column:
     return F.when(value < low, "LOW").when(value < high, "MEDIUM").otherwise("HIGH")

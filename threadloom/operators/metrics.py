@@ -79,15 +79,15 @@ def order_bias(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(ratio(F.count_if(F.col("first") != mirrored), F.count("*")), 8).alias("flip_rate"), F.round(ratio(F.count_if(F.col("first") == "A") + F.count_if(F.col("second") == "A"), 2 * F.count("*")), 8).alias("first_position_share"))
 
 
-def bootstrap(values: DataFrame, seed: str, samples: int, numerator: str = "num", denominator: str = "den", level: float = 0.95, most: int = 100_000) -> DataFrame:
+def bootstrap(values: DataFrame, seed: str, samples: int, numerator: str = "num", denominator: str = "den", level: float = 0.95) -> DataFrame:
     """estimate, low, high of sum(num) / sum(den). ``values`` has pos (0 to n - 1), num, den.
 
     Every replicate draws n positions by hash, so the result depends on nothing but the data and the seed. The draws are
     rows of a distributed range, and a draw meets its value by a join on the position.
     """
     n = values.count()
-    if n == 0 or n > most:
-        raise ValueError(f"{n} values; resampling takes 1 to {most}")
+    if n == 0:
+        raise ValueError("there are no values")
     draws = values.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
     unit = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(2.0**48)
     placed = draws.select("rep", F.floor(unit * n).cast("bigint").alias("pos"))

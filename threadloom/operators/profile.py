@@ -39,6 +39,50 @@ def profile(messages: DataFrame, brand: str, text: str, actionable: list[str], g
     )
 
 
+def thread_profile(messages: DataFrame, pairs: DataFrame, brand: str = "brand") -> DataFrame:
+    """One row a brand on its threads, from messages with root and thread_size (``threads.with_roots``) and linked pairs (brand,
+    customer_message): linked customers and pairs, threads, threads of three messages or more, how complete its links to parents
+    are, and how varied its customers' messages are."""
+    out = messages.where(~F.col("inbound"))
+    ids = messages.select(F.col("message_id").alias("_p"), F.lit(True).alias("present"))
+    mine = out.join(ids, out["parent_id"] == ids["_p"], "left").groupBy(brand).agg(
+        F.count("*").alias("messages"),
+        F.count_distinct("root").alias("threads"),
+        F.count_distinct(F.when(F.col("thread_size") >= 3, F.col("root"))).alias("multi_turn_threads"),
+        F.count_if("present").alias("linked"),
+        F.count_if(F.col("parent_id").isNotNull() & F.col("present").isNull()).alias("orphaned"),
+    )
+    said = messages.select(F.col("message_id").alias("customer_message"), F.sha2(tx.normalized_reply(F.col("text")), 256).alias("norm"))
+    asked = pairs.join(said, "customer_message").groupBy(brand).agg(F.count("*").alias("pairs"), F.count_distinct("customer_message").alias("customers"), F.count_distinct("norm").alias("different"))
+    share = lambda a, b: F.round(tx.ratio(F.col(a), F.col(b)), 8)
+    return mine.join(asked, brand, "left").fillna(0, ["pairs", "customers", "different"]).select(
+        brand, "customers", "pairs", "threads", "multi_turn_threads", share("linked", "messages").alias("parent_completeness"),
+        share("orphaned", "messages").alias("orphan_rate"), share("different", "customers").alias("customer_diversity"),
+    )
+
+
+def top_templates(messages: DataFrame, brand: str, text: str) -> DataFrame:
+    """The most frequent normalised reply of each brand, and how often; ties by text."""
+    counts = messages.groupBy(brand, tx.normalized_reply(F.col(text)).alias("template")).agg(F.count("*").alias("n"))
+    return counts.groupBy(brand).agg(F.min(F.struct((-F.col("n")).alias("less"), "template")).alias("best")).select(brand, F.col("best.template").alias("template"), (-F.col("best.less")).alias("n"))
+
+
+def volume_floor(messages: DataFrame, brand: str, least: int) -> DataFrame:
+    return messages.groupBy(brand).agg(F.count("*").alias("messages")).where(F.col("messages") >= least)
+
+
+def extreme(profiles: DataFrame, metric: str, name: str = "brand") -> DataFrame:
+    """The brands with the highest and the lowest value; ties by name."""
+    first = lambda c: F.min(F.struct(c.alias("v"), F.col(name).alias("name")))["name"]
+    return profiles.agg(first(-F.col(metric)).alias("highest"), first(F.col(metric)).alias("lowest"))
+
+
+def ordinal(rows: DataFrame, group: str, level: str) -> DataFrame:
+    """The mean of manual levels: HIGH 1, MEDIUM one half, LOW 0; one half where there are none."""
+    value = F.when(F.col(level) == "HIGH", 1.0).when(F.col(level) == "MEDIUM", 0.5).when(F.col(level) == "LOW", 0.0)
+    return rows.groupBy(group).agg(F.round(F.coalesce(F.avg(value), F.lit(0.5)), 8).alias("value"))
+
+
 def select_best(profiles: DataFrame, priority: list[str], name: str = "brand") -> DataFrame:
     """The row that comes first by the metrics in order, larger first and missing last, then by name."""
     return profiles.orderBy(*(F.desc_nulls_last(c) for c in priority), F.lower(name), name).limit(1)

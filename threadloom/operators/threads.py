@@ -92,3 +92,42 @@ def inversions(messages: DataFrame, time: str = "turn") -> DataFrame:
     """Messages that are older than their parent."""
     p = messages.select(F.col("message_id").alias("parent_id"), F.col(time).alias("_t"))
     return messages.join(p, "parent_id").where(F.col(time) < F.col("_t")).select("message_id", "parent_id")
+
+
+def missing_children(messages: DataFrame, references: DataFrame) -> DataFrame:
+    """References (source, child) whose child is not there."""
+    return references.join(messages.select(F.col("message_id").alias("child")), "child", "left_anti").select("source", "child")
+
+
+def quality(messages: DataFrame, references: DataFrame, found: DataFrame, time: str = "turn") -> DataFrame:
+    """One row of counters over messages, child references (source, child) and roots (node, root, cyclic), anomalies included.
+
+    Ids are compared as strings, as roots have them.
+    """
+    m = messages.withColumns({"message_id": F.col("message_id").cast("string"), "parent_id": F.col("parent_id").cast("string")})
+    refs = references.select(F.col("source").cast("string").alias("source"), F.col("child").cast("string").alias("child")).distinct()
+    base = summary(m.join(found.select(F.col("node").alias("message_id"), "root"), "message_id"), thread="root").drop("branching_threads")
+    branches = m.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("node")).agg(F.count("*").alias("n")).where("n > 1")
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    for one in (
+        count(m.where(F.col("parent_id").isNull()), "root_messages"),
+        count(refs, "child_references"),
+        count(missing_children(m, refs), "missing_children"),
+        count(inconsistent_children(m, refs), "inconsistent_children"),
+        count(inversions(m, time), "chronological_inconsistencies"),
+        found.join(branches, "node").agg(F.count_distinct("root").alias("branching_threads")),
+        found.where("cyclic").agg(F.count_distinct("root").alias("cyclic_components")),
+    ):
+        base = base.join(F.broadcast(one))  # each is one row
+    return base
+
+
+def with_roots(messages: DataFrame, found: DataFrame) -> DataFrame:
+    """Messages with root, cyclic and the size of their thread."""
+    m = messages.withColumn("node", F.col("message_id").cast("string")).join(found, "node")
+    return m.join(found.groupBy("root").agg(F.count("*").alias("thread_size")), "root").drop("node")
+
+
+def timed(threads: DataFrame, time: str = "turn") -> DataFrame:
+    """Threads all of whose turns have a time."""
+    return threads.where(F.forall("turns", lambda t: t[time].isNotNull()))

@@ -1,4 +1,3 @@
 """Plans: the registered queries. Importing this package fills the registry."""
 
-from threadloom.plans import core_queries  # noqa: F401
-from threadloom.plans import decision_queries  # noqa: F401, E402
+from threadloom.plans import core_queries, decision_queries, service_queries  # noqa: F401

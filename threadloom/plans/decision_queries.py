@@ -107,8 +107,10 @@ def decision(spark: SparkSession, d: str) -> DataFrame:
 @query("grounded_reply", None)
 def grounded_reply(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).where(~F.col("inbound")).select("message_id", "text")
-    reply = gates.compose(F.col("text"), GENERIC[:1])
-    return m.withColumn("reply", reply).select("message_id", "reply", F.array_join(gates.verify(F.col("reply"), F.col("text"), ["we have refunded"]), "|").alias("failures"))
+    reply = gates.compose(F.col("text"), GENERIC[:1], ["tion", "ung", "ment"])
+    cases = F.array(F.struct(F.lit("own").alias("id"), F.col("text").alias("reply")))
+    check = gates.verify(F.col("reply"), cases, F.array(F.lit("own")), F.lit(""), {"unsupported_action": ["we have refunded"]})
+    return m.withColumn("reply", reply).select("message_id", "reply", F.array_join(check["codes"], "|").alias("failures"))
 
 
 @query("template_cap", f"""WITH {MSGS} SELECT message_id, template_frequency FROM (SELECT message_id, count(*) OVER (PARTITION BY t) AS template_frequency, row_number() OVER (PARTITION BY t ORDER BY message_id) AS rn FROM (SELECT message_id, {NORM.format("text")} AS t FROM m WHERE NOT inbound)) WHERE rn <= 2""")

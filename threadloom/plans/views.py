@@ -24,15 +24,16 @@ MSGS = """m AS (SELECT conv_id, turn, conv_id * 1000 + turn AS message_id,
 
 
 def with_faults(m: DataFrame) -> DataFrame:
-    """Some first messages answer a missing one, and some answer the last of their own thread, which makes a cycle."""
+    """Some first messages answer a missing one, themselves, or the last of their own thread, which makes a cycle; some fourth
+    ones answer the second, which makes a branch."""
     last = F.max("message_id").over(Window.partitionBy("conv_id"))
-    parent = F.when((F.col("turn") == 0) & (F.col("conv_id") % 7 == 0), last).when((F.col("turn") == 0) & (F.col("conv_id") % 11 == 0), F.lit(-1)).otherwise(F.col("parent_id"))
+    parent = F.when((F.col("turn") == 0) & (F.col("conv_id") % 7 == 0), last).when((F.col("turn") == 0) & (F.col("conv_id") % 11 == 0), F.lit(-1)).when((F.col("turn") == 0) & (F.col("conv_id") % 13 == 0), F.col("message_id")).when((F.col("turn") == 3) & (F.col("conv_id") % 5 == 0), F.col("message_id") - 2).otherwise(F.col("parent_id"))
     return m.withColumn("parent_id", parent)
 
 
 #: The same in SQL, after MSGS.
-FAULTS = """f AS (SELECT message_id::VARCHAR AS id, (CASE WHEN turn = 0 AND conv_id % 7 = 0 THEN max(message_id) OVER (PARTITION BY conv_id)
-  WHEN turn = 0 AND conv_id % 11 = 0 THEN -1 ELSE parent_id END)::VARCHAR AS up FROM m)"""
+FAULTS = """f AS (SELECT conv_id, turn, inbound, author, brand, text, message_id::VARCHAR AS id, (CASE WHEN turn = 0 AND conv_id % 7 = 0 THEN max(message_id) OVER (PARTITION BY conv_id)
+  WHEN turn = 0 AND conv_id % 11 = 0 THEN -1 WHEN turn = 0 AND conv_id % 13 = 0 THEN message_id WHEN turn = 3 AND conv_id % 5 = 0 THEN message_id - 2 ELSE parent_id END)::VARCHAR AS up FROM m)"""
 
 SPLIT_OF = "CASE doc_id % 3 WHEN 0 THEN 'TRAIN' WHEN 1 THEN 'DEVELOPMENT' ELSE 'GOLD' END"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class KeyedStore:
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
     def _log(self) -> DataFrame:
-        return self.spark.read.schema("version bigint").json(f"{self.path}/log")
+        return self.spark.read.schema("name string").json(f"{self.path}/log")
 
     def version(self) -> int:
         try:
@@ -61,12 +62,18 @@ class KeyedStore:
 
     def load(self) -> DataFrame:
         now = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{now}") if now else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._log().where(F.col('version') == now).first().name}") if now else self.spark.createDataFrame([], self.schema)
 
     def _put(self, rows: DataFrame) -> None:
-        new = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{new}")
-        self.spark.createDataFrame([(new,)], "version bigint").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        """Writes the rows under a name of their own, then claims the next number; a number that another writer has is an error."""
+        new, name = self.version() + 1, uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}")
+        try:
+            self.spark.createDataFrame([(new, name)], "version bigint, name string").coalesce(1).write.mode("errorifexists").json(f"{self.path}/log/version={new}")
+        except Exception as error:
+            if "PATH_ALREADY_EXISTS" in str(error):
+                raise RuntimeError(f"version {new} of {self.path} has been written meanwhile; load it and try again") from error
+            raise
 
     def save(self, rows: DataFrame) -> None:
         """Adds rows whose key is new; others stay as they are."""
