@@ -57,7 +57,7 @@ def load_ranks(path: str, most: int = 1_000_000) -> dict[bytes, int]:
 class Transducer:
     """Encodes bytes by the merges that ``ranks`` stands for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 130_000, most_pairs: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 170_000, most_pairs: int = 400_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
@@ -159,12 +159,12 @@ class Transducer:
         if len(self.states) > most:
             del self.states[most:], self.lasts[most:]
         state, out, get = 0, [], self.arcs.get
-        for byte in data:
-            arc = get(state << 8 | byte) or self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-            if state > most + 50_000:  # a very long piece: of its own states keep the last
+        for at in range(0, len(data), 50_000):
+            for byte in data[at : at + 50_000] if at or len(data) > 50_000 else data:
+                state, ids = get(state << 8 | byte) or self._arc(state, byte)
+                if ids:
+                    out += ids
+            if state > most:  # a very long piece: of its own states keep the last
                 self.states[most:], self.lasts[most:] = [self.states[state]], [self.lasts[state]]
                 state = most
         if (end := self.ends.get(state)) is None:
@@ -178,7 +178,7 @@ class Transducer:
 class Encoder:
     """Texts to ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 180_000, most_recent: int = 30_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 220_000, most_recent: int = 30_000) -> None:
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\s", f"[{_SPACE}]").replace("\\S", f"[^{_SPACE}]")).findall
         self.by_runs = pattern == PATTERN
