@@ -79,8 +79,8 @@ class LanguageModel:
         """The table rows of each text's words."""
         split = [t.split() if t and self.languages else [] for t in texts]
         new = set().union(*split) - self.words.keys()
-        if new:
-            self.learn(sorted(new))
+        for words in batched(sorted(new), 20_000):  # an n-gram takes some dozens of bytes while it is scored
+            self.learn(list(words))
         find = self.words.__getitem__
         return [np.fromiter(map(find, words), np.int64, len(words)) for words in split]
 
