@@ -41,3 +41,48 @@ def cache_key(rows: DataFrame, columns: list[str]) -> Column:
 
 def uncached(rows: DataFrame, cache: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("cache_key", cache_key(rows, columns)).join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def reconcile(labels: DataFrame, cases: DataFrame, key: str, least: int) -> DataFrame:
+    """labels, enough (at least so many), unknown (labels of no case) and unlabelled (cases without a label), by distinct key."""
+    own, all_keys = labels.select(key).distinct(), cases.select(key).distinct()
+    unknown = own.join(all_keys, key, "left_anti").agg(F.count("*").alias("unknown"))
+    missing = all_keys.join(own, key, "left_anti").agg(F.count("*").alias("unlabelled"))
+    found = own.agg(F.count("*").alias("labels")).withColumn("enough", F.col("labels") >= least)
+    return found.join(F.broadcast(unknown)).join(F.broadcast(missing))  # one row each
+
+
+def keyed_once(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, if every key is there and there once; an error otherwise."""
+    bad = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"{key} {bad[0][key]!r} occurs {bad[0].n} times")
+    return rows
+
+
+def assert_disjoint(rows: DataFrame, protected: DataFrame, key: str, what: str) -> None:
+    """An error if any row has a protected key."""
+    found = rows.join(protected.select(key), key, "left_semi").limit(1).collect()
+    if found:
+        raise ValueError(f"{what} has the protected {key} {found[0][key]!r}")
+
+
+def probability_sums(rows: DataFrame, key: str, probabilities: str) -> DataFrame:
+    """Keys whose class probabilities do not sum to 1."""
+    total = F.aggregate(probabilities, F.lit(0.0), lambda a, b: a + b)
+    return rows.where(F.abs(total - 1) > 1e-6).select(key, total.alias("total"))
+
+
+def result_schema(fields: dict[str, str], enums: dict[str, list[str]], bounds: dict[str, tuple[int, int]]) -> dict:
+    """The JSON schema of a judge's answer: exactly these fields, with their values or bounds."""
+    kinds = {"int": "integer", "string": "string", "boolean": "boolean", "array<string>": "array"}
+
+    def one(name: str, kind: str) -> dict:
+        own: dict = {"type": kinds[kind]}
+        if name in bounds:
+            own |= dict(zip(("minimum", "maximum"), bounds[name]))
+        if name in enums:
+            own |= {"items": {"type": "string", "enum": enums[name]}, "uniqueItems": True} if kind.startswith("array") else {"enum": enums[name]}
+        return own
+
+    return {"type": "object", "additionalProperties": False, "required": list(fields), "properties": {n: one(n, k) for n, k in fields.items()}}

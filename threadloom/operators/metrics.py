@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.durable import written
 from threadloom.functions.text import ratio
 
 
@@ -56,14 +57,21 @@ def calibration(rows: DataFrame, correct: Column, confidence: Column, bins: int)
     return b.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("y") - F.col("c"))) / F.sum("n"), 8).alias("ece"), F.round(F.sum("s") / F.sum("n"), 8).alias("brier"))
 
 
-def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """n, exact, within_one, quadratic-weighted kappa (weights by position among the observed labels) and Spearman's rho with average ranks."""
+def agreement(rows: DataFrame, a: str, b: str, weights: str = "quadratic", most_labels: int = 1000) -> DataFrame:
+    """n, exact, within_one, weighted kappa (weights by position among the observed labels) and Spearman's rho with average ranks.
+
+    Ratings have few labels, which is what is broadcast: more than ``most_labels`` are an error.
+    """
+    power = {"linear": 1, "quadratic": 2}[weights]
     pairs = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     seen = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("v")))
+    pairs, seen = written(pairs), written(seen)
+    if seen.count() > most_labels:
+        raise ValueError(f"more than {most_labels} different ratings")
     cells = pairs.join(F.broadcast(seen.select(F.col("v").alias("a"), F.col("pos").alias("pa"))), "a").join(F.broadcast(seen.select(F.col("v").alias("b"), F.col("pos").alias("pb"))), "b")
-    base = cells.agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("exact"), F.round(F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("within_one"), F.sum(F.col("n") * F.pow(F.col("pa") - F.col("pb"), F.lit(2))).alias("seen"))
+    base = cells.agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("exact"), F.round(F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("within_one"), F.sum(F.col("n") * F.pow(F.abs(F.col("pa") - F.col("pb")), F.lit(power))).alias("seen"))
     ma, mb = cells.groupBy("pa").agg(F.sum("n").alias("na")), cells.groupBy("pb").agg(F.sum("n").alias("nb"))
-    due = ma.join(F.broadcast(mb)).agg(F.sum(F.col("na") * F.col("nb") * F.pow(F.col("pa") - F.col("pb"), F.lit(2))).alias("due"))  # labels x labels
+    due = ma.join(F.broadcast(mb)).agg(F.sum(F.col("na") * F.col("nb") * F.pow(F.abs(F.col("pa") - F.col("pb")), F.lit(power))).alias("due"))  # labels x labels
     kappa = F.when(F.col("due") == 0, 1.0).otherwise(F.round(1 - F.col("seen") * F.col("n") / F.col("due"), 8))
     ranks = lambda m, p, n: m.select(p, (F.sum(n).over(Window.orderBy(p)) - (F.col(n) - 1) / 2.0).alias(f"r{p}"))
     ranked = cells.join(F.broadcast(ranks(ma, "pa", "na")), "pa").join(F.broadcast(ranks(mb, "pb", "nb")), "pb")
@@ -95,3 +103,73 @@ def bootstrap(values: DataFrame, seed: str, samples: int, numerator: str = "num"
     tail = (1 - level) / 2
     ends = stats.agg(F.round(F.percentile("x", tail), 8).alias("low"), F.round(F.percentile("x", 1 - tail), 8).alias("high"))
     return values.agg(F.round(ratio(F.sum(numerator), F.sum(denominator)), 8).alias("estimate")).join(F.broadcast(ends))
+
+
+def draws(values: DataFrame, seed: str, samples: int) -> DataFrame:
+    """rep and the columns of ``values`` (pos from 0 to n - 1): each replicate draws n rows by hash."""
+    n = values.count()
+    if n == 0:
+        raise ValueError("there are no values")
+    slots = values.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
+    unit = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(2.0**48)
+    return slots.select("rep", F.floor(unit * n).cast("bigint").alias("pos")).join(values, "pos")
+
+
+def bootstrap_of(values: DataFrame, seed: str, samples: int, statistics: dict[str, Column], level: float = 0.95) -> DataFrame:
+    """statistic, estimate, low, high for named aggregates over ``values`` (pos from 0 to n - 1 and the columns they use)."""
+    aggregates = [s.cast("double").alias(n) for n, s in statistics.items()]
+    named = lambda rows: rows.select("rep", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.round(n, 10).alias("x")) for n in statistics))).alias("s")).select("rep", "s.*")
+    spread = named(draws(values, seed, samples).groupBy("rep").agg(*aggregates))
+    tail = (1 - level) / 2
+    ends = spread.groupBy("statistic").agg(F.round(F.percentile("x", tail), 8).alias("low"), F.round(F.percentile("x", 1 - tail), 8).alias("high"))
+    estimate = named(values.withColumn("rep", F.lit(-1)).groupBy("rep").agg(*aggregates)).select("statistic", F.round("x", 8).alias("estimate"))
+    return estimate.join(ends, "statistic")
+
+
+def label_statistics(labels: list[str], gold: str = "gold", pred: str = "pred") -> dict[str, Column]:
+    """Accuracy, macro F1 over all labels, and each label's precision, recall and F1, as aggregates."""
+    g, p = F.col(gold), F.col(pred)
+    out = {"accuracy": ratio(F.count_if(g == p), F.count("*"))}
+    f1 = []
+    for x in labels:
+        hit, support, said = F.count_if((g == x) & (p == x)), F.count_if(g == x), F.count_if(p == x)
+        f1.append(ratio(2 * hit, support + said))
+        out |= {f"{x}_precision": ratio(hit, said), f"{x}_recall": ratio(hit, support), f"{x}_f1": f1[-1]}
+    return out | {"macro_f1": sum(f1[1:], f1[0]) / len(labels)}
+
+
+def correct_and_safe(rows: DataFrame, right: Column, gold_auto: Column, auto: Column, approved: Column) -> DataFrame:
+    """numerator, denominator, value: cases handled automatically, rightly so, with the right intent and an approved reply."""
+    good = right & gold_auto & auto & F.coalesce(approved, F.lit(False))
+    return rows.agg(F.count_if(good).alias("numerator"), F.count("*").alias("denominator"), F.round(ratio(F.count_if(good), F.count("*")), 8).alias("value"))
+
+
+def slices(rows: DataFrame, by: str, key: str, right: Column, action_right: Column, auto: Column) -> DataFrame:
+    """by, n, intent_accuracy, action_accuracy, coverage and a digest of the ids."""
+    share = lambda c: F.round(ratio(F.count_if(c), F.count("*")), 8)
+    ids = F.sha2(F.array_join(F.sort_array(F.collect_set(F.col(key).cast("string"))), "\n"), 256)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), share(right).alias("intent_accuracy"), share(action_right).alias("action_accuracy"), share(auto).alias("coverage"), ids.alias("ids_digest"))
+
+
+def repeatability(runs: DataFrame, case: str, run: str, score: str, most_runs: int = 10) -> DataFrame:
+    """pairs, exact, within_one, kappa: the means over all pairs of runs, each pair aligned by case."""
+    names = sorted(r[0] for r in runs.select(run).distinct().limit(most_runs + 1).collect())
+    if not 2 <= len(names) <= most_runs:
+        raise ValueError(f"there must be 2 to {most_runs} runs")
+    found = None
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            side = lambda r, c: runs.where(F.col(run) == r).select(case, F.col(score).alias(c))
+            one = agreement(side(x, "x").join(side(y, "y"), case), "x", "y")
+            found = one if found is None else found.unionByName(one)
+    return found.agg(F.count("*").alias("pairs"), *(F.round(F.avg(c), 8).alias(c) for c in ("exact", "within_one", "kappa")))
+
+
+def rater_agreement(human: DataFrame, judge: DataFrame, keys: list[str], dimensions: list[str]) -> DataFrame:
+    """dimension, n, exact, within_one, kappa, spearman for the cases that both have rated."""
+    both = written(human.select(*keys, *(F.col(d).alias(f"h_{d}") for d in dimensions)).join(judge.select(*keys, *(F.col(d).alias(f"j_{d}") for d in dimensions)), keys))
+    found = None
+    for d in dimensions:
+        one = agreement(both, f"h_{d}", f"j_{d}").withColumn("dimension", F.lit(d))
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -37,6 +37,27 @@ def challenge_flags(text: Column, boundary: Column) -> dict[str, Column]:
     }
 
 
+def case_flags(text: Column) -> Column:
+    """What makes a case hard to judge, as an array of names: few or many words, several clauses, risky terms, several devices."""
+    low = F.lower(text)
+    tokens = F.size(F.regexp_extract_all(low, F.lit("[a-z][a-z']+"), F.lit(0)))
+    times = lambda pattern: F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
+    devices = sum((F.contains(low, F.lit(x)).cast("int") for x in ("iphone", "android", "windows", "mac", "speaker")), F.lit(0))
+    flags = {
+        "VERY_SHORT": tokens <= 5, "UNUSUALLY_LONG": tokens >= 60, "MULTI_CLAUSE": (times(r"\?") >= 2) | (times(" and ") + times(" but ") >= 2),
+        "RISK_TERMS": tx.any_contains(low, ["hacked", "password", "charged", "refund", "payment"]), "MULTI_DEVICE": devices >= 2,
+    }
+    return F.array_compact(F.array(*(F.when(c, n) for n, c in flags.items())))
+
+
+def rare_lexicon(docs: DataFrame, key: str, text: str, train: DataFrame, mean: float = 3.0) -> DataFrame:
+    """key, rare: whether the distinct tokens of a text occur fewer than ``mean`` times on average in the training texts."""
+    tokens = lambda rows: rows.select(F.col(key).alias("key"), F.explode(tx.token_set(F.col(text))).alias("token"))
+    counts = train.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    means = tokens(docs).join(counts, "token", "left").groupBy("key").agg((F.sum(F.coalesce("n", F.lit(0))) / F.count("*")).alias("mean"))
+    return docs.select(F.col(key).alias("key")).join(means, "key", "left").select(F.col("key").alias(key), F.coalesce(F.col("mean") < mean, F.lit(False)).alias("rare"))
+
+
 def quotas(counts: DataFrame, group: str, n: int) -> DataFrame:
     """Seats by largest remainder, at least one each. ``counts`` has the group and its size, ``size``."""
     total = F.sum("size").over(Window.partitionBy())
