@@ -140,6 +140,11 @@ def verify(reply: Column, cases: Column, evidence_ids: Column, customer: Column,
     return F.struct(F.array_distinct(F.array_compact(F.array(*codes))).alias("codes"), F.round(share, 6).alias("coverage"))
 
 
+def fixed(rows: DataFrame, intent: str, reply: str) -> DataFrame:
+    """The baseline that always escalates, with one intent and one reply."""
+    return rows.select("*", F.lit(intent).alias("intent"), F.lit("ESCALATE").alias("action"), F.lit(reply).alias("reply"))
+
+
 def prediction(rows: DataFrame) -> DataFrame:
     """Outputs as predictions: evidence is what a reply names, else the best case where the action is automatic."""
     top = F.when((F.col("action") == "AUTO_HANDLE") & (F.size("cases") > 0), F.array(F.col("cases")[0]["id"])).otherwise(F.slice(F.transform("cases", lambda c: c["id"]), 1, 0))

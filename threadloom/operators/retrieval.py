@@ -52,11 +52,17 @@ def top_similar(queries: DataFrame, query: str, query_terms: Column, docs: DataF
     the k best of each query, so what is shuffled is k rows a query and batch, not a row for every pair that shares a term.
     """
     weights, idf = term_weights(docs, doc, doc_terms, least_docs=least_docs)
-    asked = written(term_weights(queries, query, query_terms, written(idf))[0].withColumnRenamed("key", "query"))
+    asked = term_weights(queries, query, query_terms, written(idf))[0]
+    return top_by_weights(asked, weights, k, block)
+
+
+def top_by_weights(asked: DataFrame, weights: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """``top_similar`` for term weights (key, term, w) of queries and documents: the largest sums of products."""
+    types = asked.schema["key"].dataType.simpleString(), weights.schema["key"].dataType.simpleString()
+    asked = written(asked.withColumnRenamed("key", "query"))
     used = asked.select("term").distinct()
-    rows = weights.join(used, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
-    rows = written(rows)
-    found = [_multiplied(rows, part, k, queries.schema[query].dataType.simpleString(), docs.schema[doc].dataType.simpleString()) for part in _blocks(asked, "query", block * 200)]
+    rows = written(weights.join(used, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")))
+    found = [_multiplied(rows, part, k, *types) for part in _blocks(asked, "query", block * 200)]
     return top_k(reduce(DataFrame.unionAll, found), k)
 
 
@@ -166,12 +172,71 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
+def char_terms(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
+    """Character n-grams within words, each word between spaces."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+    def of(word: Column) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        size = F.length(word) + 2
+        return F.concat(*(F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes))
+
+    return F.flatten(F.transform(words, of))
+
+
+def union_weights(parts: dict[str, tuple[DataFrame, float]], normalised: bool = True) -> DataFrame:
+    """One vector (key, term, w) of several kinds of terms, each weighted, and of unit length if so asked."""
+    both = reduce(DataFrame.unionAll, (w.select("key", F.concat(F.lit(f"{name}:"), "term").alias("term"), (F.col("w") * by).alias("w")) for name, (w, by) in parts.items()))
+    if not normalised:
+        return both
+    both = written(both)
+    norm = both.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return both.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def pair_scores(pairs: DataFrame, asked: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (query, doc) with the sum of products of their term weights."""
+    q = asked.select(F.col("key").alias("query"), "term", F.col("w").alias("qw"))
+    d = weights.select(F.col("key").alias("doc"), "term", F.col("w").alias("dw"))
+    found = pairs.select("query", "doc").join(q, "query").join(d, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("dw")).alias(name))
+    return pairs.join(found, ["query", "doc"], "left").fillna(0.0, [name])
+
+
+def filled(top: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``top`` (query, doc, similarity, rank), where queries with fewer than k documents get further ones with 0, in order.
+
+    ``queries`` has query, ``docs`` doc. The first 2 k documents are enough to fill any query, and are all that is sent around.
+    """
+    have = queries.join(top.groupBy("query").agg(F.count("*").alias("n")), "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    first = docs.orderBy("doc").limit(2 * k)
+    extra = have.join(F.broadcast(first)).join(top.select("query", "doc"), ["query", "doc"], "left_anti")
+    order = Window.partitionBy("query").orderBy("doc")
+    extra = extra.withColumn("rank", (F.col("n") + F.row_number().over(order)).cast("bigint")).where(F.col("rank") <= k)
+    return top.select("query", "doc", "similarity", "rank").unionByName(extra.select("query", "doc", F.lit(0.0).alias("similarity"), "rank"))
+
+
+def reply_quality(text: Column, words: Column) -> Column:
+    noise = F.when(text.rlike("<(?:url|email|mention|number)>"), 0.25).otherwise(0.0)
+    return F.greatest(F.least(F.least(words / 24.0, F.lit(1.0)) - noise, F.lit(1.0)), F.lit(0.0))
+
+
+def corpus(threads: DataFrame, least_words: int, private: list[str], cap: int) -> DataFrame:
+    """Documents to retrieve from threads (key, customer_text, reply, intent, messages): those with a usable public reply, at most
+    ``cap`` of each normalised reply, with reply_quality, context and template_frequency."""
+    norm = tx.normalized_reply(tx.sanitize_public(F.col("reply")))
+    usable = (tx.word_count(tx.normalized_reply(F.col("reply"))) >= least_words) & ~tx.any_contains(tx.normalized_reply(F.col("reply")), private)
+    rows = threads.where(usable).withColumn("clean", tx.sanitize_public(F.col("reply"))).withColumn("template", F.sha2(norm, 256))
+    kept = capped_templates(rows, "template", "key", cap)
+    return kept.select("key", tx.clean_exploration(F.col("customer_text")).alias("text"), F.col("clean").alias("reply"), "intent", reply_quality(F.col("clean"), tx.word_count(F.col("clean"))).alias("reply_quality"), F.least(F.col("messages") / 4.0, F.lit(1.0)).alias("context"), "template_frequency")
+
+
 def reply_terms(text: Column) -> Column:
     """Words of one and two."""
     words = F.regexp_extract_all(tx.clean_exploration(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    return F.transform(F.array(words), with_pairs)[0]
 
-    def of(w: Column) -> Column:
-        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(w, pairs)
 
-    return F.transform(F.array(words), of)[0]
+def with_pairs(w: Column) -> Column:
+    """Words and pairs of neighbouring words."""
+    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(w, pairs)

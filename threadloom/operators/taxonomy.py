@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
@@ -80,3 +80,36 @@ def label(text: Column, taxonomy: Taxonomy, sensitive: list[str], low: float = 0
         )
 
     return once(F.lower(text), lambda lowered: once(counted(lowered), lambda x: once(ranked(x), judged)))
+
+
+def top_tokens(rows: DataFrame, group: str, text: str, n: int) -> DataFrame:
+    """group, token, rn: the n most frequent tokens of each group; ties by token."""
+    counts = rows.select(group, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))).alias("token")).groupBy(group, "token").agg(F.count("*").alias("n"))
+    return counts.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "token"))).where(F.col("rn") <= n).select(group, "token", "rn")
+
+
+def evidence(rows: DataFrame, group: str, key: str, text: str, seed: str, n_tokens: int, n_examples: int) -> DataFrame:
+    """group, support, top_tokens and examples (ids in hash order)."""
+    tokens = top_tokens(rows, group, text, n_tokens).groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "token"))), lambda x: x["token"]), " ").alias("top_tokens"))
+    order = Window.partitionBy(group).orderBy(tx.hash_rank(seed, F.col(key)), key)
+    first = rows.select(group, key).withColumn("k", F.row_number().over(order)).where(F.col("k") <= n_examples)
+    examples = first.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(key).cast("string").alias("id")))), lambda x: x["id"]), " ").alias("examples"))
+    return rows.groupBy(group).agg(F.count("*").alias("support")).join(tokens, group).join(examples, group)
+
+
+def overlap(tokens: DataFrame, group: str) -> DataFrame:
+    """a, b, overlap: Jaccard of the top tokens of each pair of groups, of which there are few."""
+    sets = tokens.groupBy(group).agg(F.collect_set("token").alias("t"))
+    a, b = sets.select(F.col(group).alias("a"), F.col("t").alias("x")), sets.select(F.col(group).alias("b"), F.col("t").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(tx.jaccard(F.col("x"), F.col("y")), 8).alias("overlap"))
+
+
+def from_document(document: dict, pattern: str = r"[a-z][a-z0-9_]*") -> Taxonomy:
+    """A taxonomy from its JSON document: unique well-formed ids, and examples from training data alone."""
+    import re
+
+    intents = [Intent(i["id"], tuple(i.get("common_signals", ()))) for i in document["intents"]]
+    bad = [i.name for i in intents if not re.fullmatch(pattern, i.name)]
+    if bad or document.get("source_split") != "TRAIN":
+        raise ValueError(f"malformed ids: {bad}" if bad else "a taxonomy must come from TRAIN")
+    return Taxonomy(tuple(intents), document["default_intent"])
