@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
     first = F.min(F.struct("lang", "source", "n_chars")).alias("first")
     with_id = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(first)
-    return with_id.select("doc_id", "text", "first.*").unionByName(docs.where(F.col("doc_id").isNull())).select(COLUMNS)
+    return with_id.select("doc_id", "text", "first.*").select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

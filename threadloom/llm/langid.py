@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
     def run(batch: pa.RecordBatch) -> dict[str, object]:
         own = held(key, lambda: LanguageModel(*shared.value))
         out: dict[str, list] = {"predicted": [], "score": [], "spans": []}
-        for texts in _portions(batch.column(1).to_pylist(), batch_chars):
+        for texts in _portions(batch.column(0).to_pylist(), batch_chars):
             for text, (lang, score, spans) in zip(texts, own.spans(texts)):
                 out["predicted"].append(lang)
                 out["score"].append(score)
@@ -242,12 +242,13 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
                 else:
                     ends = [(0, len(text), k) for _, _, k in spans]
                 out["spans"].append([{"start": a, "end": b, "lang": own.languages[k]} for a, b, k in ends])
-        return {name: batch.column(2 + k) for k, name in enumerate(names)} | out
+        return {f"_{k}": batch.column(1 + k) for k in range(len(names))} | out
 
     names = keep or [doc_id]
-    frame = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), *(F.col(f"`{n}`") for n in names))
-    kinds = ", ".join(f"`{n}` {frame.schema[n].dataType.simpleString()}" for n in names)
-    return map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run, rows=10_000)
+    frame = slim(docs, _text=text, **{f"_{k}": n for k, n in enumerate(names)})
+    kinds = ", ".join(f"_{k} {docs.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
+    found = map_rows(frame, f"{kinds}, predicted string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>", run, rows=10_000)
+    return found.select(*(F.col(f"_{k}").alias(n) for k, n in enumerate(names)), "predicted", "score", "spans")
 
 
 def _portions(texts: list[str | None], most: int):
