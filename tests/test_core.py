@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.operators import compare, contracts, gates, metrics, retrieval, sampling, splits, threads
+from threadloom.operators import cohorts, compare, contracts, gates, metrics, retrieval, sampling, splits, taxonomy, threads
 from threadloom.sources import exports, stores
+from threadloom.streaming import ingest
 
 EXPORT = '''ID,Account_Id,is_customer,timestamp,Message,parent_id,child_tweet_id
 500,shop,no,2020-05-01T08:00:00Z,"Welcome, how can we help?",,501
@@ -188,3 +189,85 @@ def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_store_refuses_a_version_that_another_writer_has(spark, tmp_path):
+    store = stores.KeyedStore(spark, str(tmp_path / "s"), "k string, v int", "k")
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    store.save(rows)
+    stale = stores.KeyedStore(spark, str(tmp_path / "s"), "k string, v int", "k")
+    stale.version = lambda: 0  # what a writer sees that began earlier
+    with pytest.raises(RuntimeError, match="written meanwhile"):
+        stale._put(rows)
+    assert store.load().count() == 1
+
+
+def test_near_decontamination_repeats_until_nothing_changes(spark):
+    """Dropping d re-opens the pair (t, g), which a limit on buckets had hidden."""
+    assigned = spark.createDataFrame([("t", "TRAIN"), ("d", "DEVELOPMENT"), ("g", "GOLD"), ("h", "GOLD")], "id string, split string")
+
+    def find(left):
+        pairs = [("d", "t", 0.95)] if left.where("id = 'd'").count() else [("g", "t", 0.93)]
+        return spark.createDataFrame(pairs, "a string, b string, similarity double")
+
+    found = {r.id: r.dropped for r in splits.decontaminate_near_repeated(assigned, find).collect()}
+    assert found == {"t": False, "d": True, "g": True, "h": False}
+
+
+def test_near_pairs_without_a_limit_stand_for_all_copies(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(k, text if k < 9 else text + " eleven" if k == 9 else "something else entirely here", ["TRAIN", "GOLD"][k % 2]) for k in range(11)]
+    docs = spark.createDataFrame(rows, "id bigint, text string, split string")
+    assert {r.rep for r in splits.copies(docs).collect()} == {0, 1, 9, 10}
+    found = {(r.a, r.b) for r in splits.near_pairs(docs, threshold=0.8, most=None, token_threshold=0.9).collect()}
+    assert found == {(0, 1), (0, 9)}
+    assert {(r.a, r.b) for r in splits.near_pairs(docs, threshold=0.8, most=3).collect()} == set()
+
+
+def test_guards_name_what_is_wrong(spark):
+    rows = spark.createDataFrame([("a", [0.5, 0.5]), ("b", [0.9, 0.2])], "k string, p array<double>")
+    assert [r.k for r in contracts.probability_sums(rows, "k", "p").collect()] == ["b"]
+    assert contracts.keyed_once(rows, "k") is rows
+    with pytest.raises(ValueError, match="'a' occurs 2"):
+        contracts.keyed_once(rows.union(rows.where("k = 'a'")), "k")
+    with pytest.raises(ValueError, match="protected k 'b'"):
+        contracts.assert_disjoint(rows, rows.where("k = 'b'").select("k"), "k", "the sample")
+    schema = contracts.result_schema({"score": "int", "codes": "array<string>"}, {"codes": ["A"]}, {"score": (1, 5)})
+    assert schema["properties"] == {"score": {"type": "integer", "minimum": 1, "maximum": 5}, "codes": {"type": "array", "items": {"type": "string", "enum": ["A"]}, "uniqueItems": True}}
+    with pytest.raises(ValueError, match="TRAIN"):
+        taxonomy.from_document({"source_split": "GOLD", "default_intent": "a", "intents": [{"id": "a"}]})
+    assert taxonomy.from_document({"source_split": "TRAIN", "default_intent": "a", "intents": [{"id": "a", "common_signals": ["x"]}]}).intents[0].signals == ("x",)
+    with pytest.raises(ValueError, match="must be in the sample"):
+        cohorts.development_sample(rows, F.lit(True), [F.col("k")], "k", "s", 1)
+    with pytest.raises(ValueError, match="2 to 10 runs"):
+        metrics.repeatability(spark.createDataFrame([("a", 1, 2)], "c string, r int, s int"), "c", "r", "s")
+    one = spark.range(1).select(splits.later_split(F.lit("GOLD"), F.lit("TRAIN")).alias("x"), tx.split_context(F.lit("ab cd"), F.lit("ab")).alias("y")).first()
+    assert (one.x, one.y) == ("GOLD", "cd")
+
+
+def test_queries_with_few_neighbours_are_filled_up(spark):
+    top = spark.createDataFrame([(1, 7, 0.5, 1), (2, 5, 0.4, 1), (2, 6, 0.3, 2), (2, 7, 0.2, 3)], "query int, doc int, similarity double, rank bigint")
+    asks, docs = spark.createDataFrame([(1,), (2,), (3,)], "query int"), spark.createDataFrame([(5,), (6,), (7,), (8,)], "doc int")
+    found = sorted(tuple(r) for r in retrieval.filled(top, asks, docs, 3).collect())
+    assert [x for x in found if x[0] != 2] == [(1, 5, 0.0, 2), (1, 6, 0.0, 3), (1, 7, 0.5, 1), (3, 5, 0.0, 1), (3, 6, 0.0, 2), (3, 7, 0.0, 3)]
+    assert one_gram(spark, "ab") == [" ab", "ab ", " ab "] and one_gram(spark, "a") == [" a "]
+
+
+def one_gram(spark, text):
+    return spark.range(1).select(retrieval.char_terms(F.lit(text))).first()[0]
+
+
+def test_predictions_name_their_evidence(spark):
+    rows = spark.createDataFrame([("a", "AUTO_HANDLE", "r", [("x", "1"), ("y", "2")], []), ("b", "ESCALATE", "r", [("x", "1")], []), ("c", "AUTO_HANDLE", "r", [("x", "1")], ["z"])], "case_id string, action string, reply string, cases array<struct<id:string,reply:string>>, evidence_ids array<string>")
+    assert [(r.retrieved_ids, r.evidence_ids) for r in gates.prediction(rows).orderBy("case_id").collect()] == [(["x", "y"], ["x"]), (["x"], []), (["x"], ["z"])]
+
+
+def test_streams_drop_repeats_and_count_by_window(spark, tmp_path):
+    schema = "message_id string, brand string, created_at timestamp"
+    spark.createDataFrame([("1", "a", "2020-01-01 00:01:00"), ("1", "a", "2020-01-01 00:01:00"), ("2", "a", "2020-01-01 00:15:00")], "message_id string, brand string, t string").selectExpr("message_id", "brand", "timestamp(t) AS created_at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = lambda df, name, mode: df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    run(ingest.deduplicated(stream), "seen", "append")
+    assert sorted(r.message_id for r in spark.table("seen").collect()) == ["1", "2"]
+    run(ingest.volume(stream), "volume", "update")
+    assert sorted(r.messages for r in spark.table("volume").collect()) == [1, 2]
