@@ -271,3 +271,19 @@ def test_streams_drop_repeats_and_count_by_window(spark, tmp_path):
     assert sorted(r.message_id for r in spark.table("seen").collect()) == ["1", "2"]
     run(ingest.volume(stream), "volume", "update")
     assert sorted(r.messages for r in spark.table("volume").collect()) == [1, 2]
+
+
+def test_paired_stores_and_configurations(spark, tmp_path):
+    own = lambda name, kind: stores.KeyedStore(spark, str(tmp_path / name), f"k string, {kind}", "k")
+    pair = stores.PairedStore(own("ratings", "v int"), own("notes", "n string"))
+    rows = lambda v, s: spark.createDataFrame(v, s)
+    pair.save(rows([("a", 1)], "k string, v int"), rows([("a", "fine")], "k string, n string"))
+    with pytest.raises(ValueError, match="same keys"):
+        pair.save(rows([("b", 1)], "k string, v int"), rows([("c", "x")], "k string, n string"))
+    assert [tuple(r) for r in pair.load().collect()] == [("a", 1, "fine")]
+    assert stores.profiling_config({"actionable_terms": ["try"], "generic_terms": ["dm us"]})["top_template_count"] == 5
+    with pytest.raises(ValueError, match="generic_terms.*|.*positive"):
+        stores.profiling_config({"actionable_terms": ["try"], "generic_terms": ["DM"], "top_template_count": 0})
+    (tmp_path / "m.txt").write_text("x")
+    made = stores.system_manifest(spark, {"b": 1.0, "a": 0.5}, str(tmp_path / "m.txt"))
+    assert list(made["thresholds"]) == ["a", "b"] and made["files"] == {"m.txt": "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"}

@@ -22,3 +22,10 @@ def written(df: DataFrame) -> DataFrame:
     path, schema = f"{shared_dir(spark)}/{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what ``written`` has left, for the end of an application."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -180,3 +180,19 @@ def token_budget(prompts: DataFrame, text: str, answer_tokens: int, limit: int,
     """calls, input_tokens, total_tokens and whether they fit, projected from the length of prompts."""
     n = F.sum(F.ceil(F.length(text) / chars_per_token))
     return prompts.agg(F.count("*").alias("calls"), n.cast("bigint").alias("input_tokens"), (n + F.count("*") * answer_tokens).cast("bigint").alias("total_tokens")).withColumn("fits", F.col("total_tokens") <= limit)
+
+
+def prompts(rows: DataFrame, key: str, message: Column, reply: Column, evidence: Column, rubric: str, chars: int = 600) -> DataFrame:
+    """key, prompt: what a judge is asked, with clipped texts."""
+    from threadloom.functions import text as tx
+
+    part = lambda name, c: F.concat(F.lit(f"\n{name}: "), F.coalesce(tx.clipped(c, chars), F.lit("none")))
+    return rows.select(key, F.concat(F.lit(rubric), part("CUSTOMER", message), part("REPLY", reply), part("EVIDENCE", evidence)).alias("prompt"))
+
+
+def grounding_and_safety(rows: DataFrame, by: str) -> DataFrame:
+    """by, n, grounding_failures, safety_failures: by scores and by codes."""
+    has = lambda names: F.arrays_overlap("failure_codes", F.array(*map(F.lit, names)))
+    return rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if((F.col("groundedness") < 4) | has(["G", "E", "F"])).alias("grounding_failures"), F.count_if((F.col("safety") < 4) | has(SAFETY_CODES)).alias("safety_failures")
+    )

@@ -111,3 +111,10 @@ def token_counts(docs: DataFrame, group: str, text: str) -> DataFrame:
 
 def saturated(value: Column, full: float) -> Column:
     return F.least(F.coalesce(value, F.lit(0.0)) / full, F.lit(1.0))
+
+
+def risk_surface(docs: DataFrame, group: str, text: str, terms: list[str]) -> DataFrame:
+    """group, entropy of its tokens, and the share of its texts with any risky term."""
+    lexical = entropy(token_counts(docs, group, text), group, "n").select(group, "entropy")
+    risky = docs.groupBy(group).agg(F.round(tx.ratio(F.count_if(tx.any_contains(F.lower(text), terms)), F.count("*")), 8).alias("risk_share"))
+    return risky.join(lexical, group)

@@ -58,6 +58,15 @@ def rare_lexicon(docs: DataFrame, key: str, text: str, train: DataFrame, mean: f
     return docs.select(F.col(key).alias("key")).join(means, "key", "left").select(F.col("key").alias(key), F.coalesce(F.col("mean") < mean, F.lit(False)).alias("rare"))
 
 
+def candidates(rows: DataFrame, intent: str, key: str, proxies: Column, seed: str, n_representative: int, n_challenge: int) -> DataFrame:
+    """key, kind, candidate_id: representative rows, intents in turn, then of the rest those with most proxies (an array)."""
+    first = round_robin(rows, intent, key, seed, n_representative).select(key, F.lit("REPRESENTATIVE").alias("kind"), F.struct("rn", intent).alias("place"))
+    rest = rows.join(first.select(key), key, "left_anti").withColumn("size", F.size(proxies)).where(F.col("size") > 0)
+    hard = rest.withColumn("rank_hash", tx.hash_rank(seed, F.col(key))).orderBy(F.desc("size"), "rank_hash", key).limit(n_challenge)
+    number = lambda df, kind, order: df.select(key, F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind[0]}-"), F.lpad(F.row_number().over(Window.orderBy(*order)).cast("string"), 3, "0")).alias("candidate_id"))
+    return number(first, "REPRESENTATIVE", ["place"]).unionByName(number(hard, "CHALLENGE", [F.desc("size"), "rank_hash", key]))  # of the chosen rows alone
+
+
 def quotas(counts: DataFrame, group: str, n: int) -> DataFrame:
     """Seats by largest remainder, at least one each. ``counts`` has the group and its size, ``size``."""
     total = F.sum("size").over(Window.partitionBy())

@@ -113,3 +113,18 @@ def from_document(document: dict, pattern: str = r"[a-z][a-z0-9_]*") -> Taxonomy
     if bad or document.get("source_split") != "TRAIN":
         raise ValueError(f"malformed ids: {bad}" if bad else "a taxonomy must come from TRAIN")
     return Taxonomy(tuple(intents), document["default_intent"])
+
+
+def label_audit(labels: DataFrame, low: float = 0.6, high_risk: tuple[str, ...] = ("SECURITY", "PAYMENT", "PII")) -> DataFrame:
+    """Adds what makes a label doubtful: low confidence, unsure, automatic handling despite a risky tag, a taxonomy boundary.
+
+    ``labels`` has suggested_intent, intent_confidence, suggested_action, flags (joined by bars) and tags (an array).
+    """
+    return labels.withColumns(
+        {
+            "low_confidence": F.col("intent_confidence") < low,
+            "unsure": F.col("suggested_intent") == "UNSURE",
+            "contradiction": (F.col("suggested_action") == "AUTO_HANDLE") & F.arrays_overlap("tags", F.array(*map(F.lit, high_risk))),
+            "boundary": F.array_contains(F.split("flags", r"\|"), "TAXONOMY_BOUNDARY"),
+        }
+    )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions.durable import written
-from threadloom.operators import cohorts, gates, judging, retrieval, splits, taxonomy, threads
-from threadloom.plans.core_queries import INTENT_SQL, TAXONOMY, _SCORE
+from threadloom.operators import cohorts, gates, judging, profile, retrieval, sampling, splits, taxonomy, threads
+from threadloom.plans.core_queries import INTENT_SQL, INTENTS, TAXONOMY, _SCORE
+from threadloom.plans.evaluation_queries import _J, _judged
 from threadloom.plans.registry import query
 from threadloom.plans.service_queries import _CLEAN, _CONTENT, _HAS, _KNOWN, _SENT
 from threadloom.plans.views import LEAK, MSGS, NORM, WORDS, messages
@@ -197,3 +198,40 @@ def review_items(spark: SparkSession, d: str) -> DataFrame:
     past = F.array(*(F.struct(F.col(c).alias("reply")) for c in ("text", "brand", "text")))
     predictions = m.select("message_id", F.lit("original").alias("system"), F.lit("ESCALATE").alias("action"), past.alias("cases"))
     return cohorts.review_items(cases, predictions, "message_id", 2, 80)
+
+
+@query("risk_surface", """WITH t AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS token FROM documents), c AS (SELECT source, token, count(*) AS n FROM t GROUP BY 1, 2), p AS (SELECT source, n / sum(n) OVER (PARTITION BY source) AS p FROM c), e AS (SELECT source, round(CASE WHEN count(*) <= 1 THEN 0 ELSE -sum(p * ln(p)) / ln(count(*)) END, 6) AS entropy FROM p GROUP BY 1),
+ r AS (SELECT source, round(avg((contains(lower(text), 'password') OR contains(lower(text), '@'))::INT), 8) AS risk_share FROM documents GROUP BY 1) SELECT * FROM r JOIN e USING (source)""")
+def risk_surface(spark: SparkSession, d: str) -> DataFrame:
+    return profile.risk_surface(table(spark, d, "documents"), "source", "text", ["password", "@"])
+
+
+@query("candidate_sample", f"""WITH {INTENTS}, p AS (SELECT d.doc_id, intent, contains(text, '?')::INT + (len(regexp_extract_all(text, '[.!?]')) >= 3)::INT + regexp_matches(text, '[0-9]')::INT AS size FROM documents d JOIN i USING (doc_id)),
+ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY sha256('cs:' || doc_id), doc_id) AS rn FROM p) ORDER BY rn, intent LIMIT 24), h AS (SELECT * FROM p WHERE size > 0 AND doc_id NOT IN (SELECT doc_id FROM f) ORDER BY size DESC, sha256('cs:' || doc_id), doc_id LIMIT 16)
+ SELECT doc_id, 'REPRESENTATIVE' AS kind, 'R-' || lpad((row_number() OVER (ORDER BY rn, intent))::VARCHAR, 3, '0') AS candidate_id FROM f UNION ALL SELECT doc_id, 'CHALLENGE', 'C-' || lpad((row_number() OVER (ORDER BY size DESC, sha256('cs:' || doc_id), doc_id))::VARCHAR, 3, '0') FROM h""")
+def candidate_sample(spark: SparkSession, d: str) -> DataFrame:
+    flags = sampling.challenge_flags(F.col("text"), F.lit(False))
+    names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items() if n in ("has_question", "many_sentences", "has_number"))))
+    return sampling.candidates(_intents(spark, d).withColumn("proxies", names), "intent", "doc_id", F.col("proxies"), "cs", 24, 16)
+
+
+@query("judge_prompts", f"WITH {MSGS} SELECT message_id, sha256('Rate this.' || chr(10) || 'CUSTOMER: ' || {_CLIP('brand', 600)} || chr(10) || 'REPLY: ' || {_CLIP('text', 600)} || chr(10) || 'EVIDENCE: none') AS prompt_hash FROM m")
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    found = judging.prompts(messages(spark, d), "message_id", F.col("brand"), F.col("text"), F.lit(None).cast("string"), "Rate this.")
+    return found.select("message_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query("label_audit", f"""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UNSURE' ELSE 'billing' END AS suggested_intent, (doc_id % 10) / 10.0::DOUBLE AS conf, CASE doc_id % 3 WHEN 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS act, contains(text, '@') AS pii, CASE doc_id % 5 WHEN 0 THEN 'LOW_CONTEXT|TAXONOMY_BOUNDARY' ELSE 'LOW_CONTEXT' END AS flags FROM documents)
+ SELECT doc_id, conf < 0.6 AS low_confidence, suggested_intent = 'UNSURE' AS unsure, act = 'AUTO_HANDLE' AND pii AS contradiction, contains(flags, 'TAXONOMY_BOUNDARY') AS boundary FROM x""")
+def label_audit(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(n % 4 == 0, "UNSURE").otherwise("billing").alias("suggested_intent"), ((n % 10) / 10.0).alias("intent_confidence"), F.when(n % 3 == 0, "ESCALATE").otherwise("AUTO_HANDLE").alias("suggested_action"),
+        F.when(n % 5 == 0, "LOW_CONTEXT|TAXONOMY_BOUNDARY").otherwise("LOW_CONTEXT").alias("flags"), F.when(F.contains("text", F.lit("@")), F.array(F.lit("PII"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    return taxonomy.label_audit(rows).select("doc_id", "low_confidence", "unsure", "contradiction", "boundary")
+
+
+@query("grounding_and_safety", f"WITH {_J} SELECT system, count(*) AS n, count(*) FILTER (groundedness < 4 OR list_has_any(failure_codes, ['G', 'E', 'F'])) AS grounding_failures, count(*) FILTER (safety < 4 OR list_has_any(failure_codes, {judging.SAFETY_CODES})) AS safety_failures FROM jp GROUP BY 1")
+def grounding_and_safety(spark: SparkSession, d: str) -> DataFrame:
+    return judging.grounding_and_safety(_judged(spark, d), "system")

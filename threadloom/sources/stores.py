@@ -88,6 +88,50 @@ class KeyedStore:
         return wanted.join(self.load().select(self.key), self.key, "left_semi").count(), wanted.count()
 
 
+class PairedStore:
+    """Two keyed stores whose keys must be the same, such as ratings and the notes on them.
+
+    The second is written first, and ``load`` takes only what both have, so that a writer that stops in between loses nothing
+    that was complete.
+    """
+
+    def __init__(self, first: KeyedStore, second: KeyedStore) -> None:
+        if first.key != second.key:
+            raise ValueError("both stores need the same key")
+        self.first, self.second = first, second
+
+    def save(self, first: DataFrame, second: DataFrame) -> None:
+        key = self.first.key
+        left, right = first.select(key), second.select(key)
+        if not left.exceptAll(right).isEmpty() or not right.exceptAll(left).isEmpty():
+            raise ValueError("both sides must have the same keys")
+        self.second.save(second)
+        self.first.save(first)
+
+    def load(self) -> DataFrame:
+        return self.first.load().join(self.second.load(), self.first.key)
+
+
+def profiling_config(document: dict) -> dict:
+    """A profiling configuration with defaults, checked: counts are positive, term lists are there and lower case, priorities known."""
+    own = {"minimum_outbound_messages": 1, "minimum_substantive_words": 8, "top_template_count": 5, "selection_priority": ["contained_share", "messages"]} | document
+    problems = [f"{n} must be a positive number" for n in ("minimum_outbound_messages", "minimum_substantive_words", "top_template_count") if not isinstance(own[n], int) or own[n] < 1]
+    for name in ("actionable_terms", "generic_terms"):
+        terms = own.get(name)
+        if not terms or any(t != t.lower() or not t.strip() for t in terms):
+            problems.append(f"{name} must be lower-case terms")
+    if len(set(own["selection_priority"])) != len(own["selection_priority"]):
+        problems.append("selection_priority must not repeat a metric")
+    if problems:
+        raise ValueError("; ".join(problems))
+    return own
+
+
+def system_manifest(spark: SparkSession, thresholds: dict[str, float], path: str) -> dict:
+    """What makes up a system: its thresholds, and the digest of each of its files."""
+    return {"thresholds": dict(sorted(thresholds.items())), "files": {r.path.rsplit("/", 1)[-1]: r.sha256 for r in file_digests(spark, path).collect()}}
+
+
 def overlay(base: dict, own: dict) -> dict:
     """Configuration over its base: dictionaries are merged one level deep."""
     return base | {k: base[k] | v if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in own.items()}
