@@ -12,8 +12,8 @@ Pieces are cut by the tokenizer's pattern. Runs between single spaces are encode
 Decoding reads one id at a time. Each id moves a UTF-8 state machine whose states are the bytes of an unfinished
 character; (state, id) pairs are remembered. Ids unknown to the vocabulary and broken byte sequences give U+FFFD.
 
-Cases: null texts encode as empty texts; texts of any length are read whole; every row is handled on its own, so repeated
-rows, ties and empty tables need no rule; columns beside the named ones are ignored.
+Cases: null texts encode as empty texts; texts of any length are read whole; ids may have any type; every row is handled on its
+own, so repeated rows, ties and empty tables need no rule; columns beside the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations

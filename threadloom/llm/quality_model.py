@@ -8,7 +8,8 @@ The model is fitted on at most ``sample_rows`` labelled rows, chosen by a hash o
 contradicting labels are not learned from. Every document is scored, whole.
 
 Cases: null and empty texts get the score of a text without words; with no labels to learn from, all scores are 0.5; null
-ids are scored and not learned from; repeated rows are scored alike; columns beside the named ones are ignored.
+ids are scored and not learned from; repeated rows are scored alike; ids may have any type; texts of any length are read whole;
+ties between cuts go to the first; empty tables give empty results; columns beside the named ones are ignored.
 """
 
 from __future__ import annotations

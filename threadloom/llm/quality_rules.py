@@ -10,7 +10,8 @@ hashes within one document.
 
 Cases: null texts have no words and fail the base rules; empty tables give empty results; without trusted documents every
 ratio is 0, so that only the base rules decide; repeated rows are counted and scored row by row; null ids are scored, and
-never trusted; columns beside the named ones are ignored.
+never trusted; ids may have any type; texts of any length are counted whole; a score at the threshold is kept; columns beside
+the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations

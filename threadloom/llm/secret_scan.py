@@ -3,11 +3,12 @@
 From each rule's regular expression a Boolean query over trigrams is derived: every text that matches must satisfy it. The
 inverted index holds, for the trigrams that the queries name, posting lists of document ids by block, where a block is a
 hash of the id, so that no posting list grows with the corpus. Queries intersect and unite posting lists block by block;
-only candidates are verified with the regular expression. Rules without a mandatory trigram scan every text.
+only candidates are verified with the regular expression. Rules without a mandatory trigram scan every text. A bitmap of fixed
+size tells which rows may be candidates, so that other texts are never shuffled.
 
 Cases: null texts are empty; rows with a null id are not in the index and are verified by every rule; rows that share an
-id share its candidates, and each is verified on its own text; empty tables give empty results; columns beside the named
-ones are ignored.
+id share its candidates, and each is verified on its own text; ids may have any type; texts of any length are scanned whole;
+ties between spans go by start, then rule; empty tables give empty results; columns beside the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import spans
-from threadloom.llm.common import slim
+from threadloom.llm.common import slim, written
 
 _MOST_STRINGS = 32
 
@@ -172,6 +173,27 @@ def candidates(index: DataFrame, queries: dict[str, Query], id_type: str) -> Dat
     return index.select(F.explode(F.concat(*pairs)).alias("c")).select("c.*").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _place(words: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64 * words))
+
+
+def bitmap(ids: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """One row with ``bits``: a bitmap of hashed ids, of a fixed size (a megabyte) however many there are.
+
+    It may mark ids that are not there, the more the fuller it is, but never leaves one out.
+    """
+    at = _place(words)
+    set_bits = ids.select(F.floor(at / 64).alias("id"), at.alias("at")).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
+    full = ids.sparkSession.range(words).join(set_bits, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def in_bitmap(bits: Column, words: int = 1 << 17) -> Column:
+    """Whether the bit of doc_id is set."""
+    at = _place(words)
+    return F.get(bits, F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))) != 0
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """doc_id and spans (kind, order of the rule, start, end, base) of every row."""
     frame = slim(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -181,7 +203,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
     found = frame
     if indexed:
         index = build_index(frame, set().union(*map(trigrams_of, indexed.values())))
-        found = frame.join(candidates(index, indexed, id_type), "doc_id", "left")
+        named = written(candidates(index, indexed, id_type))
+        bits = bitmap(named)
+        # Rows that cannot be candidates stay where they are; only the others' texts are shuffled, to meet their kinds.
+        likely = F.coalesce(F.col("doc_id").isNotNull() & in_bitmap(bits.scalar()), F.lit(False))
+        rest = frame.where(~likely).withColumn("kinds", F.lit(None).cast("array<string>"))
+        found = frame.where(likely).join(named, "doc_id", "left").select("doc_id", "text", "kinds").unionByName(rest)
     parts = [_rule_spans(order, r, r.kind in indexed) for order, r in enumerate(rules)]
     return found.select("doc_id", F.concat(*parts).alias("spans"))
 
