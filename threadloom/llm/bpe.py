@@ -54,20 +54,24 @@ def load_ranks(path: str, most: int = 1_000_000) -> dict[bytes, int]:
     return ranks
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+
+
 class Transducer:
     """Encodes bytes by the merges that ``ranks`` stands for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 170_000, most_pairs: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 260_000, most_pairs: int = 400_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
         self.most_states, self.most_pairs = most_states, most_pairs
         self.pairs: dict[int, bool] = {}
         self.made: dict[int, bool] = {}
-        # State 0: at a piece's start. A state is (last settled token or -1, bytes since then); it knows for each place in
-        # these bytes the last token of the chain that ends there (None: no chain). Arcs have the key state * 256 + byte.
-        self.states: list[tuple[int, bytes]] = [(-1, b"")]
-        self.numbers = {self.states[0]: 0}
+        # State 0: at a piece's start. A state is (last settled token or -1, bytes since then, the first place in these from
+        # which a token may still go on); it knows for each place the last token of the chain that ends there (None: no
+        # chain). Arcs have the key state * 256 + byte.
+        self.states: list[tuple[int, bytes, int]] = [(-1, b"", 0)]
+        self.numbers = {(-1, b""): 0}
         self.lasts: list[tuple[int | None, ...]] = [(-1,)]
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
@@ -106,16 +110,13 @@ class Transducer:
         return tuple(reversed(out))
 
     def _arc(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        settled, pending = self.states[number]
-        pending += bytes((byte,))
-        end, lasts, own_bytes, prefixes = len(pending), self.lasts[number], self.bytes_of, self.prefixes
-        first = 0  # no token that began before is open any more
-        while first < end - 1 and pending[first:-1] not in prefixes:
-            first += 1
+        settled, pending, first = self.states[number]  # no token that began before ``first`` is open any more
+        pending += _BYTES[byte]
+        end, lasts, own_bytes, prefixes, ranks = len(pending), self.lasts[number], self.bytes_of, self.prefixes, self.ranks.get
         last = None
         for start in range(first, end):
             before = lasts[start]
-            if before is not None and (token := self.ranks.get(pending[start:])) is not None and self._fits(before, token):
+            if before is not None and (token := ranks(pending[start:])) is not None and self._fits(before, token):
                 last = token
                 break
         lasts = (*lasts, last)
@@ -134,6 +135,12 @@ class Transducer:
         if cut > 0:
             out = self._chain(lasts, cut)
             settled, pending = out[-1], pending[cut:]
+            if first >= cut:
+                first -= cut
+            else:
+                first, rest = 0, len(pending)
+                while first < rest and pending[first:] not in prefixes:
+                    first += 1
             own: list[int | None] = [settled]
             for k in range(cut + 1, end + 1):
                 token = lasts[k]
@@ -142,7 +149,7 @@ class Transducer:
         state = (settled, pending)
         if (to := self.numbers.get(state)) is None:
             to = len(self.states)
-            self.states.append(state)
+            self.states.append((settled, pending, first))
             self.lasts.append(lasts)
             if to >= self.most_states:  # full: this state serves the present piece only
                 return (to, out)
@@ -178,7 +185,7 @@ class Transducer:
 class Encoder:
     """Texts to ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 220_000, most_recent: int = 30_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most_runs: int = 300_000, most_recent: int = 40_000) -> None:
         self.transducer = Transducer(ranks)
         self.cut = regex.compile(pattern.replace("[^\\s", f"[^{_SPACE}").replace("\\s", f"[{_SPACE}]").replace("\\S", f"[^{_SPACE}]")).findall
         self.by_runs = pattern == PATTERN

@@ -182,7 +182,8 @@ def near_duplicates(
     usable = base.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
     classes = written(usable.groupBy("print").agg(F.min("doc_id").alias("node")))
     nodes = usable.join(classes, "print").where("doc_id = node")
-    sizes = nodes.groupBy("node").agg(F.min("n_shingles").alias("least_n"), F.max("n_shingles").alias("most_n"))
+    # Written, so that the joins with a star's many members meet plain exchanges, which can be split.
+    sizes = written(nodes.groupBy("node").agg(F.min("n_shingles").alias("least_n"), F.max("n_shingles").alias("most_n")))
     star = stars(nodes.select("node", F.explode("bands").alias("key")).distinct())
     star = written(star.join(sizes, "node").join(sizes.select(F.col("node").alias("rep"), F.col("least_n").alias("rep_least"), F.col("most_n").alias("rep_most")), "rep"))
     near = F.expr(f"100 * most_n >= {share} * rep_least AND 100 * rep_most >= {share} * least_n")
