@@ -60,7 +60,7 @@ _BYTES = [bytes((b,)) for b in range(256)]
 class Transducer:
     """Encodes bytes by the merges that ``ranks`` stands for."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 260_000, most_pairs: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000, most_pairs: int = 400_000) -> None:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
