@@ -81,10 +81,10 @@ def greedy_freeze(candidates: DataFrame, n: int, seed: str, alike: float = 0.9)
     """id, position of ``n`` candidates picked one by one: new flags first, then a new time bin, then distance from what is
     chosen, then hash. Candidates whose tokens are as similar as ``alike`` to a chosen one's are left out.
 
-    Each pick is one aggregate over all candidates; only the chosen rows, at most ``n``, come to the driver. ``candidates``
-    has id, text, bin and flags (array of strings).
+    Each pick is one aggregate over all candidates; only the chosen rows' ids, bins and flags come to the driver, at most ``n``.
+    ``candidates`` has id, text, bin and flags (array of strings).
     """
-    state = written(candidates.select("id", "bin", "flags", tx.token_set(F.col("text")).alias("tokens"), tx.hash_rank(seed, F.col("id")).alias("hash"), F.lit(1.0).alias("far")))
+    origin = state = written(candidates.select("id", "bin", "flags", tx.token_set(F.col("text")).alias("tokens"), tx.hash_rank(seed, F.col("id")).alias("hash"), F.lit(1.0).alias("far")))
     chosen: list = []
     flags: set[str] = set()
     bins: list = []
@@ -95,11 +95,12 @@ def greedy_freeze(candidates: DataFrame, n: int, seed: str, alike: float = 0.9)
         best = state.where(F.col("far") > 1 - alike).agg(F.min(first).alias("best")).first()["best"]
         if best is None:
             break
-        row = state.where(F.col("id") == best["id"]).select("bin", "flags", "tokens").first()
+        own = origin.where(F.col("id") == best["id"]).limit(1)
+        row = own.select("bin", "flags").first()
         chosen.append((best["id"], position + 1))
         flags |= set(row["flags"])
         bins.append(row["bin"])
-        state = state.withColumn("far", F.least("far", 1 - tx.jaccard(F.col("tokens"), F.lit(row["tokens"]).cast("array<string>"))))
+        state = state.withColumn("far", F.least("far", 1 - tx.jaccard(F.col("tokens"), own.select("tokens").scalar())))
         if position % 5 == 4:
             state = written(state)
     kind = candidates.schema["id"].dataType.simpleString()
