@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, langid, neardup, pii, quality_model, quality_rules, secret_scan, spans, substring_dedup
+from threadloom.llm import alignment, bpe, chat, langid, neardup, pii, quality_model, quality_rules, secret_scan, spans, substring_dedup, url_filter, whitening
 from threadloom.llm.common import read, written
 from threadloom.llm.decontam import decontaminate
 
@@ -121,6 +121,33 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The contract's rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels beside the listed rules' verdicts: a page whose id is labelled of low quality or toxic is to be blocked."""
+    bad = (F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, "block").when(F.col("quality") == 1, "allow").alias("verdict"))
+    return url_filter.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), labels)
+
+
+def vocabularies() -> tuple[str, bytes]:
+    """The JSON of the byte-level tokenizer and the model of the piece tokenizer, as the driver reads them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return a.read(), b.read()
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), *vocabularies())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
@@ -132,5 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    "op11_url_filter": op11_url_filter,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
