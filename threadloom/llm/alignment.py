@@ -8,8 +8,9 @@ Postings. Documents are encoded in batches of bounded bytes. A batch leaves a ro
 documents that hold it and how often: a pair's row is at most a batch long, so that a frequent word weighs no more rows than a
 batch each. Rows of pairs are dealt by B id, in parts where an id has more than ``per_task`` rows, and sorted (Spark's sort
 spills). The corpus totals of the id's pairs come first in the stream; so a task reads a B id's counts and its maximum, and then
-turns postings into contributions of documents while they pass. It holds one id's counts, at most A's vocabulary. Contributions
-are summed by document.
+turns postings into contributions of documents while they pass: the pair's count, whether it is best, and the postings. It
+holds one id's counts, at most A's vocabulary. Contributions are dealt by batch and sorted likewise, and summed by document in
+arrays of a batch's length.
 
 Encoding. Texts are cut where one space stands between two other characters. No piece of B continues over such a place and
 A's pattern always cuts there, which is checked when the tokenizers are loaded; otherwise whole texts are encoded. Parts met
@@ -23,6 +24,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -31,7 +33,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,13 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=pieces)
         byte_of = _byte_of()
-        self.a_bytes = {i: bytes(map(byte_of.get, entry)) for entry, i in self.a.get_vocab(False).items()}
+        vocabulary = self.a.get_vocab(False)
+        self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for entry, i in vocabulary.items():
+            self.a_bytes[i] = bytes(map(byte_of.get, entry))
         named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(named)]
+        self.numerals = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.most = most
         self.known: dict[str, tuple | None] = {}
         self.cuts = self._may_cut(json.loads(tokenizer), named)
@@ -85,33 +90,38 @@ class Aligner:
 
     def _entry(self, part: str, a: list[int], b: list[int]) -> tuple | None:
         """Tokens of A and B, their groups as written, and the linked pairs (B id above A id); None if bytes are lost."""
-        whole = (" " + part).encode()
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
+        whole, a_bytes, b_bytes, numerals = (" " + part).encode(), self.a_bytes, self.b_bytes, self.numerals
+        a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
         if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
             return None
+        if len(a) == 1 or len(b) == 1:
+            return len(a), len(b), f"{','.join([numerals[i] for i in a])}|{','.join([numerals[i] for i in b])}", (b[-1] << 32 | a[-1],)
         ends = dict(zip(accumulate(map(len, b_parts)), range(1, len(b) + 1)))
-        groups, pairs, at, a_from, b_from = [], [], 0, 0, 0
-        for k, own in enumerate(a_parts, 1):
-            at += len(own)
+        groups, pairs, a_from, b_from = [], [], 0, 0
+        for k, at in enumerate(accumulate(map(len, a_parts)), 1):
             if j := ends.get(at):
-                groups.append(f"{','.join(map(str, a[a_from:k]))}|{','.join(map(str, b[b_from:j]))}")
+                groups.append(f"{','.join([numerals[i] for i in a[a_from:k]])}|{','.join([numerals[i] for i in b[b_from:j]])}")
                 pairs.append(b[j - 1] << 32 | a[k - 1])
                 a_from, b_from = k, j
-        return len(a), len(b), ";".join(groups), pairs
+        return len(a), len(b), ";".join(groups), tuple(pairs)
 
-    def entries(self, texts: list[str]) -> Iterator[list[tuple] | None]:
-        """For each text the entries of its parts, in order; None if it is empty or its bytes are lost."""
+    def entries(self, texts: list[str]) -> Iterator[tuple[tuple, ...] | None]:
+        """For each text the token numbers of A and B, the groups and the pairs of its parts, in order; None if it is empty or its
+        bytes are lost."""
+        gc.disable()  # nothing here refers to itself, and the collector would walk all entries again and again
         cut = [self.parts(text) if text else [] for text in texts]
         met = Counter(chain.from_iterable(cut))
         new = [part for part in met if part not in self.known]
-        encoded = zip(new, self.a.encode_batch([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
+        encoded = zip(new, self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
         own = {part: self._entry(part, a.ids, b) for part, a, b in encoded}
+        entry = (self.known | own).__getitem__
         for parts in cut:
-            found = [own[p] if p in own else self.known[p] for p in parts]
-            yield None if not found or None in found else found
+            found = list(map(entry, parts))
+            yield None if not found or None in found else tuple(zip(*found))
         if len(self.known) + len(own) > self.most:
             self.known = {}
-        self.known |= {part: entry for part, entry in own.items() if met[part] > 1 and len(part) < 100}
+        self.known |= {part: e for part, e in own.items() if met[part] > 1 and len(part) < 100}
+        gc.enable()
 
 
 def _aligner(tokenizer: str, pieces: bytes, key: str) -> Aligner:
@@ -141,9 +151,9 @@ def groups(docs: DataFrame, tokenizer: str, pieces: bytes, doc_id: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*shared.value, key)
         for batch in _portions(batches, 4 << 20):
-            found = [e or [] for e in aligner.entries(batch.column(1).to_pylist())]
-            count = lambda k: pa.array([sum(map(itemgetter(k), e)) for e in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), pa.array([";".join(map(itemgetter(2), e)) for e in found], pa.string())], ["doc_id", "n_a", "n_b", "groups"])
+            found = [e or ((), (), (), ()) for e in aligner.entries(batch.column(1).to_pylist())]
+            count = lambda k: pa.array([sum(e[k]) for e in found], pa.int64())  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), pa.array([";".join(e[2]) for e in found], pa.string())], ["doc_id", "n_a", "n_b", "groups"])
 
     return frame.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, groups string")
 
@@ -163,9 +173,9 @@ def _postings(frame: DataFrame, tokenizer: str, pieces: bytes, size: int) -> Dat
                 if entries is None:
                     prints.append("")
                     continue
-                n_a[k], n_b[k] = sum(map(itemgetter(0), entries)), sum(map(itemgetter(1), entries))
-                prints.append(hashlib.sha256(";".join(map(itemgetter(2), entries)).encode()).hexdigest())
-                own = np.fromiter(chain.from_iterable(map(itemgetter(3), entries)), np.int64)
+                n_a[k], n_b[k] = sum(entries[0]), sum(entries[1])
+                prints.append(hashlib.sha256(";".join(entries[2]).encode()).hexdigest())
+                own = np.fromiter(chain.from_iterable(entries[3]), np.int64)
                 links[k] = len(own)
                 pairs.append(own)
             both = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
@@ -191,27 +201,26 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
 
 def _contributions(postings: DataFrame, totals: DataFrame, per_task: int) -> DataFrame:
-    """batch, doc, n_best, count_sum: what the postings of a B id give to documents."""
+    """batch, count, best, docs, counts: what each row of postings gives to its documents."""
     # A row for each B id at most: bounded by B's vocabulary.
     loads = totals.groupBy("b").agg(F.ceil(F.sum("n") / per_task).cast("int").alias("parts")).where("parts > 1")
     dealt = lambda frame: frame.join(F.broadcast(loads), "b", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    heads = dealt(totals.select("b", "a", "total")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", "total", F.lit(None).cast("bigint").alias("batch"), F.lit(None).cast("array<int>").alias("docs"), F.lit(None).cast("array<int>").alias("counts"))
-    rows = dealt(postings.where("b IS NOT NULL").select("b", "a", "batch", "docs", "counts")).select("b", F.pmod(F.xxhash64("batch"), F.col("parts")).cast("int").alias("part"), "a", F.lit(None).cast("bigint").alias("total"), "batch", "docs", "counts")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    heads = dealt(totals.select("b", "a", "total")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", "total", none("bigint", "batch"), none("array<int>", "docs"), none("array<int>", "counts"))
+    rows = dealt(postings.where("b IS NOT NULL").select("b", "a", "batch", "docs", "counts")).select("b", F.pmod(F.xxhash64("batch"), F.col("parts")).cast("int").alias("part"), "a", none("bigint", "total"), "batch", "docs", "counts")
     stream = heads.unionByName(rows).repartition("b", "part").sortWithinPartitions("b", "part", F.col("batch").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, totals = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
             b, part, a = (batch.column(k).to_numpy() for k in range(3))
             head = np.asarray(batch.column(4).is_null())
             total = batch.column(3).fill_null(0).to_numpy()
             count, best = np.zeros(len(b), np.int64), np.zeros(len(b), bool)
-            edges = np.flatnonzero((np.diff(b) != 0) | (np.diff(part) != 0) | (np.diff(head) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(b)]):
+            edges = np.flatnonzero((np.diff(b) != 0) | (np.diff(part) != 0) | np.diff(head)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(b)]) if len(b) else ():
                 if head[lo]:
-                    if now != (b[lo], part[lo]) or not isinstance(ids, list):
+                    if now != (b[lo], part[lo]):
                         now, ids, totals = (b[lo], part[lo]), [], []
                     ids.append(a[lo:hi])
                     totals.append(total[lo:hi])
@@ -221,18 +230,40 @@ def _contributions(postings: DataFrame, totals: DataFrame, per_task: int) -> Dat
                     ids, totals = merged[order], np.concatenate(totals)[order]
                 count[lo:hi] = totals[np.searchsorted(ids, a[lo:hi])]
                 best[lo:hi] = count[lo:hi] == totals.max()
-            rows = np.flatnonzero(~head)
-            if not len(rows):
-                continue
-            own = batch.take(pa.array(rows))
-            lengths = own.column(5).value_lengths().to_numpy()
-            times = own.column(6).flatten().to_numpy().astype(np.int64)
-            keys = np.stack([np.repeat(own.column(4).to_numpy(), lengths), own.column(5).flatten().to_numpy().astype(np.int64)])
-            order = np.lexsort(keys[::-1])
-            keys = keys[:, order]
-            first = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)])
-            summed = lambda values: np.add.reduceat((np.repeat(values, lengths) * times)[order], first)  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (keys[0][first], keys[1][first].astype(np.int32), summed(best[rows].astype(np.int64)), summed(count[rows])))], ["batch", "doc", "n_best", "count_sum"])
+            rows = pa.array(np.flatnonzero(~head))
+            columns = [batch.column(4), pa.array(count), pa.array(best), batch.column(5), batch.column(6)]
+            yield pa.RecordBatch.from_arrays([c.take(rows) for c in columns], ["batch", "count", "best", "docs", "counts"])
+
+    return stream.mapInArrow(run, "batch bigint, count bigint, best boolean, docs array<int>, counts array<int>")
+
+
+def _sums(contributions: DataFrame) -> DataFrame:
+    """batch, doc, n_best, count_sum."""
+    stream = contributions.repartition("batch").sortWithinPartitions("batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros((2, 0), np.int64)
+
+        def whole() -> pa.RecordBatch:
+            docs = np.arange(sums.shape[1], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), now or 0)), pa.array(docs), pa.array(sums[0]), pa.array(sums[1])], ["batch", "doc", "n_best", "count_sum"])
+
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            count, best = batch.column(1).to_numpy(), np.asarray(batch.column(2)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(own)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(own)]) if len(own) else ():
+                if now != own[lo]:
+                    yield whole()
+                    now, sums = own[lo], np.zeros((2, 0), np.int64)
+                lists, times = batch.column(3).slice(lo, hi - lo), batch.column(4).slice(lo, hi - lo).flatten().to_numpy()
+                docs, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                more = int(docs.max()) + 1 - sums.shape[1]
+                if more > 0:
+                    sums = np.pad(sums, ((0, 0), (0, more)))
+                for k, value in enumerate((best, count)):
+                    np.add.at(sums[k], docs, np.repeat(value[lo:hi], lengths) * times)
+        yield whole()
 
     return stream.mapInArrow(run, "batch bigint, doc int, n_best bigint, count_sum bigint")
 
@@ -241,7 +272,7 @@ def align(docs: DataFrame, tokenizer: str, pieces: bytes, doc_id: str = "doc_id"
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
     postings = written(_postings(slim(docs, doc_id=doc_id, text=text), tokenizer, pieces, batch_bytes))
     totals = written(pair_counts(postings))
-    given = _contributions(postings, totals, per_task).groupBy("batch", "doc").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = _sums(_contributions(postings, totals, per_task))
     zero = F.lit(0).cast("bigint")
     return postings.where("b IS NULL").join(given, ["batch", "doc"], "left").select(
         "doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links",
