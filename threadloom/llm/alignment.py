@@ -13,8 +13,8 @@ holds one id's counts, at most A's vocabulary. Contributions are dealt by batch
 arrays of a batch's length.
 
 Encoding. Texts are cut where one space stands between two other characters. No piece of B continues over such a place and
-A's pattern always cuts there, which is checked when the tokenizers are loaded; otherwise whole texts are encoded. Parts met
-twice in a batch are remembered, within a bound.
+A's pattern always cuts there, which is checked when the tokenizers are loaded; otherwise whole texts are encoded. New parts are
+encoded many together, with such places between them. Parts met twice in a batch are remembered, within a bound.
 
 Cases: null and empty texts, and texts whose joined token bytes differ from space and text for either tokenizer, have no tokens
 and give zeros and no groups; repeated rows and ids are documents of their own; null ids stay; ids may have any type; texts of any
@@ -32,7 +32,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,9 @@ class Aligner:
             self.a_bytes[i] = bytes(map(byte_of.get, entry))
         named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(named)]
-        self.numerals = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        self.comma, self.bar, self.end = (np.array([f"{i}{mark}" for i in ids], object) for mark in ",|;")
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, own)), np.int64) for own in (self.a_bytes, self.b_bytes))
         self.most = most
         self.known: dict[str, tuple | None] = {}
         self.cuts = self._may_cut(json.loads(tokenizer), named)
@@ -88,22 +90,56 @@ class Aligner:
         """The parts of a text; each is encoded with a space before it."""
         return _CUT.split(text) if self.cuts else [text]
 
-    def _entry(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """Tokens of A and B, their groups as written, and the linked pairs (B id above A id); None if bytes are lost."""
-        whole, a_bytes, b_bytes, numerals = (" " + part).encode(), self.a_bytes, self.b_bytes, self.numerals
-        a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+    def _aligned(self, parts: list[str], a: list[int], b: list[int]) -> list[tuple] | None:
+        """For parts encoded together, each one's numbers of tokens of A and B, its groups as written (with a last semicolon), and its
+        linked pairs (B id above A id). None if bytes are lost, or if some part's end is no common end."""
+        a_bytes, b_bytes, whole = self.a_bytes, self.b_bytes, " ".join(["", *parts]).encode()
+        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
             return None
-        if len(a) == 1 or len(b) == 1:
-            return len(a), len(b), f"{','.join([numerals[i] for i in a])}|{','.join([numerals[i] for i in b])}", (b[-1] << 32 | a[-1],)
-        ends = dict(zip(accumulate(map(len, b_parts)), range(1, len(b) + 1)))
-        groups, pairs, a_from, b_from = [], [], 0, 0
-        for k, at in enumerate(accumulate(map(len, a_parts)), 1):
-            if j := ends.get(at):
-                groups.append(f"{','.join([numerals[i] for i in a[a_from:k]])}|{','.join([numerals[i] for i in b[b_from:j]])}")
-                pairs.append(b[j - 1] << 32 | a[k - 1])
-                a_from, b_from = k, j
-        return len(a), len(b), ";".join(groups), tuple(pairs)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        at = np.searchsorted(b_ends, a_ends)
+        cut = b_ends[at] == a_ends
+        a_cuts, b_cuts = np.flatnonzero(cut), at[cut]
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        last = np.searchsorted(a_ends[a_cuts], ends)
+        if (a_ends[a_cuts][last] != ends).any():
+            return None
+        # A group's tokens of A are written before its tokens of B.
+        final = np.zeros(len(b), bool)
+        final[b_cuts] = True
+        written_ids = np.empty(len(a) + len(b), object)
+        written_ids[np.arange(len(a)) + np.r_[0, b_cuts + 1][np.cumsum(cut) - cut]] = np.where(cut, self.bar[a], self.comma[a])
+        written_ids[np.arange(len(b)) + a_cuts[np.cumsum(final) - final] + 1] = np.where(final, self.end[b], self.comma[b])
+        ids, pairs = written_ids.tolist(), (b[b_cuts] << 32 | a[a_cuts]).tolist()
+        a_stops, b_stops, stops = (a_cuts[last] + 1).tolist(), (b_cuts[last] + 1).tolist(), (last + 1).tolist()
+        out, i, j, k = [], 0, 0, 0
+        for a_stop, b_stop, stop in zip(a_stops, b_stops, stops):
+            out.append((a_stop - i, b_stop - j, "".join(ids[i + j : a_stop + b_stop]), tuple(pairs[k:stop])))
+            i, j, k = a_stop, b_stop, stop
+        return out
+
+    def _learned(self, new: list[str], together: int = 256) -> dict[str, tuple | None]:
+        """The entries of parts; None for a part whose bytes are lost."""
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()] if self.cuts else []
+        blocks = [plain[k : k + together] for k in range(0, len(plain), together)]
+        known = set(plain) if len(plain) < len(new) else plain
+        blocks += [[p] for p in new if p not in known] if len(plain) < len(new) else []
+        out: dict[str, tuple | None] = {}
+        while blocks:
+            again = []
+            texts = [" ".join(block) for block in blocks]
+            encoded = zip(blocks, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
+            for block, a, b in encoded:
+                found = self._aligned(block, a.ids, b)
+                if found is not None:
+                    out.update(zip(block, found))
+                elif len(block) > 1:
+                    again += [[p] for p in block]
+                else:
+                    out[block[0]] = None
+            blocks = again
+        return out
 
     def entries(self, texts: list[str]) -> Iterator[tuple[tuple, ...] | None]:
         """For each text the token numbers of A and B, the groups and the pairs of its parts, in order; None if it is empty or its
@@ -112,8 +148,7 @@ class Aligner:
         cut = [self.parts(text) if text else [] for text in texts]
         met = Counter(chain.from_iterable(cut))
         new = [part for part in met if part not in self.known]
-        encoded = zip(new, self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
-        own = {part: self._entry(part, a.ids, b) for part, a, b in encoded}
+        own = self._learned(new)
         entry = (self.known | own).__getitem__
         for parts in cut:
             found = list(map(entry, parts))
@@ -153,7 +188,7 @@ def groups(docs: DataFrame, tokenizer: str, pieces: bytes, doc_id: str = "doc_id
         for batch in _portions(batches, 4 << 20):
             found = [e or ((), (), (), ()) for e in aligner.entries(batch.column(1).to_pylist())]
             count = lambda k: pa.array([sum(e[k]) for e in found], pa.int64())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), pa.array([";".join(e[2]) for e in found], pa.string())], ["doc_id", "n_a", "n_b", "groups"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), pa.array(["".join(e[2])[:-1] for e in found], pa.string())], ["doc_id", "n_a", "n_b", "groups"])
 
     return frame.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, groups string")
 
@@ -174,7 +209,7 @@ def _postings(frame: DataFrame, tokenizer: str, pieces: bytes, size: int) -> Dat
                     prints.append("")
                     continue
                 n_a[k], n_b[k] = sum(entries[0]), sum(entries[1])
-                prints.append(hashlib.sha256(";".join(entries[2]).encode()).hexdigest())
+                prints.append(hashlib.sha256("".join(entries[2])[:-1].encode()).hexdigest())
                 own = np.fromiter(chain.from_iterable(entries[3]), np.int64)
                 links[k] = len(own)
                 pairs.append(own)
