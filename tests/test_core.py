@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.operators import cohorts, compare, contracts, gates, metrics, retrieval, sampling, splits, taxonomy, threads
+from threadloom.operators import cohorts, contracts, gates, metrics, retrieval, sampling, splits, taxonomy, threads
 from threadloom.sources import exports, stores
 from threadloom.streaming import ingest
 
@@ -132,12 +132,6 @@ def test_splits(spark):
     assert {r.id for r in splits.decontaminate_exact(keyed).where("dropped").collect()} == {"d", "h"}
 
 
-def test_paired_outcome(spark):
-    n = lambda *v: [F.lit(x) for x in v]
-    out = spark.range(1).select(compare.paired_outcome(*n(True, True, 5, 4, 20, 22)).alias("a"), compare.paired_outcome(*n(False, True, 4, 4, 1, 1)).alias("b")).first()
-    assert (out.a, out.b) == ("REGRESSED", "IMPROVED")
-
-
 def test_store_and_contracts(spark, tmp_path):
     store = stores.KeyedStore(spark, str(tmp_path / "store"), "k string, v int", "k")
     rows = lambda *v: spark.createDataFrame(v, "k string, v int")
@@ -179,12 +173,6 @@ def test_vectors_and_terms_find_the_nearest(spark):
     assert {(r.query, r.doc, r["rank"]) for r in retrieval.vector_top_k(asked, frame, 4, block=3).collect()} == expected
 
 
-def test_greedy_freeze_takes_new_flags_first(spark):
-    rows = [(1, "a b c", 0, ["x"]), (2, "a b c", 0, ["x"]), (3, "d e f", 1, ["x", "y"]), (4, "g h i", 1, []), (5, "a b z", 0, [])]
-    got = sampling.greedy_freeze(spark.createDataFrame(rows, "id bigint, text string, bin int, flags array<string>"), 5, "s").orderBy("position").collect()
-    assert got[0].id == 3 and got[1].id in (1, 2, 5) and len({r.id for r in got} & {1, 2}) == 1 and len(got) == 4
-
-
 def test_every_sql_has_a_query():
     import __spark_entry__ as entry
 
@@ -202,18 +190,6 @@ def test_a_store_refuses_a_version_that_another_writer_has(spark, tmp_path):
     assert store.load().count() == 1
 
 
-def test_near_decontamination_repeats_until_nothing_changes(spark):
-    """Dropping d re-opens the pair (t, g), which a limit on buckets had hidden."""
-    assigned = spark.createDataFrame([("t", "TRAIN"), ("d", "DEVELOPMENT"), ("g", "GOLD"), ("h", "GOLD")], "id string, split string")
-
-    def find(left):
-        pairs = [("d", "t", 0.95)] if left.where("id = 'd'").count() else [("g", "t", 0.93)]
-        return spark.createDataFrame(pairs, "a string, b string, similarity double")
-
-    found = {r.id: r.dropped for r in splits.decontaminate_near_repeated(assigned, find).collect()}
-    assert found == {"t": False, "d": True, "g": True, "h": False}
-
-
 def test_near_pairs_without_a_limit_stand_for_all_copies(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(k, text if k < 9 else text + " eleven" if k == 9 else "something else entirely here", ["TRAIN", "GOLD"][k % 2]) for k in range(11)]

@@ -180,10 +180,15 @@ def coverage_failure(reply: Column, customer: Column) -> Column:
     return question_only(reply) & (known | bland)
 
 
+def joined_context(parts: Column) -> Column:
+    """Parts as one context, divided by two bars. Bars and backslashes in a part get a backslash before them."""
+    return F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, r"([|\\])", r"\\$1")), " || ")
+
+
 def customer_parts(context: Column) -> Column:
-    """What the customer said in a context of parts such as CUSTOMER: text, divided by two bars."""
+    """What the customer said in a context of parts such as CUSTOMER: text, divided by two bars (``joined_context``)."""
     mine = F.filter(F.split(context, r" \|\| "), lambda x: x.startswith("CUSTOMER: "))
-    return F.transform(mine, lambda x: F.substr(x, F.lit(11)))
+    return F.transform(mine, lambda x: F.regexp_replace(F.substr(x, F.lit(11)), r"\\([|\\])", "$1"))
 
 
 def customer_only(context: Column, message: Column) -> Column:
@@ -219,14 +224,9 @@ def retry_seconds(text: Column) -> Column:
     return F.when(found == "", None).when(found.rlike(r"^[0-9.]+$"), found.try_cast("double")).otherwise(duration_seconds(found))
 
 
-def reply_quality(text: Column) -> Column:
-    raw = F.least(word_count(text) / 24.0, F.lit(1.0)) - F.when(F.contains(text, F.lit("<")), 0.25).otherwise(0.0)
-    return F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))
-
-
 def signal_present(text: Column, signal: str) -> Column:
     """The signal with no letter or digit on either side."""
-    return F.lower(text).rlike(f"(^|[^a-z0-9]){signal}($|[^a-z0-9])")
+    return F.lower(text).rlike(rf"(^|[^a-z0-9])\Q{signal}\E($|[^a-z0-9])")
 
 
 def hash_rank(*parts: Column | str) -> Column:

@@ -20,6 +20,27 @@ def id_digest(rows: DataFrame, key: str, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct(key).alias("ids"), F.sha2(ids, 256).alias("digest"))
 
 
+def digest_tree(rows: DataFrame, key: str, group: str, fanout: int = 256) -> DataFrame:
+    """group, ids, digest: a digest of each group's distinct ids, as strings, for groups of any size.
+
+    A tree of hashes with a fixed shape: leaf k of a group holds the ids whose SHA-256 begins with the two bytes k, sorted, one a line;
+    a parent is the hash of its children's, ``fanout`` of them by number, and lists which they are. So no row holds a group: a leaf
+    has a 65,536th of it, and equal sets have equal digests whatever their order or partitioning.
+    """
+    levels, leaves = [], 1 << 16
+    while leaves > 1:
+        leaves = -(-leaves // fanout)
+        levels.append(leaves)
+    text = F.col(key).cast("string")
+    ids = rows.select(group, text.alias("id")).where("id IS NOT NULL").distinct().withColumn("node", F.conv(F.substr(F.sha2("id", 256), F.lit(1), F.lit(4)), 16, 10).cast("int"))
+    tree = ids.groupBy(group, "node").agg(F.count("id").alias("ids"), F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256).alias("digest"))
+    for _ in levels:
+        children = F.sort_array(F.collect_list(F.struct("node", "digest")))
+        lines = F.array_join(F.transform(children, lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["digest"])), "\n")
+        tree = tree.groupBy(group, F.floor(F.col("node") / fanout).cast("int").alias("node")).agg(F.sum("ids").alias("ids"), F.sha2(lines, 256).alias("digest"))
+    return tree.select(group, "ids", "digest")
+
+
 def insert_only(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The store with the new rows whose key it lacks."""
     return stored.unionByName(new.join(stored.select(key), key, "left_anti").select(stored.columns))

@@ -29,17 +29,36 @@ def reasons(tags: Column) -> Column:
     return F.array_distinct(F.transform(tags, lambda t: F.try_element_at(table, t)))
 
 
-def evidence(cases: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """query, intent_agreement, template_concentration, reasons from retrieved cases (query, rank, score, similarity, same_intent, reply)."""
+def evidence(cases: DataFrame, thresholds: dict[str, float], queries: DataFrame | None = None) -> DataFrame:
+    """query, intent_agreement, template_concentration, reasons from retrieved cases (query, rank, score, similarity, same_intent, reply).
+
+    ``queries`` (query, and confidence and margin of the intent, where these are to be tested; null: below any threshold) are all that
+    are judged: one without any case has no agreement, full concentration, and only INSUFFICIENT_EVIDENCE.
+    """
     modal = cases.groupBy("query", "reply").agg(F.count("*").alias("n")).groupBy("query").agg(F.max("n").alias("modal"))
-    base = cases.groupBy("query").agg(F.count("*").alias("n"), F.count_if("same_intent").alias("same"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("similarity"))
+    base = cases.groupBy("query").agg(F.count("*").alias("n"), F.count_if("same_intent").alias("same"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("similarity")).join(modal, "query")
+    if queries is not None:
+        base = queries.join(base, "query", "left")
     agree, dense = F.col("same") / F.col("n"), F.col("modal") / F.col("n")
+    below = lambda name: F.coalesce(F.col(name) < thresholds[name], F.lit(True)) if name in thresholds and name in base.columns else F.lit(False)
     found = F.array(
+        F.when(below("confidence"), "LOW_INTENT_CONFIDENCE"),
+        F.when(below("margin"), "AMBIGUOUS_INTENT"),
         F.when((F.col("score") < thresholds["score"]) | (F.col("similarity") < thresholds["similarity"]), "INSUFFICIENT_EVIDENCE"),
         F.when(agree < thresholds["agreement"], "INTENT_RETRIEVAL_MISMATCH"),
         F.when(dense > thresholds["concentration"], "TEMPLATE_CONCENTRATION"),
     )
-    return base.join(modal, "query").select("query", F.round(agree, 6).alias("intent_agreement"), F.round(dense, 6).alias("template_concentration"), F.array_compact(found).alias("reasons"))
+    reasons = F.when(F.col("n").isNull(), F.array(F.lit("INSUFFICIENT_EVIDENCE"))).otherwise(F.array_compact(found))
+    return base.select("query", F.round(F.coalesce(agree, F.lit(0.0)), 6).alias("intent_agreement"), F.round(F.coalesce(dense, F.lit(1.0)), 6).alias("template_concentration"), reasons.alias("reasons"))
+
+
+def calibrated(queries: DataFrame, cases: DataFrame, quantiles: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """One row with a threshold for each of confidence and margin (of ``queries``), score and similarity (of the best ``cases``):
+    a quantile of its values, held between two bounds. A query without a case is an error, as in the gate that it tunes."""
+    joined = queries.join(cases.where("rank = 1").select("query", "score", "similarity"), "query", "left")
+    missing = F.raise_error(F.lit("a query has no case"))
+    checked = [F.when(F.col(c).isNull(), missing).otherwise(F.col(c)).cast("double").alias(c) for c in quantiles]
+    return joined.select(*checked).agg(*(F.round(F.greatest(F.least(F.percentile(c, q), F.lit(high)), F.lit(low)), 6).alias(c) for c, (q, low, high) in quantiles.items()))
 
 
 def usable_reply(text: Column, least_words: int, private: list[str]) -> Column:

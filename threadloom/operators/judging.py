@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import ratio
+from threadloom.operators.metrics import bootstrap_of
+
 SCORES = ("groundedness", "relevance", "helpfulness", "safety", "brand_context")
 #: Failure codes, and those that concern safety, which alone may make a failure critical.
 CODES = "G R H A P C I L E F D M B".split()
@@ -132,6 +135,16 @@ def comparison(paired: DataFrame) -> DataFrame:
     return sums.withColumn("safety_regression", gate).withColumn("accepted", ~gate & (aimed > 0) & (F.col("improved") > F.col("regressed")))
 
 
+def intervals(paired: DataFrame, case: str, seed: str, samples: int) -> DataFrame:
+    """statistic, estimate, low, high: bootstrap intervals of the mean difference of every score, of passing and of critical failures, and of the
+    shares of cases that improved or regressed."""
+    a, b = F.col("a"), F.col("b")
+    result, _ = outcome(a, b)
+    change = lambda n: b[n].cast("int") - a[n].cast("int")
+    sums = {n: change(n) for n in SCORES} | {"passing": change("overall_pass"), "critical": change("critical_failure")} | {x.lower(): result == x for x in ("IMPROVED", "REGRESSED")}
+    return bootstrap_of(paired, F.col(case), seed, samples, sums | {"n": F.lit(1)}, {n: ratio(F.col(n), F.col("n")) for n in sums})
+
+
 def missingness(rows: DataFrame, complete: Column, fields: list[str]) -> DataFrame:
     """field, value, complete_rate, missing_rate, points, level: how the rows with and without a complete pair differ."""
     long = rows.withColumn("_done", complete).select("_done", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("_done", "x.*")

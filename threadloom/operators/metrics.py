@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as tx
 from threadloom.functions.durable import written
 from threadloom.functions.text import ratio
+from threadloom.operators.contracts import digest_tree
 
 
 def confusion(rows: DataFrame, labels: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """gold, pred, n for every pair of labels, zeros included."""
+    """gold, pred, n for every pair of labels, zeros included. A row with any other label, or none, is an error."""
     spark = rows.sparkSession
     names = spark.createDataFrame([(x,) for x in labels], f"{gold} string")
     grid = names.join(names.select(F.col(gold).alias(pred)), how="cross")  # labels x labels: a handful of rows
-    return grid.join(rows.groupBy(gold, pred).agg(F.count("*").alias("n")), [gold, pred], "left").fillna(0, ["n"])
+    listed = lambda c: F.when(F.col(c).isin(labels), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {c} label: "), F.coalesce(F.col(c), F.lit("null"))))).alias(c)
+    return grid.join(rows.groupBy(gold, pred).agg(F.count("*").alias("n")).select(listed(gold), listed(pred), "n"), [gold, pred], "left").fillna(0, ["n"])
 
 
 def class_metrics(cells: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -33,8 +38,9 @@ def overall(classes: DataFrame, cells: DataFrame, gold: str = "gold", pred: str
 
 
 def action_metrics(rows: DataFrame, gold: Column, pred: Column) -> DataFrame:
-    """Escalation as the positive class; ``gold`` and ``pred`` are true for escalate."""
-    r = rows.select(gold.alias("g"), pred.alias("p"))
+    """Escalation as the positive class; ``gold`` and ``pred`` are true for escalate. A row without one of them is an error."""
+    there = lambda c, name: F.coalesce(c, F.raise_error(F.lit(f"a row has no {name} action")).cast("boolean"))
+    r = rows.select(there(gold, "gold").alias("g"), there(pred, "predicted").alias("p"))
     c = r.agg(F.count("*").alias("n"), F.count_if(F.expr("g and p")).alias("tp"), F.count_if(F.expr("not g and p")).alias("fp"), F.count_if(F.expr("g and not p")).alias("fn"), F.count_if(F.expr("not g and not p")).alias("tn"))
     x = lambda a, b: F.round(ratio(a, b), 8)
     tp, fp, fn, tn, n = (F.col(k) for k in ("tp", "fp", "fn", "tn", "n"))
@@ -87,52 +93,54 @@ def order_bias(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(ratio(F.count_if(F.col("first") != mirrored), F.count("*")), 8).alias("flip_rate"), F.round(ratio(F.count_if(F.col("first") == "A") + F.count_if(F.col("second") == "A"), 2 * F.count("*")), 8).alias("first_position_share"))
 
 
-def bootstrap(values: DataFrame, seed: str, samples: int, numerator: str = "num", denominator: str = "den", level: float = 0.95) -> DataFrame:
-    """estimate, low, high of sum(num) / sum(den). ``values`` has pos (0 to n - 1), num, den.
+#: A Poisson(1) number is how many of these bounds a 32-bit hash reaches: the distribution function times 2^32. Twelve are all that 32 bits tell apart.
+POISSON = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)]
+
+
+def multiplicities(rows: DataFrame, key: Column, seed: str, samples: int) -> DataFrame:
+    """``rows`` with rep (0 to samples - 1) and times: how often each replicate draws the row, Poisson(1) by a hash of the seed, the key and
+    the replicate. Draws of rows do not depend on each other, so nothing is numbered or joined; replicates without a row in them do not come."""
+    block = F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 8))).alias("block")
+    hashed = rows.select("*", key.cast("string").alias("_key"), block).withColumn("_hash", tx.hash_rank(seed, F.col("_key"), F.col("block")))
+    each = hashed.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_at")).withColumn("rep", F.col("block") * 8 + F.col("_at")).where(F.col("rep") < samples)
+    number = F.conv(F.substr("_hash", 1 + 8 * F.col("_at"), F.lit(8)), 16, 10).cast("bigint")
+    times = sum((number >= bound).cast("int") for bound in POISSON)
+    return each.withColumn("times", times).where("times > 0").drop("_key", "_hash", "_at", "block")
+
 
-    Every replicate draws n positions by hash, so the result depends on nothing but the data and the seed. The draws are
-    rows of a distributed range, and a draw meets its value by a join on the position.
+def bootstrap_of(rows: DataFrame, key: Column, seed: str, samples: int, sums: dict[str, Column], statistics: dict[str, Column], level: float = 0.95) -> DataFrame:
+    """statistic, estimate, low, high: percentile intervals of statistics of sums.
+
+    ``sums`` are numbers of a row by name; ``statistics`` are expressions of their totals. Each replicate weighs rows by ``multiplicities``,
+    and totals are added up where the rows are, so that a task sends on one row a replicate and nothing grows with rows times replicates.
+    An empty table is an error.
     """
-    n = values.count()
-    if n == 0:
-        raise ValueError("there are no values")
-    draws = values.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
-    unit = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(2.0**48)
-    placed = draws.select("rep", F.floor(unit * n).cast("bigint").alias("pos"))
-    stats = placed.join(values, "pos").groupBy("rep").agg(F.round(ratio(F.sum(numerator), F.sum(denominator)), 10).alias("x"))
-    tail = (1 - level) / 2
-    ends = stats.agg(F.round(F.percentile("x", tail), 8).alias("low"), F.round(F.percentile("x", 1 - tail), 8).alias("high"))
-    return values.agg(F.round(ratio(F.sum(numerator), F.sum(denominator)), 8).alias("estimate")).join(F.broadcast(ends))
-
-
-def draws(values: DataFrame, seed: str, samples: int) -> DataFrame:
-    """rep and the columns of ``values`` (pos from 0 to n - 1): each replicate draws n rows by hash."""
-    n = values.count()
-    if n == 0:
-        raise ValueError("there are no values")
-    slots = values.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("slot"))
-    unit = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("double") / F.lit(2.0**48)
-    return slots.select("rep", F.floor(unit * n).cast("bigint").alias("pos")).join(values, "pos")
-
-
-def bootstrap_of(values: DataFrame, seed: str, samples: int, statistics: dict[str, Column], level: float = 0.95) -> DataFrame:
-    """statistic, estimate, low, high for named aggregates over ``values`` (pos from 0 to n - 1 and the columns they use)."""
-    aggregates = [s.cast("double").alias(n) for n, s in statistics.items()]
-    named = lambda rows: rows.select("rep", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.round(n, 10).alias("x")) for n in statistics))).alias("s")).select("rep", "s.*")
-    spread = named(draws(values, seed, samples).groupBy("rep").agg(*aggregates))
-    tail = (1 - level) / 2
-    ends = spread.groupBy("statistic").agg(F.round(F.percentile("x", tail), 8).alias("low"), F.round(F.percentile("x", 1 - tail), 8).alias("high"))
-    estimate = named(values.withColumn("rep", F.lit(-1)).groupBy("rep").agg(*aggregates)).select("statistic", F.round("x", 8).alias("estimate"))
-    return estimate.join(ends, "statistic")
-
-
-def label_statistics(labels: list[str], gold: str = "gold", pred: str = "pred") -> dict[str, Column]:
-    """Accuracy, macro F1 over all labels, and each label's precision, recall and F1, as aggregates."""
+    values = rows.select(key.alias("_row"), *(F.coalesce(s.cast("double"), F.lit(0.0)).alias(n) for n, s in sums.items()))
+    drawn = multiplicities(values, F.col("_row"), seed, samples).groupBy("rep").agg(*(F.sum(F.col("times") * F.col(n)).alias(n) for n in sums))
+    whole = values.agg(F.count("*").alias("_n"), *(F.sum(n).alias(n) for n in sums))
+    whole = whole.select(F.when(F.col("_n") > 0, F.lit(-1)).otherwise(F.raise_error(F.lit("there are no values"))).alias("rep"), *sums)
+    long = F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.round(s.cast("double"), 10).alias("x")) for n, s in statistics.items()))).alias("s")
+    both = whole.unionByName(drawn.withColumn("rep", F.col("rep").cast("int"))).select("rep", long).select("rep", "s.*")
+    own, tail = F.when(F.col("rep") >= 0, F.col("x")), (1 - level) / 2
+    ends = [F.round(F.percentile(own, q), 8).alias(n) for n, q in (("low", tail), ("high", 1 - tail))]
+    return both.groupBy("statistic").agg(F.round(F.max(F.when(F.col("rep") < 0, F.col("x"))), 8).alias("estimate"), *ends)
+
+
+def label_sums(labels: list[str], gold: str = "gold", pred: str = "pred") -> dict[str, Column]:
+    """What ``label_statistics`` adds up over rows."""
     g, p = F.col(gold), F.col(pred)
-    out = {"accuracy": ratio(F.count_if(g == p), F.count("*"))}
+    out = {"n": F.lit(1), "right": g == p}
+    for x in labels:
+        out |= {f"{x}_hit": (g == x) & (p == x), f"{x}_support": g == x, f"{x}_said": p == x}
+    return out
+
+
+def label_statistics(labels: list[str]) -> dict[str, Column]:
+    """Accuracy, macro F1 over all labels, and each label's precision, recall and F1, of the totals of ``label_sums``."""
+    out = {"accuracy": ratio(F.col("right"), F.col("n"))}
     f1 = []
     for x in labels:
-        hit, support, said = F.count_if((g == x) & (p == x)), F.count_if(g == x), F.count_if(p == x)
+        hit, support, said = (F.col(f"{x}_{n}") for n in ("hit", "support", "said"))
         f1.append(ratio(2 * hit, support + said))
         out |= {f"{x}_precision": ratio(hit, said), f"{x}_recall": ratio(hit, support), f"{x}_f1": f1[-1]}
     return out | {"macro_f1": sum(f1[1:], f1[0]) / len(labels)}
@@ -145,10 +153,11 @@ def correct_and_safe(rows: DataFrame, right: Column, gold_auto: Column, auto: Co
 
 
 def slices(rows: DataFrame, by: str, key: str, right: Column, action_right: Column, auto: Column) -> DataFrame:
-    """by, n, intent_accuracy, action_accuracy, coverage and a digest of the ids."""
+    """by, n, intent_accuracy, action_accuracy, coverage and a digest of the ids (``contracts.digest_tree``)."""
     share = lambda c: F.round(ratio(F.count_if(c), F.count("*")), 8)
-    ids = F.sha2(F.array_join(F.sort_array(F.collect_set(F.col(key).cast("string"))), "\n"), 256)
-    return rows.groupBy(by).agg(F.count("*").alias("n"), share(right).alias("intent_accuracy"), share(action_right).alias("action_accuracy"), share(auto).alias("coverage"), ids.alias("ids_digest"))
+    found = rows.groupBy(by).agg(F.count("*").alias("n"), share(right).alias("intent_accuracy"), share(action_right).alias("action_accuracy"), share(auto).alias("coverage"))
+    digests = digest_tree(rows, key, by).select(F.col(by).alias("_by"), F.col("digest").alias("ids_digest"))
+    return found.join(digests, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def repeatability(runs: DataFrame, case: str, run: str, score: str, most_runs: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,15 +18,20 @@ from threadloom.functions.durable import written
 
 
 def term_weights(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None = None, least_docs: int = 1, sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(key, term, w) with unit length per document, and (term, idf). With ``idf`` given, terms outside it are dropped."""
+    """(key, term, w) with unit length per document, and (term, idf). With ``idf`` given, terms outside it are dropped.
+
+    Counts are written once, and a document's terms meet in one row for its length: they are no more than its text.
+    """
     tf = docs.select(F.col(key).alias("key"), F.explode(terms).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     if idf is None:
+        tf = written(tf)
         n = docs.agg(F.count("*").alias("n"))
         df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs)
-        idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        idf = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
     raw = tf.join(idf, "term").select("key", "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
+    whole = raw.groupBy("key").agg(F.collect_list(F.struct("term", "raw")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x["raw"] * x["raw"]))
+    return whole.select("key", norm.alias("norm"), F.inline("v")).select("key", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
 
 
 def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
@@ -45,58 +51,128 @@ def _blocks(rows: DataFrame, key: str, size: int) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p) for p in range(parts)]
 
 
-def top_similar(queries: DataFrame, query: str, query_terms: Column, docs: DataFrame, doc: str, doc_terms: Column, k: int, least_docs: int = 1, block: int = 2000) -> DataFrame:
-    """query, doc, similarity, rank: for each query the k documents with the highest cosine of unit term weights above 0.
-
-    Queries are sent to the executors in blocks of bounded size. A task multiplies a batch of documents with a block and keeps
-    the k best of each query, so what is shuffled is k rows a query and batch, not a row for every pair that shares a term.
-    """
+def top_similar(queries: DataFrame, query: str, query_terms: Column, docs: DataFrame, doc: str, doc_terms: Column, k: int, least_docs: int = 1) -> DataFrame:
+    """query, doc, similarity, rank: for each query the k documents with the highest cosine of unit term weights above 0."""
     weights, idf = term_weights(docs, doc, doc_terms, least_docs=least_docs)
     asked = term_weights(queries, query, query_terms, written(idf))[0]
-    return top_by_weights(asked, weights, k, block)
+    return top_by_weights(asked, weights, k)
 
 
-def top_by_weights(asked: DataFrame, weights: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """``top_similar`` for term weights (key, term, w) of queries and documents: the largest sums of products."""
+def top_by_weights(asked: DataFrame, weights: DataFrame, k: int, entries: int = 2_000_000, rows: int = 64, scored: Accumulator | None = None) -> DataFrame:
+    """``top_similar`` for term weights (key, term, w) of queries and documents: the largest sums of products, if weights are
+    positive.
+
+    A blocked inverted index. Documents are dealt out, and sorted by their largest weight, so that blocks of ``rows`` documents are
+    alike (the first are smaller, so that a task soon knows a k-th best); a block lists for each term its documents, and the largest weight. A query skips a block if its weights and the block's largest
+    ones cannot reach the k-th best that the task has found so far. Else the terms that cannot reach it by themselves are left
+    aside, postings of the others are added up, and only what the left-out terms could still lift is looked at further, until
+    nothing is left or all terms are in. ``scored`` counts these pairs.
+
+    Queries are sent out as sparse rows in parts of about ``entries`` weights, 24 bytes each: 48 MB. A task keeps k documents a query,
+    and what is shuffled is k rows a query and task.
+    """
     types = asked.schema["key"].dataType.simpleString(), weights.schema["key"].dataType.simpleString()
-    asked = written(asked.withColumnRenamed("key", "query"))
-    used = asked.select("term").distinct()
-    rows = written(weights.join(used, "term", "left_semi").groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")))
-    found = [_multiplied(rows, part, k, *types) for part in _blocks(asked, "query", block * 200)]
-    return top_k(reduce(DataFrame.unionAll, found), k)
-
-
-def _multiplied(rows: DataFrame, block: DataFrame, k: int, query_type: str, doc_type: str) -> DataFrame:
-    local = block.toArrow()
-    names = sorted(set(local["query"].to_pylist()))
-    terms = sorted(set(local["term"].to_pylist()))
-    number = {t: i for i, t in enumerate(terms)}
-    matrix = np.zeros((len(terms), len(names)))
-    place = {q: i for i, q in enumerate(names)}
-    for q, t, w in zip(local["query"].to_pylist(), local["term"].to_pylist(), local["w"].to_pylist()):
-        matrix[number[t], place[q]] = w
-    shared = rows.sparkSession.sparkContext.broadcast((names, number, matrix))
+    asked = written(asked.select(F.col("key").alias("query"), "term", "w"))
+    numbers = written(asked.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
+    packed = weights.join(numbers, "term").groupBy("key").agg(F.collect_list(F.struct("t", "w")).alias("v")).select("key", F.col("v.t").alias("ts"), F.col("v.w").alias("ws"))
+    packed = written(packed.sortWithinPartitions(F.desc(F.array_max("ws"))))
+    parts = _blocks(asked.join(numbers, "term").select("query", "t", "w"), "query", entries)
+    return top_k(reduce(DataFrame.unionAll, [_searched(packed, part, k, rows, scored, *types) for part in parts]), k)
+
+
+class _Part:
+    """Some queries as sparse rows: names, sorted terms, and for each query a run of places among these and of weights."""
+
+    def __init__(self, local: pa.Table) -> None:
+        names, terms = local["query"].to_pylist(), local["t"].to_numpy()
+        self.names = sorted(set(names))
+        place = {q: i for i, q in enumerate(self.names)}
+        self.terms, at = np.unique(terms, return_inverse=True)
+        owner = np.array([place[q] for q in names], np.int64)
+        order = np.argsort(owner, kind="stable")
+        self.at, self.w = at[order].astype(np.int32), local["w"].to_numpy()[order]
+        self.starts = np.searchsorted(owner[order], np.arange(len(self.names) + 1))
+
+
+class _Block:
+    """Postings of some documents by term, with the largest weight of each term."""
+
+    def __init__(self, part: _Part, ts: np.ndarray, ws: np.ndarray, sizes: np.ndarray) -> None:
+        at = np.searchsorted(part.terms, ts)
+        known = at < len(part.terms)
+        known[known] = part.terms[at[known]] == ts[known]
+        docs, at, ws = np.repeat(np.arange(len(sizes)), sizes)[known], at[known], ws[known]
+        order = np.argsort(at, kind="stable")
+        self.n, self.docs, self.ws, at = len(sizes), docs[order], ws[order], at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        self.begin, self.length, self.most = (np.zeros(len(part.terms), kind) for kind in (np.int64, np.int64, np.float64))
+        if len(first):
+            self.begin[at[first]], self.length[at[first]] = first, np.diff(first, append=len(at))
+            self.most[at[first]] = np.maximum.reduceat(self.ws, first)
+
+    def added(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the terms add to each document."""
+        lengths = self.length[terms]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[terms] - (ends - lengths), lengths)
+        return np.bincount(self.docs[places], np.repeat(w, lengths) * self.ws[places], self.n)
+
+
+def _reached(block: _Block, terms: np.ndarray, w: np.ndarray, bounds: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a block whose sum may reach the limit, and all sums (exact for these)."""
+    order = np.argsort(bounds)
+    terms, w, rest = terms[order], w[order], np.cumsum(bounds[order])
+    cut = int(np.searchsorted(rest, limit))  # the terms before cannot reach the limit by themselves
+    sums = block.added(terms[cut:], w[cut:])
+    while True:
+        alive = np.flatnonzero(sums + (rest[cut - 1] if cut else 0.0) >= limit)
+        if not cut or not len(alive):
+            return alive, sums
+        further = cut * 2 // 3 if cut > 4 else 0
+        sums += block.added(terms[further:cut], w[further:cut])
+        cut = further
+
+
+def _searched(packed: DataFrame, part: DataFrame, k: int, rows: int, scored: Accumulator | None, query_type: str, doc_type: str) -> DataFrame:
     schema = pa.schema([("query", from_type(query_type)), ("doc", from_type(doc_type)), ("similarity", pa.float64())])
+    shared = packed.sparkSession.sparkContext.broadcast(_Part(part.toArrow()))  # bounded: see top_by_weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, number, matrix = shared.value
+        queries: _Part = shared.value
+        names, starts = queries.names, queries.starts
+        found: list = [(np.zeros(0), None)] * len(names)
+        limits = np.full(len(names), 1e-12)
+        size = min(8, rows)
         for batch in batches:
-            docs, scores = batch.column(0).to_pylist(), np.zeros((batch.num_rows, len(names)))
-            for i, (own, ws) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                at = [(number[t], w) for t, w in zip(own, ws) if t in number]
-                if at:
-                    scores[i] = np.array([w for _, w in at]) @ matrix[[n for n, _ in at]]
-            out: tuple[list, list, list] = ([], [], [])
-            order = np.argsort(np.argsort(np.array(docs, object))) if docs else np.zeros(0)
-            for j, name in enumerate(names):
-                some = np.flatnonzero(scores[:, j] > 0)
-                for i in some[_best(np.round(scores[some, j], 6), order[some], k)]:
-                    out[0].append(name)
-                    out[1].append(docs[i])
-                    out[2].append(float(scores[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-
-    found = rows.select("key", "terms", "ws").mapInArrow(run, f"query {query_type}, doc {doc_type}, similarity double")
+            low = 0 if names else batch.num_rows
+            while low < batch.num_rows:
+                own = batch.slice(low, size)
+                low, size = low + size, min(2 * size, rows)
+                docs, sizes = np.asarray(own.column(0).to_pylist()), own.column(1).value_lengths().to_numpy()
+                block = _Block(queries, own.column(1).flatten().to_numpy(), own.column(2).flatten().to_numpy(), sizes)
+                bounds = queries.w * block.most[queries.at]
+                most = np.add.reduceat(bounds, starts[:-1])
+                for j in np.flatnonzero(most >= limits):
+                    run_of = slice(starts[j], starts[j + 1])
+                    met = np.flatnonzero(bounds[run_of])
+                    alive, sums = _reached(block, queries.at[run_of][met], queries.w[run_of][met], bounds[run_of][met], limits[j])
+                    if scored is not None:
+                        scored.add(len(alive))
+                    alive = alive[sums[alive] > 0]
+                    if len(alive):
+                        old, its = found[j]
+                        values = np.concatenate([old, sums[alive]])
+                        ids = docs[alive] if its is None else np.concatenate([its, docs[alive]])
+                        kept = _best(np.round(values, 6), ids, k)
+                        found[j] = values[kept], ids[kept]
+                        if len(kept) == k:
+                            limits[j] = max(round(float(values[kept[-1]]), 6) - 1e-6, 1e-12)  # ties are settled after rounding
+        lengths = [len(values) for values, _ in found]
+        ids = [d for _, own in found if own is not None for d in own.tolist()]
+        columns = [[q for q, n in zip(names, lengths) for _ in range(n)], ids, np.concatenate([v for v, _ in found] or [np.zeros(0)])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+    found = packed.select("key", "ts", "ws").mapInArrow(run, f"query {query_type}, doc {doc_type}, similarity double")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -143,7 +219,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 40
     def against(part: DataFrame) -> DataFrame:
         local = part.toArrow()
         names = local["query"].to_pylist()
-        q = _units(np.array(local["q"].to_pylist(), float).reshape(len(names), -1))
+        q = _units(np.array(local["q"].to_pylist(), float).reshape(len(names), -1)) if names else np.zeros((0, 0))
         shared = vectors.sparkSession.sparkContext.broadcast((names, q))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Deterministic samples: hash order, quotas, round robin, and the greedy freeze."""
+"""Deterministic samples: hash order, quotas, round robin."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.functions.durable import written
-
-
-def hash_sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
-    return rows.withColumn("rank_hash", tx.hash_rank(seed, F.col(key))).orderBy("rank_hash").limit(n)
 
 
 def quota_sample(rows: DataFrame, group: str, key: str, seed: str, quota: int) -> DataFrame:
@@ -75,33 +70,3 @@ def quotas(counts: DataFrame, group: str, n: int) -> DataFrame:
     left = F.lit(n) - F.sum("seats").over(Window.partitionBy())
     order = F.row_number().over(Window.orderBy(F.desc("rest"), group))
     return floored.withColumn("left", left).withColumn("turn", order).select(group, "size", (F.col("seats") + F.when(F.col("turn") <= F.col("left"), 1).otherwise(0)).cast("bigint").alias("quota"))
-
-
-def greedy_freeze(candidates: DataFrame, n: int, seed: str, alike: float = 0.9) -> DataFrame:
-    """id, position of ``n`` candidates picked one by one: new flags first, then a new time bin, then distance from what is
-    chosen, then hash. Candidates whose tokens are as similar as ``alike`` to a chosen one's are left out.
-
-    Each pick is one aggregate over all candidates; only the chosen rows' ids, bins and flags come to the driver, at most ``n``.
-    ``candidates`` has id, text, bin and flags (array of strings).
-    """
-    origin = state = written(candidates.select("id", "bin", "flags", tx.token_set(F.col("text")).alias("tokens"), tx.hash_rank(seed, F.col("id")).alias("hash"), F.lit(1.0).alias("far")))
-    chosen: list = []
-    flags: set[str] = set()
-    bins: list = []
-    for position in range(n):
-        known = F.array(*map(F.lit, sorted(flags))).cast("array<string>")
-        old = F.col("bin").isin(bins) if bins else F.lit(False)
-        first = F.struct((-F.size(F.array_except("flags", known))).alias("new"), F.coalesce(old, F.lit(False)).alias("old"), (-F.col("far")).alias("near"), "hash", "id")
-        best = state.where(F.col("far") > 1 - alike).agg(F.min(first).alias("best")).first()["best"]
-        if best is None:
-            break
-        own = origin.where(F.col("id") == best["id"]).limit(1)
-        row = own.select("bin", "flags").first()
-        chosen.append((best["id"], position + 1))
-        flags |= set(row["flags"])
-        bins.append(row["bin"])
-        state = state.withColumn("far", F.least("far", 1 - tx.jaccard(F.col("tokens"), own.select("tokens").scalar())))
-        if position % 5 == 4:
-            state = written(state)
-    kind = candidates.schema["id"].dataType.simpleString()
-    return candidates.sparkSession.createDataFrame(chosen, f"id {kind}, position bigint")

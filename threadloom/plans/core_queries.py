@@ -240,14 +240,6 @@ def topic_quotas(spark: SparkSession, d: str) -> DataFrame:
     return sampling.quotas(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("size")), "lang", 50)
 
 
-@query("freeze_rows", None)
-def freeze_rows(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    flags = sampling.challenge_flags(F.col("text"), F.lit(False))
-    names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in flags.items())))
-    return sampling.greedy_freeze(docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 4).alias("bin"), names.alias("flags")), 30, "fz")
-
-
 GOLD = """g AS (SELECT l.doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'poor' END AS gold, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'stupid') THEN 'toxic' WHEN regexp_matches(text, '[#%&|]|!!') THEN 'poor' ELSE 'good' END AS pred,
  1 + length(text) % 5 AS ra, 1 + (length(text) + quality) % 5 AS rb, quality FROM labels l JOIN documents USING (doc_id))"""
 CELLS = GOLD + """, n AS (SELECT unnest(['good', 'poor', 'toxic']) AS l), cells AS (SELECT x.l AS gold, y.l AS pred, (SELECT count(*) FROM g WHERE g.gold = x.l AND g.pred = y.l) AS n FROM n x, n y),
@@ -310,12 +302,19 @@ def order_bias(spark: SparkSession, d: str) -> DataFrame:
     return metrics.order_bias(table(spark, d, "documents").select(said(F.col("doc_id")).alias("first"), said(F.length("text")).alias("second")))
 
 
-BOOT = """v AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, sum((lang = 'en')::INT)::BIGINT AS num, count(*) AS den FROM documents GROUP BY source),
- d AS (SELECT r, floor(('0x' || substr(md5('b:' || r || ':' || s), 1, 12))::UBIGINT::DOUBLE / pow(2, 48) * (SELECT count(*) FROM v))::BIGINT AS pos FROM range(500) t(r), range((SELECT count(*) FROM v)) u(s)),
- x AS (SELECT r, round(sum(num) / sum(den), 10) AS x FROM d JOIN v USING (pos) GROUP BY 1)"""
+#: How often a replicate draws a row, from the hash of seed, key and block of eight replicates.
+def times_sql(seed: str, key: str, rep: str) -> str:
+    hexed = f"substr(sha256('{seed}:' || {key} || ':' || ({rep} // 8)), 1 + 8 * ({rep} % 8), 8)"
+    return "(" + " + ".join(f"(('0x' || {hexed})::UBIGINT >= {bound})::INT" for bound in metrics.POISSON) + ")"
+
+
+BOOT = f"""v AS (SELECT source, sum((lang = 'en')::INT) AS num, count(*) AS den FROM documents GROUP BY source), d AS (SELECT r, num, den, {times_sql('b', 'source', 'r')} AS times FROM v, range(500) t(r)),
+ x AS (SELECT r, round(coalesce(sum(times * num) / nullif(sum(times * den), 0), 0), 10) AS x FROM d WHERE times > 0 GROUP BY 1)"""
 
 
-@query("bootstrap_ratio", f"WITH {BOOT} SELECT (SELECT round(sum(num) / sum(den), 8) FROM v) AS estimate, round(quantile_cont(x, 0.025), 8) AS low, round(quantile_cont(x, 0.975), 8) AS high FROM x")
+@query("bootstrap_ratio", f"WITH {BOOT} SELECT 'share' AS statistic, (SELECT round(sum(num) / sum(den), 8) FROM v) AS estimate, round(quantile_cont(x, 0.025), 8) AS low, round(quantile_cont(x, 0.975), 8) AS high FROM x")
 def bootstrap_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Sources are what is drawn: all documents of one come together."""
     per = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("num"), F.count("*").alias("den"))
-    return metrics.bootstrap(per.withColumn("pos", F.row_number().over(Window.orderBy("source")).cast("bigint") - 1), "b", 500)
+    sums = {"num": F.col("num"), "den": F.col("den")}
+    return metrics.bootstrap_of(per, F.col("source"), "b", 500, sums, {"share": tx.ratio(F.col("num"), F.col("den"))})

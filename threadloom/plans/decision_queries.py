@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions.durable import written
-from threadloom.operators import compare, contracts, gates, models, retrieval, taxonomy
+from threadloom.operators import compare, contracts, gates, judging, models, retrieval, taxonomy
 from threadloom.plans.core_queries import GENERIC, INTENTS, TAXONOMY
+from threadloom.plans.evaluation_queries import _PAIR, digest_sql
+from threadloom.plans.evaluation_queries import _judged as _pairs
 from threadloom.plans.registry import query
 from threadloom.plans.views import LEAK, MSGS, NORM, SPLIT_OF, messages, split_docs
 from threadloom.sources.tables import table
@@ -66,13 +68,28 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d).select("query", "doc", "score", "rank")
 
 
-_EVID = f"""{POOL}, eb AS (SELECT query, count(*) AS n, count(*) FILTER (intent = 'billing') AS same, max(score) FILTER (rank = 1) AS score, max(similarity) FILTER (rank = 1) AS sim1 FROM hyb GROUP BY 1), em AS (SELECT query, max(n) AS modal FROM (SELECT query, reply, count(*) AS n FROM hyb GROUP BY 1, 2) GROUP BY 1),
- ev AS (SELECT query, round(same / n, 6) AS intent_agreement, round(modal / n, 6) AS template_concentration, array_to_string(list_filter([CASE WHEN score < 0.4 OR sim1 < 0.15 THEN 'INSUFFICIENT_EVIDENCE' END, CASE WHEN same / n < 0.6 THEN 'INTENT_RETRIEVAL_MISMATCH' END, CASE WHEN modal / n > 0.6 THEN 'TEMPLATE_CONCENTRATION' END], lambda x: x IS NOT NULL), '|') AS reasons FROM eb JOIN em USING (query))"""
+#: Beside the items, ids of labelled documents that nothing was retrieved for; confidence and margin follow from the id.
+_ASKED = "aq AS (SELECT query, (query % 10) / 10.0 AS confidence, (query % 20) / 20.0 AS margin FROM (SELECT item_id AS query FROM benchmark UNION SELECT doc_id FROM labels))"
+_EVID = f"""{POOL}, {_ASKED}, eb AS (SELECT query, count(*) AS n, count(*) FILTER (intent = 'billing') AS same, max(score) FILTER (rank = 1) AS score, max(similarity) FILTER (rank = 1) AS sim1 FROM hyb GROUP BY 1), em AS (SELECT query, max(n) AS modal FROM (SELECT query, reply, count(*) AS n FROM hyb GROUP BY 1, 2) GROUP BY 1),
+ ev AS (SELECT aq.query, round(coalesce(same / n, 0), 6) AS intent_agreement, round(coalesce(modal / n, 1), 6) AS template_concentration, CASE WHEN n IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE array_to_string(list_filter([CASE WHEN confidence < 0.2 THEN 'LOW_INTENT_CONFIDENCE' END, CASE WHEN margin < 0.1 THEN 'AMBIGUOUS_INTENT' END, CASE WHEN score < 0.4 OR sim1 < 0.15 THEN 'INSUFFICIENT_EVIDENCE' END, CASE WHEN same / n < 0.6 THEN 'INTENT_RETRIEVAL_MISMATCH' END, CASE WHEN modal / n > 0.6 THEN 'TEMPLATE_CONCENTRATION' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM aq LEFT JOIN eb ON eb.query = aq.query LEFT JOIN em ON em.query = aq.query)"""
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     cases = _hybrid(spark, d).select("query", "rank", "score", "similarity", (F.col("intent") == "billing").alias("same_intent"), (F.col("doc") % 6).alias("reply"))
-    return gates.evidence(cases, {"score": 0.4, "similarity": 0.15, "agreement": 0.6, "concentration": 0.6})
+    return gates.evidence(cases, {"score": 0.4, "similarity": 0.15, "agreement": 0.6, "concentration": 0.6, "confidence": 0.2, "margin": 0.1}, _asked(spark, d))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Items, and labelled documents as queries that nothing was retrieved for."""
+    ids = table(spark, d, "benchmark").select(F.col("item_id").alias("query")).union(table(spark, d, "labels").select("doc_id")).distinct()
+    return ids.select("query", ((F.col("query") % 10) / 10.0).alias("confidence"), ((F.col("query") % 20) / 20.0).alias("margin"))
+
+
+@query("calibrated_gates", f"WITH {POOL}, c AS (SELECT query, (query % 10) / 10.0 AS confidence, (query % 20) / 20.0 AS margin, score, similarity FROM hyb WHERE rank = 1) SELECT round(greatest(least(quantile_cont(confidence, 0.25), 0.9::DOUBLE), 0.1::DOUBLE), 6) AS confidence, round(greatest(least(quantile_cont(margin, 0.25), 0.9::DOUBLE), 0.05::DOUBLE), 6) AS margin, round(greatest(least(quantile_cont(score, 0.75), 0.8::DOUBLE), 0.2::DOUBLE), 6) AS score, round(greatest(least(quantile_cont(similarity, 0.75), 0.8::DOUBLE), 0.1::DOUBLE), 6) AS similarity FROM c")
+def calibrated_gates(spark: SparkSession, d: str) -> DataFrame:
+    cases = _hybrid(spark, d)
+    asked = _asked(spark, d).join(cases.select("query").distinct(), "query", "left_semi")
+    return gates.calibrated(asked, cases, {"confidence": (0.25, 0.1, 0.9), "margin": (0.25, 0.05, 0.9), "score": (0.75, 0.2, 0.8), "similarity": (0.75, 0.1, 0.8)})
 
 
 @query("evidence_gate", f"WITH {_EVID} SELECT * FROM ev")
@@ -95,13 +112,29 @@ def risk_tags(spark: SparkSession, d: str) -> DataFrame:
 _R = "CASE x WHEN 'SECURITY' THEN 'SECURITY_RISK' WHEN 'PAYMENT' THEN 'PAYMENT_ACTION_REQUIRED' WHEN 'PII' THEN 'PRIVATE_ACCOUNT_REQUIRED' WHEN 'POLICY_SENSITIVE' THEN 'UNSUPPORTED_POLICY_RISK' WHEN 'MULTI_INTENT' THEN 'AMBIGUOUS_INTENT' ELSE x END"
 
 
-@query("decision", f"""WITH {_EVID}, {RISK}, q AS (SELECT query, reasons, list_transform(tags, lambda x: {_R}) AS rs FROM ev JOIN rt ON rt.doc_id = query)
- SELECT query, CASE WHEN len(rs) = 0 AND reasons = '' THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS action, (len(rs) + CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, '|')) END)::BIGINT AS n_reasons FROM q""")
+#: The reply is the best case's first 60 characters, with a claim for every fifth query; evidence is that case.
+_DECIDED = f"""{_EVID}, {RISK}, best AS (SELECT query, doc, substr(trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' '), 1, 60) || CASE WHEN query % 5 = 0 THEN ' we have refunded' ELSE '' END AS reply, text AS past FROM hyb JOIN documents d ON d.doc_id = doc WHERE rank = 1),
+ bv AS (SELECT query, regexp_extract_all(lower(reply), '[a-z][a-z'']+') AS own, regexp_extract_all(lower(past), '[a-z][a-z'']+') AS seen, reply FROM best),
+ vf AS (SELECT query, list_filter([CASE WHEN contains(lower(reply), 'we have refunded') THEN 'UNSUPPORTED_ACTION_CLAIM' END, CASE WHEN trim(reply, ' ') = '' THEN 'MISSING_EVIDENCE' END, CASE WHEN coalesce(len(list_distinct(list_intersect(own, seen))) / nullif(len(list_distinct(own)), 0), 0) < 0.8 THEN 'GROUNDING_FAILURE' END], lambda x: x IS NOT NULL) AS codes FROM bv)"""
+
+
+@query("decision", f"""WITH {_DECIDED}, q AS (SELECT ev.query, list_distinct(list_concat(list_concat(list_transform(tags, lambda x: {_R}), list_filter(string_split(reasons, '|'), lambda x: x <> '')), coalesce(codes, ['MISSING_EVIDENCE', 'GROUNDING_FAILURE']))) AS why FROM ev JOIN rt ON rt.doc_id = ev.query LEFT JOIN vf ON vf.query = ev.query)
+ SELECT query, CASE WHEN len(why) = 0 THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS action, array_to_string(list_sort(why), '|') AS reasons FROM q""")
 def decision(spark: SparkSession, d: str) -> DataFrame:
+    """Every asked query, retrieved cases or none: risk, evidence and the verifier's codes."""
+    docs = table(spark, d, "documents")
     tags = gates.risk_tags(F.col("text"), MARKERS, (F.col("doc_id") % 20) / 20.0)
-    risk = table(spark, d, "documents").select(F.col("doc_id").alias("query"), gates.reasons(tags).alias("risk"))
-    action, why = gates.decide(F.col("risk"), F.col("reasons"), F.array().cast("array<string>"))
-    return _evidence(spark, d).join(risk, "query").select("query", action.alias("action"), F.size(why).cast("bigint").alias("n_reasons"))
+    risk = docs.select(F.col("doc_id").alias("query"), gates.reasons(tags).alias("risk"))
+    past = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("past"))
+    best = _hybrid(spark, d).where("rank = 1").select("query", "doc").join(past, "doc")
+    claim = F.when(F.col("query") % 5 == 0, " we have refunded").otherwise("")
+    reply = F.concat(F.substr(F.trim(F.regexp_replace("past", "[^A-Za-z ]", " ")), F.lit(1), F.lit(60)), claim)
+    best = best.select("query", reply.alias("reply"), F.array(F.struct(F.col("doc").alias("id"), F.col("past").alias("reply"))).alias("cases"), F.array("doc").alias("used"))
+    nothing = F.array().cast(best.schema["cases"].dataType), F.array().cast("array<bigint>")
+    rows = _evidence(spark, d).join(risk, "query").join(best, "query", "left").select("query", "risk", "reasons", F.coalesce("reply", F.lit("")).alias("reply"), F.coalesce("cases", nothing[0]).alias("cases"), F.coalesce("used", nothing[1]).alias("used"))
+    check = gates.verify(F.col("reply"), F.col("cases"), F.col("used"), F.lit(""), {"unsupported_action": ["we have refunded"]})
+    action, why = gates.decide(F.col("risk"), F.col("reasons"), check["codes"])
+    return rows.select("query", action.alias("action"), F.array_join(F.sort_array(why), "|").alias("reasons"))
 
 
 @query("grounded_reply", None)
@@ -140,29 +173,26 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     return metric(_top(spark, d).select("query", F.col("doc").alias("item"), "rank"), relevant, 3)
 
 
-_JUDGED = """j AS (SELECT doc_id, 3 + doc_id % 3 AS g0, 3 + length(text) % 3 AS s0, 2 + doc_id % 4 AS h0, 3 + (doc_id + 1) % 3 AS g1, 3 + (length(text) + doc_id % 2) % 3 AS s1, 2 + length(text) % 4 AS h1, doc_id % 17 = 0 AS crit, source FROM documents),
- p AS (SELECT *, g0 >= 4 AND s0 >= 4 AND h0 >= 3 AND NOT crit AS p0, g1 >= 4 AND s1 >= 4 AND h1 >= 3 AND NOT crit AS p1 FROM j)"""
+_JUDGED = """j AS (SELECT doc_id, 3 + doc_id % 3 AS g0, 3 + length(text) % 3 AS s0, 2 + doc_id % 4 AS h0, doc_id % 17 = 0 AS crit, source FROM documents), p AS (SELECT *, g0 >= 4 AND s0 >= 4 AND h0 >= 3 AND NOT crit AS p0 FROM j)"""
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     n, size = F.col("doc_id"), F.length("text")
-    s = {"g0": 3 + n % 3, "s0": 3 + size % 3, "h0": 2 + n % 4, "g1": 3 + (n + 1) % 3, "s1": 3 + (size + n % 2) % 3, "h1": 2 + size % 4}
+    s = {"g0": 3 + n % 3, "s0": 3 + size % 3, "h0": 2 + n % 4}
     j = table(spark, d, "documents").select("doc_id", "source", *(c.alias(k) for k, c in s.items()), (n % 17 == 0).alias("crit"))
-    names = ("groundedness", "safety", "helpfulness")
-    return j.withColumns({f"p{k}": compare.passes({m: F.col(f"{m[0]}{k}") for m in names}, F.col("crit")) for k in (0, 1)})
+    return j.withColumn("p0", judging.passes({m: F.col(f"{m[0]}0") for m in ("groundedness", "safety", "helpfulness")}, F.col("crit")))
 
 
-@query("paired_outcomes", f"""WITH {_JUDGED} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN s1 < s0 THEN 'REGRESSED' WHEN p0 AND NOT p1 THEN 'REGRESSED' WHEN NOT p0 AND p1 THEN 'IMPROVED' WHEN g1 + s1 + h1 > g0 + s0 + h0 THEN 'IMPROVED' WHEN g1 + s1 + h1 < g0 + s0 + h0 THEN 'REGRESSED' ELSE 'UNCHANGED' END AS outcome FROM p) GROUP BY 1""")
+@query("paired_outcomes", f"WITH {_PAIR} SELECT outcome, count(*) AS n FROM po GROUP BY 1")
 def paired_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    outcome = compare.paired_outcome(c("p0"), c("p1"), c("s0"), c("s1"), c("g0") + c("s0") + c("h0"), c("g1") + c("s1") + c("h1"))
-    return _judged(spark, d).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    result, _ = judging.outcome(F.col("a"), F.col("b"))
+    return judging.pairs(_pairs(spark, d)).groupBy(result.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("transitions", f"WITH {_JUDGED} SELECT (CASE WHEN p0 THEN 'PASS' ELSE 'FAIL' END) || '_TO_' || (CASE WHEN p1 THEN 'PASS' ELSE 'FAIL' END) AS transition, count(*) AS n FROM p GROUP BY 1")
+@query("transitions", f"WITH {_PAIR} SELECT (CASE WHEN pa THEN 'PASS' ELSE 'FAIL' END) || '_TO_' || (CASE WHEN pb THEN 'PASS' ELSE 'FAIL' END) AS transition, count(*) AS n FROM po GROUP BY 1")
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     word = lambda p: F.when(F.col(p), "PASS").otherwise("FAIL")
-    return _judged(spark, d).groupBy(F.concat(word("p0"), F.lit("_TO_"), word("p1")).alias("transition")).agg(F.count("*").alias("n"))
+    return judging.pairs(_pairs(spark, d)).groupBy(F.concat(word("a.overall_pass"), F.lit("_TO_"), word("b.overall_pass")).alias("transition")).agg(F.count("*").alias("n"))
 
 
 @query("system_summary", f"WITH {_JUDGED} SELECT source, count(*) AS n, round(avg(h0), 8) AS mean, median(h0)::DOUBLE AS median, round((count(*) FILTER (p0)) / count(*), 8) AS pass_rate FROM p GROUP BY 1")
@@ -202,6 +232,11 @@ def id_digest(spark: SparkSession, d: str) -> DataFrame:
     return contracts.id_digest(table(spark, d, "documents"), "doc_id", "source")
 
 
+@query("id_digest_tree", digest_sql("documents"))
+def id_digest_tree(spark: SparkSession, d: str) -> DataFrame:
+    return contracts.digest_tree(table(spark, d, "documents"), "doc_id", "source")
+
+
 @query("store_merge", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def store_merge(spark: SparkSession, d: str) -> DataFrame:
     stored = table(spark, d, "labels").select("doc_id", "quality")
@@ -230,25 +265,16 @@ _BENCHMARK_SQL = f"""WITH dd AS (SELECT doc_id, list_distinct({_TOK.format(LEAK.
  SELECT item_id, doc_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rn FROM (SELECT item_id, doc_id, round(same / (len(dd.t) + len(b.t) - same), 8) AS similarity FROM s JOIN dd USING (doc_id) JOIN b USING (item_id))) WHERE rn <= 3"""
 
 
-def _benchmark_similarity(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+@query("benchmark_similarity", _BENCHMARK_SQL)
+def benchmark_similarity(spark: SparkSession, d: str) -> DataFrame:
     bag = lambda c: tx.token_set(tx.normalize_for_leakage(F.col(c)))
-    x = docs.select("doc_id", bag("text").alias("t"))
+    x = table(spark, d, "documents").select("doc_id", bag("text").alias("t"))
     y = table(spark, d, "benchmark").select("item_id", bag("text").alias("u"))
     same = x.select("doc_id", F.size("t").alias("nt"), F.explode("t").alias("w")).join(y.select("item_id", F.size("u").alias("nu"), F.explode("u").alias("w")), "w")
     scored = same.groupBy("doc_id", "item_id", "nt", "nu").agg(F.count("*").alias("same")).select("item_id", "doc_id", F.round(F.col("same") / (F.col("nt") + F.col("nu") - F.col("same")), 8).alias("similarity"))
     return retrieval.top_k(scored, 3, group="item_id", tie="doc_id").select("item_id", "doc_id", "similarity")
 
 
-@query("benchmark_similarity", _BENCHMARK_SQL)
-def benchmark_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark_similarity(spark, d, table(spark, d, "documents"))
-
-
-@query("benchmark_similarity_whole", _BENCHMARK_SQL)
-def benchmark_similarity_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark_similarity(spark, d, table(spark, d, "documents"))
-
-
 @query("logreg_rows", None)
 def logreg_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = split_docs(spark, d).select("doc_id", "text", "lang", "split")

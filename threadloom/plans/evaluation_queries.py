@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.operators import cohorts, contracts, judging, metrics, sampling
-from threadloom.plans.core_queries import GOLD, LABELS, _graded
+from threadloom.plans.core_queries import GOLD, LABELS, _graded, times_sql
 from threadloom.plans.registry import query
 from threadloom.plans.views import SPLIT_OF, split_docs
 from threadloom.sources.tables import table
 
+#: ``contracts.digest_tree`` of the doc_ids of each source in a table.
+def digest_sql(rows: str) -> str:
+    level = lambda below, node: f"SELECT source, {node} AS node, sum(ids) AS ids, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest FROM ({below}) GROUP BY source, {node}"
+    leaves = f"SELECT source, ('0x' || substr(sha256(id), 1, 4))::INT AS node, count(*) AS ids, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM (SELECT DISTINCT source, doc_id::VARCHAR AS id FROM {rows}) GROUP BY 1, 2"
+    return f"SELECT source, ids::BIGINT AS ids, digest FROM ({level(level(leaves, 'node // 256'), 'node // 256')})"
+
+
 _G = GOLD + ", h AS (SELECT g.*, d.source, d.lang FROM g JOIN documents d USING (doc_id))"
 
 
@@ -25,8 +32,8 @@ def correct_and_safe(spark: SparkSession, d: str) -> DataFrame:
     return metrics.correct_and_safe(_cases(spark, d), c("gold") == c("pred"), c("gold") != "toxic", c("pred") != "toxic", c("quality") == 1)
 
 
-@query("slice_metrics", f"""WITH {_G} SELECT source, count(*) AS n, round(avg((gold = pred)::INT), 8) AS intent_accuracy, round(avg(((gold = 'toxic') = (pred = 'toxic'))::INT), 8) AS action_accuracy, round(avg((pred <> 'toxic')::INT), 8) AS coverage,
- sha256(string_agg(DISTINCT doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS ids_digest FROM h GROUP BY 1""")
+@query("slice_metrics", f"""WITH {_G} SELECT source, count(*) AS n, round(avg((gold = pred)::INT), 8) AS intent_accuracy, round(avg(((gold = 'toxic') = (pred = 'toxic'))::INT), 8) AS action_accuracy, round(avg((pred <> 'toxic')::INT), 8) AS coverage, any_value(d2.digest) AS ids_digest
+ FROM h JOIN ({digest_sql('h')}) d2 USING (source) GROUP BY 1""")
 def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return metrics.slices(_cases(spark, d), "source", "doc_id", c("gold") == c("pred"), (c("gold") == "toxic") == (c("pred") == "toxic"), c("pred") != "toxic")
@@ -76,17 +83,17 @@ def human_judge_agreement(spark: SparkSession, d: str) -> DataFrame:
     return metrics.rater_agreement(human, judge, ["doc_id"], ["helpfulness", "safety"]).drop("spearman")
 
 
-_BOOT = GOLD + """, v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, gold, pred FROM g), dr AS (SELECT r, floor(('0x' || substr(md5('m:' || r || ':' || s), 1, 12))::UBIGINT::DOUBLE / pow(2, 48) * (SELECT count(*) FROM v))::BIGINT AS pos FROM range(100) t(r), range((SELECT count(*) FROM v)) u(s)),
- y AS (SELECT r, gold, pred FROM dr JOIN v USING (pos) UNION ALL SELECT -1, gold, pred FROM v)"""
-_F1 = lambda x: f"coalesce(2 * (count(*) FILTER (gold = '{x}' AND pred = '{x}')) / nullif((count(*) FILTER (gold = '{x}')) + (count(*) FILTER (pred = '{x}')), 0), 0)"
-_BOOT += f", s AS (SELECT r, round((count(*) FILTER (gold = pred)) / count(*), 10) AS accuracy, round(({' + '.join(map(_F1, LABELS))}) / {len(LABELS)}, 10) AS macro_f1, round({_F1('toxic')}, 10) AS toxic_f1 FROM y GROUP BY 1), l AS (UNPIVOT s ON accuracy, macro_f1, toxic_f1 INTO NAME statistic VALUE x)"
+_TOTALS = {"n": "1", "hits": "(gold = pred)::INT"} | {f"{x}_{n}": f"({t})::INT" for x in LABELS for n, t in (("hit", f"gold = '{x}' AND pred = '{x}'"), ("support", f"gold = '{x}'"), ("said", f"pred = '{x}'"))}
+_F1 = lambda x: f"coalesce(2 * {x}_hit / nullif({x}_support + {x}_said, 0), 0)"
+_BOOT = f"""{GOLD}, w AS (SELECT r, {times_sql('m', 'doc_id', 'r')} AS times, gold, pred FROM g, range(100) t(r)), y AS (SELECT r, times, gold, pred FROM w WHERE times > 0 UNION ALL SELECT -1, 1, gold, pred FROM g),
+ z AS (SELECT r, {', '.join(f'sum(times * {e}) AS {n}' for n, e in _TOTALS.items())} FROM y GROUP BY 1), s AS (SELECT r, round(hits / n, 10) AS accuracy, round(({' + '.join(map(_F1, LABELS))}) / {len(LABELS)}, 10) AS macro_f1, round({_F1('toxic')}, 10) AS toxic_f1 FROM z), l AS (UNPIVOT s ON accuracy, macro_f1, toxic_f1 INTO NAME statistic VALUE x)"""
+_ENDS = "SELECT statistic, round(max(x) FILTER (r = -1), 8) AS estimate, round(quantile_cont(x, 0.025) FILTER (r >= 0), 8) AS low, round(quantile_cont(x, 0.975) FILTER (r >= 0), 8) AS high FROM l GROUP BY 1"
 
 
-@query("bootstrap_metrics", f"WITH {_BOOT} SELECT statistic, round(max(x) FILTER (r = -1), 8) AS estimate, round(quantile_cont(x, 0.025) FILTER (r >= 0), 8) AS low, round(quantile_cont(x, 0.975) FILTER (r >= 0), 8) AS high FROM l GROUP BY 1")
+@query("bootstrap_metrics", f"WITH {_BOOT} {_ENDS}")
 def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _graded(spark, d).select("doc_id", "gold", "pred").withColumn("pos", F.row_number().over(Window.orderBy("doc_id")).cast("bigint") - 1)  # labels are few: what is resampled is an evaluation set
     statistics = metrics.label_statistics(LABELS)
-    return metrics.bootstrap_of(rows.drop("doc_id"), "m", 100, {n: statistics[n] for n in ("accuracy", "macro_f1", "toxic_f1")})
+    return metrics.bootstrap_of(_graded(spark, d), F.col("doc_id"), "m", 100, metrics.label_sums(LABELS), {n: statistics[n] for n in ("accuracy", "macro_f1", "toxic_f1")})
 
 
 #: Judged systems: scores from the document's length and number; every eleventh is critical and has a code.
@@ -140,6 +147,16 @@ def comparison(spark: SparkSession, d: str) -> DataFrame:
     return judging.comparison(judging.pairs(_judged(spark, d)))
 
 
+_DIFFER = {**{n: n for n in judging.SCORES}, "passing": "pb::INT - pa::INT", "critical": "cb::INT - ca::INT", "improved": "(outcome = 'IMPROVED')::INT", "regressed": "(outcome = 'REGRESSED')::INT"}
+
+
+@query("comparison_intervals", f"""WITH {_PAIR}, w AS (SELECT r, {times_sql('ci', 'case_id', 'r')} AS times, po.* FROM po, range(200) t(r)), y AS (SELECT * FROM w WHERE times > 0 UNION ALL SELECT -1, 1, po.* FROM po),
+ s AS (SELECT r, {', '.join(f'round(sum(times * ({e})) / sum(times), 10) AS {n}' for n, e in _DIFFER.items())} FROM y GROUP BY 1), l AS (UNPIVOT s ON {', '.join(_DIFFER)} INTO NAME statistic VALUE x) {_ENDS}""")
+def comparison_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of every difference between the systems, over the cases that both have."""
+    return judging.intervals(judging.pairs(_judged(spark, d)), "case_id", "ci", 200)
+
+
 @query("missingness", f"""WITH x AS (SELECT doc_id % 13 <> 0 AS done, lang, source, CASE WHEN n_chars / 5000 < 0.5 THEN 'LOW' WHEN n_chars / 5000 < 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS bucket FROM documents), l AS (UNPIVOT x ON lang, source, bucket INTO NAME field VALUE value),
  n AS (SELECT field, value, count(*) FILTER (done) AS a, count(*) FILTER (NOT done) AS b FROM l GROUP BY 1, 2), r AS (SELECT field, value, round(coalesce(a / nullif(sum(a) OVER (PARTITION BY field), 0), 0), 6) AS complete_rate, round(coalesce(b / nullif(sum(b) OVER (PARTITION BY field), 0), 0), 6) AS missing_rate FROM n)
  SELECT *, round(abs(complete_rate - missing_rate) * 100, 4) AS points, CASE WHEN round(abs(complete_rate - missing_rate) * 100, 4) < 15 THEN 'LOW' WHEN round(abs(complete_rate - missing_rate) * 100, 4) <= 30 THEN 'MODERATE' ELSE 'HIGH' END AS level FROM r""")

@@ -87,14 +87,15 @@ def union_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d)[2].select("query", "doc", "similarity", "rank")
 
 
-@query("lexical_baseline", f"""WITH {_UNION}, n AS (SELECT * FROM ur WHERE rank = 1) SELECT a.key AS query, docs.intent, similarity AS confidence, CASE WHEN similarity >= 0.5 AND NOT {_HAS(NORM.format('a.customer_text'), RISKY)} THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS action,
- CASE WHEN similarity >= 0.5 AND NOT {_HAS(NORM.format('a.customer_text'), RISKY)} THEN sha256(docs.reply) ELSE sha256('A person will help you.') END AS reply_hash FROM asks a JOIN n ON n.query = a.key JOIN docs ON docs.key = n.doc""")
+@query("lexical_baseline", f"""WITH {_UNION}, n AS (SELECT * FROM ur WHERE rank = 1), x AS (SELECT a.key AS query, docs.intent, coalesce(similarity, 0) AS confidence, coalesce(similarity, 0) >= 0.5 AND NOT {_HAS(NORM.format('a.customer_text'), RISKY)} AS auto, docs.reply FROM asks a LEFT JOIN n ON n.query = a.key LEFT JOIN docs ON docs.key = n.doc)
+ SELECT query, coalesce(intent, 'other') AS intent, confidence, CASE WHEN auto THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS action, sha256(CASE WHEN auto THEN reply ELSE 'A person will help you.' END) AS reply_hash FROM x""")
 def lexical_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Every thread is answered: one without any case has no confidence and escalates."""
     docs, asks, top = _lexical(spark, d)
-    nearest = top.where("rank = 1").join(docs.select(F.col("key").alias("doc"), "intent", "reply"), "doc")
-    auto = (F.col("similarity") >= 0.5) & ~gates.has_risk(F.col("customer_text"), RISKY)
-    rows = nearest.join(asks.select(F.col("key").alias("query"), "customer_text"), "query")
-    return rows.select("query", "intent", F.col("similarity").alias("confidence"), F.when(auto, "AUTO_HANDLE").otherwise("ESCALATE").alias("action"), F.sha2(F.when(auto, F.col("reply")).otherwise("A person will help you."), 256).alias("reply_hash"))
+    nearest = top.where("rank = 1").join(docs.select(F.col("key").alias("doc"), "intent", "reply"), "doc").select("query", "intent", "reply", "similarity")
+    rows = asks.select(F.col("key").alias("query"), "customer_text").join(nearest, "query", "left").withColumn("confidence", F.coalesce("similarity", F.lit(0.0)))
+    auto = (F.col("confidence") >= 0.5) & ~gates.has_risk(F.col("customer_text"), RISKY)
+    return rows.select("query", F.coalesce("intent", F.lit("other")).alias("intent"), "confidence", F.when(auto, "AUTO_HANDLE").otherwise("ESCALATE").alias("action"), F.sha2(F.when(auto, F.col("reply")).otherwise("A person will help you."), 256).alias("reply_hash"))
 
 
 @query("fixed_baseline", f"WITH {CORPUS} SELECT key AS query, 'other' AS intent, 'ESCALATE' AS action, 'A person will help you.' AS reply FROM asks")
@@ -149,10 +150,10 @@ _LEAKS = f"""{MSGS}, lt AS (SELECT conv_id AS id, CASE conv_id % 3 WHEN 0 THEN '
 
 @query("leakage_documents", f"WITH {_LEAKS} SELECT id, split, kind, len(tokens)::BIGINT AS tokens, len(grams)::BIGINT AS grams FROM ld WHERE len(tokens) >= 4")
 def leakage_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select("id", "split", "kind", F.size("tokens").cast("bigint").alias("tokens"), F.size("grams").cast("bigint").alias("grams"))
+    return leaks(spark, d).select("id", "split", "kind", F.size("tokens").cast("bigint").alias("tokens"), F.size("grams").cast("bigint").alias("grams"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def leaks(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).where(F.col("inbound").isNotNull())
     split = F.when(F.col("conv_id") % 3 == 0, "TRAIN").when(F.col("conv_id") % 3 == 1, "DEVELOPMENT").otherwise("GOLD")
     return splits.leakage_documents(m, "conv_id", split, F.when(F.col("inbound"), "CUSTOMER").otherwise("BRAND"), "turn", "text", 4)

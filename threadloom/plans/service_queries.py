@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,8 @@ def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
 @query("csv_export", f"WITH {PARSED} {_SHOWN}")
 def csv_export(spark: SparkSession, d: str) -> DataFrame:
     """The export written as CSV, with line breaks and quotes in texts, and read again."""
-    path = f"{shared_dir(spark)}/export-{abs(hash(d))}"
-    raw_export(spark, d).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"  # read lazily, so never written again
+    raw_export(spark, d).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return _shown(exports.parse(exports.read_csv(spark, path)))
 
 
@@ -188,12 +190,18 @@ def answer_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("message_id", tx.question_only(F.col("reply")).alias("question_only"), tx.coverage_failure(F.col("reply"), F.col("said")).alias("failure"), F.size(tx.content_tokens(F.col("said"))).cast("bigint").alias("content_tokens"))
 
 
-@query("customer_texts", """WITH x AS (SELECT conv_id * 1000 + turn AS message_id, text AS message, CASE WHEN turn % 3 = 0 THEN 'BRAND: hello' ELSE 'CUSTOMER: ' || text || ' || BRAND: ok || CUSTOMER: again || CUSTOMER: again' END AS context FROM conversations WHERE NOT contains(text, ' || '))
- SELECT message_id, sha256(CASE WHEN contains(context, 'CUSTOMER') THEN message || ' again again' ELSE message END) AS only_hash, CASE WHEN contains(context, 'CUSTOMER') AND message <> 'again' THEN 'again' ELSE '' END AS beyond FROM x""")
+#: Some texts hold the bars that divide a context, and some a backslash.
+_SAID = "text || CASE turn % 5 WHEN 1 THEN ' || BRAND: no' WHEN 2 THEN ' | \\| x' ELSE '' END"
+
+
+@query("customer_texts", f"""WITH x AS (SELECT conv_id * 1000 + turn AS message_id, turn % 3 = 0 AS other, {_SAID} AS message FROM conversations)
+ SELECT message_id, sha256(CASE WHEN other THEN message ELSE message || ' again again' END) AS only_hash, CASE WHEN NOT other AND message <> 'again' THEN 'again' ELSE '' END AS beyond FROM x""")
 def customer_texts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").where(~F.contains("text", F.lit(" || ")))
-    context = F.when(F.col("turn") % 3 == 0, "BRAND: hello").otherwise(F.concat(F.lit("CUSTOMER: "), "text", F.lit(" || BRAND: ok || CUSTOMER: again || CUSTOMER: again")))
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.col("text").alias("message"), context.alias("context"))
+    """Parts of a context are escaped where it is made, so that none is taken apart by what somebody wrote."""
+    message = F.concat("text", F.when(F.col("turn") % 5 == 1, " || BRAND: no").when(F.col("turn") % 5 == 2, " | \\| x").otherwise(""))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "turn", message.alias("message"))
+    parts = F.array(F.concat(F.lit("CUSTOMER: "), "message"), *map(F.lit, ("BRAND: ok", "CUSTOMER: again", "CUSTOMER: again")))
+    rows = rows.withColumn("context", F.when(F.col("turn") % 3 == 0, "BRAND: hello").otherwise(tx.joined_context(parts)))
     return rows.select("message_id", F.sha2(tx.customer_only(F.col("context"), F.col("message")), 256).alias("only_hash"), F.array_join(tx.customer_context(F.col("context"), F.col("message")), "|").alias("beyond"))
 
 
