@@ -6,7 +6,6 @@ import random
 
 from pyspark.sql import functions as F
 
-import __spark_entry__
 import corpus_pipeline
 from threadloom.llm import langid, quality_rules
 
@@ -15,39 +14,6 @@ def say(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
 
 
-def documents(spark, path, texts: list[str]) -> str:
-    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
-    return str(path)
-
-
-def run(spark, name: str, path: str) -> list:
-    return __spark_entry__.queries()[name](spark, path).collect()
-
-
-def jaccard(a: set, b: set) -> float:
-    return round(len(a & b) / len(a | b), 8)
-
-
-def test_long_documents_are_compared(spark, tmp_path):
-    rng = random.Random(7)
-    texts = [say(rng, n) for n in (20, 700, 30, 900, 25, 600)]
-    texts += [texts[1].replace(texts[1].split()[40], "other"), texts[3], texts[0]]
-    item = " ".join(texts[5].split()[:500])
-    d = documents(spark, tmp_path, texts)
-    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
-    grams = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
-    split = ["TRAIN", "DEVELOPMENT", "GOLD"]
-    expected = {(a, b, s) for a in range(9) for b in range(a + 1, 9) if a % 3 != b % 3 and (s := jaccard(grams[a], grams[b])) >= 0.92}
-    assert {(1, 6), (3, 7), (0, 8)} == {(a, b) for a, b, _ in expected}
-    assert {tuple(r) for r in run(spark, "near_duplicate_pairs_whole", d)} == expected
-    assert {tuple(r) for r in run(spark, "decontaminate_near_whole", d)} == {(k, split[k % 3], k in (1, 7, 8)) for k in range(9)}
-    bags = [set(t.split()) for t in texts]
-    scored = sorted((-jaccard(bag, set(item.split())), k) for k, bag in enumerate(bags) if bag & set(item.split()))[:3]
-    assert [(r.doc_id, r.similarity) for r in sorted(run(spark, "benchmark_similarity_whole", d), key=lambda r: (-r.similarity, r.doc_id))] == [(k, -s) for s, k in scored]
-    assert scored[0][1] == 5
-
-
 def test_every_good_label_is_trusted(spark):
     """Where all documents are labelled 1, both multinomials are the same, so that every ratio is 0; 5,200 is more than the former limit."""
     docs = spark.range(5200).selectExpr("id AS doc_id", "concat('word', id, ' and ', id % 7) AS text")
