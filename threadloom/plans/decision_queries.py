@@ -275,6 +275,7 @@ def benchmark_similarity(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(scored, 3, group="item_id", tie="doc_id").select("item_id", "doc_id", "similarity")
 
 
+# A fitted model has no SQL; tests hold it against a dense fit.
 @query("logreg_rows", None)
 def logreg_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = split_docs(spark, d).select("doc_id", "text", "lang", "split")
@@ -283,4 +284,44 @@ def logreg_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kmeans_rows", None)
 def kmeans_rows(spark: SparkSession, d: str) -> DataFrame:
-    return models.clusters(table(spark, d, "documents").select("doc_id", "text"), 6).select("doc_id", "cluster")
+    return models.clusters(table(spark, d, "documents").select("doc_id", "text"), 6)[0].select(F.col("key").alias("doc_id"), "cluster", F.round("distance", 6).alias("distance"))
+
+
+_EXPLORED = r"strip_accents(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(lower(text))), 'https?://\S+|www\.\S+', ' ', 'g'), '@[a-z0-9_]+', ' ', 'g'), '\b[0-9]+\b', ' ', 'g'), '\s+', ' ', 'g'), ' '))"
+VOCABULARY = f"""ex AS (SELECT doc_id, regexp_extract_all({_EXPLORED}, '[a-z0-9]{{2,}}') AS w FROM documents), tm AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ex),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2), vc AS (SELECT term, sum(tf) AS tf, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.5::DOUBLE * (SELECT count(*) FROM documents)),
+ vo AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place, df, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM (SELECT * FROM vc ORDER BY tf DESC, term LIMIT 2000))"""
+
+
+def _chosen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs, models.select_terms(docs, "doc_id", models.Features._words("text"), 2000, 2, 0.5)
+
+
+@query("vocabulary", f"WITH {VOCABULARY} SELECT term, place, df, round(idf, 8) AS idf FROM vo")
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return _chosen(spark, d)[1].select("term", F.col("place").cast("bigint").alias("place"), "df", F.round("idf", 8).alias("idf"))
+
+
+#: Terms and members of clusters that ids give: what follows from an assignment, whatever made it.
+_CLUSTERED = f"""{VOCABULARY}, rw AS (SELECT doc_id, term, (1 + ln(tf.tf)) * idf AS raw FROM tf JOIN vo USING (term)), ve AS (SELECT doc_id, doc_id % 6 AS cluster, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM rw),
+ sz AS (SELECT doc_id % 6 AS cluster, count(*) AS size FROM documents GROUP BY 1), me AS (SELECT cluster, term, sum(w) / any_value(size) AS m FROM ve JOIN sz USING (cluster) GROUP BY 1, 2)"""
+
+
+def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, chosen = _chosen(spark, d)
+    rows = written(models.packed(docs, "doc_id", [models.entries(docs, "doc_id", models.Features._words("text"), chosen)]))
+    return rows, docs.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 6).alias("cluster")), chosen
+
+
+@query("cluster_terms", f"WITH {_CLUSTERED} SELECT * FROM (SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY round(m, 8) DESC, term) AS rank, term, round(m, 8) AS weight FROM me) WHERE rank <= 15")
+def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
+    return models.cluster_terms(*_given(spark, d))
+
+
+@query("cluster_members", f"""WITH {_CLUSTERED}, mm AS (SELECT cluster, sum(m * m) AS mm FROM me GROUP BY 1), dt AS (SELECT doc_id, sum(w * w) AS ww, sum(w * m) AS wm FROM ve JOIN me USING (cluster, term) GROUP BY 1),
+ di AS (SELECT d.doc_id, d.doc_id % 6 AS cluster, round(sqrt(greatest(coalesce(ww, 0) - 2 * coalesce(wm, 0) + mm, 0)), 6) AS distance FROM documents d LEFT JOIN dt USING (doc_id) JOIN mm ON mm.cluster = d.doc_id % 6)
+ SELECT cluster, rank, doc_id AS key, distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, doc_id) AS rank FROM di) WHERE rank <= 5""")
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    rows, members, _ = _given(spark, d)
+    return models.cluster_members(models.distances_to_means(rows, members))
