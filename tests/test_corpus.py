@@ -256,3 +256,21 @@ def test_long_documents_are_compared(spark, tmp_path):
     asked = set(item.split())
     scored = sorted((-round(jaccard(bag, asked), 8), k) for k, bag in enumerate(bags) if bag & asked)[:3]
     assert [(r.doc_id, r.similarity) for r in sorted(run("benchmark_similarity"), key=lambda r: (-r.similarity, r.doc_id))] == [(k, -s) for s, k in scored] and scored[0][1] == 5
+
+
+def test_audit_strata_take_no_thread_twice_and_name_what_is_missing(spark):
+    from threadloom.operators import audits
+
+    long = "we will do what we can to help you out"
+    rows = [(f"m{r}{k}", "b", f"r{r}", 3 if r < 2 else 2, bool(k % 2), t) for r, texts in enumerate([(long, "x", "dm us"), (long, "y", "try a restart of it now please do it"), ("dm us", "z"), ("dm us", "w"), (long, "v")]) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "message_id string, brand string, root string, thread_size int, inbound boolean, text string")
+    found = audits.audit_strata(frame, ["restart"], ["dm us"], "s", 1).collect()
+    assert [r.category for r in found] == ["multi_turn", "high_public_containment", "generic_redirect", "repeated_template"] and len({r.root for r in found}) == 4
+    with pytest.raises(ValueError, match="fewer than 3 threads of the category multi_turn"):
+        audits.audit_strata(frame, ["restart"], ["dm us"], "s", 3)
+
+
+def test_the_shared_folder_is_no_local_disk_of_a_cluster():
+    from threadloom.functions.durable import shared
+
+    assert shared("/x/warehouse", "local[8]") and shared("hdfs://n/x", "yarn") and not shared("file:/x", "yarn") and not shared("/x", "spark://h:1")

@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that driver and executors share: in ``spark.checkpoint.dir``, else in the warehouse.
 
-    Everything there may be deleted once the application has ended.
+    Everything there may be deleted once the application has ended. On a cluster a warehouse on a local disk is an error, as executors
+    would write to their own.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        top = spark.conf.get("spark.sql.warehouse.dir")
+        if not shared(top, spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors see: the warehouse {top} is on a local disk")
     return f"{top}/threadloom-{spark.sparkContext.applicationId}"
 
 
+def shared(path: str, master: str) -> bool:
+    """Whether all processes of an application see the path: any does in local mode; on a cluster it must name a file system that is not local."""
+    return master.startswith("local") or ("://" in path and not path.startswith("file:"))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.durable import written
 from threadloom.functions.text import ratio
+from threadloom.operators.contracts import cache_key
 from threadloom.operators.metrics import bootstrap_of
 
 SCORES = ("groundedness", "relevance", "helpfulness", "safety", "brand_context")
@@ -145,6 +147,28 @@ def intervals(paired: DataFrame, case: str, seed: str, samples: int) -> DataFram
     return bootstrap_of(paired, F.col(case), seed, samples, sums | {"n": F.lit(1)}, {n: ratio(F.col(n), F.col("n")) for n in sums})
 
 
+def cached_evaluation(requests: DataFrame, cache: DataFrame, answers: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Judging with a cache: results (the requests with judged, errors, cached), the new rows of the cache, and one row of counters.
+
+    A request's address is the hash of its ``columns``. What the cache has (cache_key, raw, retries) is taken from there; ``answers`` (the same columns) are
+    what a provider said to the rest. An answer that breaks a rule is a result with errors, and is not cached; a request without an answer
+    has the error NO_ANSWER. overall_pass is derived from the scores, and changes of what a judge said are counted.
+    """
+    keyed = requests.withColumn("cache_key", cache_key(requests, columns))
+    once = lambda rows: rows.groupBy("cache_key").agg(F.min(F.struct("raw", "retries")).alias("x")).select("cache_key", "x.*")
+    known, new = once(cache).withColumn("cached", F.lit(True)), once(answers.join(cache.select("cache_key"), "cache_key", "left_anti")).withColumn("cached", F.lit(False))
+    found = written(parse_judged(keyed.join(known.unionByName(new), "cache_key", "left").withColumn("cached", F.coalesce("cached", F.lit(False))), recompute=True))
+    found = found.withColumn("errors", F.when(F.col("raw").isNull(), F.array(F.lit("NO_ANSWER"))).otherwise(F.col("errors")))
+    said = F.get_json_object("raw", "$.overall_pass").cast("boolean")
+    right = F.size("errors") == 0
+    fresh = found.where(~F.col("cached") & right).select("cache_key", "raw", "retries").distinct()
+    stats = found.agg(
+        F.count("*").alias("requests"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached") & F.col("raw").isNotNull()).alias("calls"), F.count_if(~right).alias("failures"),
+        F.coalesce(F.sum("retries"), F.lit(0)).cast("bigint").alias("retries"), F.count_if(right & (said != F.col("judged.overall_pass"))).alias("pass_rule_corrections"),
+    )
+    return found, fresh, stats
+
+
 def missingness(rows: DataFrame, complete: Column, fields: list[str]) -> DataFrame:
     """field, value, complete_rate, missing_rate, points, level: how the rows with and without a complete pair differ."""
     long = rows.withColumn("_done", complete).select("_done", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("_done", "x.*")

@@ -47,6 +47,15 @@ def action_metrics(rows: DataFrame, gold: Column, pred: Column) -> DataFrame:
     return c.select("n", "tp", "fp", "fn", "tn", x(tp, tp + fp).alias("precision"), x(tp, tp + fn).alias("recall"), x(2 * tp, 2 * tp + fp + fn).alias("f1"), x(fp, fp + tn).alias("false_escalation"), x(fn, tp + fn).alias("missed_escalation"), x(fn, fn + tn).alias("unsafe_auto"), x(fn + tn, n).alias("coverage"))
 
 
+def quantiles(rows: DataFrame, columns: list[str], at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """column, quantile, value: linear between neighbours, to six places."""
+    vector = lambda c: F.percentile(c, F.array(*map(F.lit, at)))
+    wide = rows.agg(*(vector(c).alias(c) for c in columns))
+    long = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("values")) for c in columns))).alias("x")
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("quantile"), F.col("x.values").alias("value"))).alias("y")
+    return wide.select(long).select("x.column", each).select("column", "y.quantile", F.round("y.value", 6).alias("value"))
+
+
 def recall_mrr(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Mean recall at k and mean reciprocal rank over queries with relevant items. ``ranked`` has query, item, rank; ``relevant`` query, item."""
     sizes = relevant.groupBy("query").agg(F.count("*").alias("size"))

@@ -192,9 +192,17 @@ def top_k(scored: DataFrame, k: int, group: str = "query", score: str = "similar
 
 
 def capped_templates(docs: DataFrame, template: str, key: str, cap: int) -> DataFrame:
-    """At most ``cap`` rows of each template, by key; with template_frequency."""
-    w = Window.partitionBy(template)
-    return docs.withColumn("template_frequency", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(key))).where(F.col("_rn") <= cap).drop("_rn")
+    """At most ``cap`` rows of each template, by key; with template_frequency. Keys are unique.
+
+    Counts are added up where the rows are, and only a part's first rows of a template are ordered with those of other parts: one very frequent
+    template is no group of one task.
+    """
+    first = lambda rows, *by: rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("_rn") <= cap).drop("_rn")
+    slim = docs.select(key, template).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    kept = first(first(slim, template, "_salt"), template).select(key, F.col(template).alias("_template"))
+    counts = docs.groupBy(F.col(template).alias("_template")).agg(F.count("*").alias("template_frequency"))
+    chosen = written(kept.join(counts, kept["_template"].eqNullSafe(counts["_template"])).select(key, "template_frequency"))
+    return docs.join(chosen, key)
 
 
 def hybrid(pool: DataFrame, weights: dict[str, float], k: int) -> DataFrame:

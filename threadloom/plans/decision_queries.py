@@ -74,8 +74,8 @@ _EVID = f"""{POOL}, {_ASKED}, eb AS (SELECT query, count(*) AS n, count(*) FILTE
  ev AS (SELECT aq.query, round(coalesce(same / n, 0), 6) AS intent_agreement, round(coalesce(modal / n, 1), 6) AS template_concentration, CASE WHEN n IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE array_to_string(list_filter([CASE WHEN confidence < 0.2 THEN 'LOW_INTENT_CONFIDENCE' END, CASE WHEN margin < 0.1 THEN 'AMBIGUOUS_INTENT' END, CASE WHEN score < 0.4 OR sim1 < 0.15 THEN 'INSUFFICIENT_EVIDENCE' END, CASE WHEN same / n < 0.6 THEN 'INTENT_RETRIEVAL_MISMATCH' END, CASE WHEN modal / n > 0.6 THEN 'TEMPLATE_CONCENTRATION' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM aq LEFT JOIN eb ON eb.query = aq.query LEFT JOIN em ON em.query = aq.query)"""
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    cases = _hybrid(spark, d).select("query", "rank", "score", "similarity", (F.col("intent") == "billing").alias("same_intent"), (F.col("doc") % 6).alias("reply"))
+def _evidence(spark: SparkSession, d: str, hybrid: DataFrame) -> DataFrame:
+    cases = hybrid.select("query", "rank", "score", "similarity", (F.col("intent") == "billing").alias("same_intent"), (F.col("doc") % 6).alias("reply"))
     return gates.evidence(cases, {"score": 0.4, "similarity": 0.15, "agreement": 0.6, "concentration": 0.6, "confidence": 0.2, "margin": 0.1}, _asked(spark, d))
 
 
@@ -87,14 +87,14 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 @query("calibrated_gates", f"WITH {POOL}, c AS (SELECT query, (query % 10) / 10.0 AS confidence, (query % 20) / 20.0 AS margin, score, similarity FROM hyb WHERE rank = 1) SELECT round(greatest(least(quantile_cont(confidence, 0.25), 0.9::DOUBLE), 0.1::DOUBLE), 6) AS confidence, round(greatest(least(quantile_cont(margin, 0.25), 0.9::DOUBLE), 0.05::DOUBLE), 6) AS margin, round(greatest(least(quantile_cont(score, 0.75), 0.8::DOUBLE), 0.2::DOUBLE), 6) AS score, round(greatest(least(quantile_cont(similarity, 0.75), 0.8::DOUBLE), 0.1::DOUBLE), 6) AS similarity FROM c")
 def calibrated_gates(spark: SparkSession, d: str) -> DataFrame:
-    cases = _hybrid(spark, d)
+    cases = written(_hybrid(spark, d))
     asked = _asked(spark, d).join(cases.select("query").distinct(), "query", "left_semi")
     return gates.calibrated(asked, cases, {"confidence": (0.25, 0.1, 0.9), "margin": (0.25, 0.05, 0.9), "score": (0.75, 0.2, 0.8), "similarity": (0.75, 0.1, 0.8)})
 
 
 @query("evidence_gate", f"WITH {_EVID} SELECT * FROM ev")
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d).withColumn("reasons", F.array_join("reasons", "|"))
+    return _evidence(spark, d, written(_hybrid(spark, d))).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 MARKERS = {"SECURITY": ["idiot", "stupid"], "PAYMENT": ["tionth", "ungen"], "PII": ["@", "+1 "], "POLICY_SENSITIVE": ["license", "password"]}
@@ -126,12 +126,13 @@ def decision(spark: SparkSession, d: str) -> DataFrame:
     tags = gates.risk_tags(F.col("text"), MARKERS, (F.col("doc_id") % 20) / 20.0)
     risk = docs.select(F.col("doc_id").alias("query"), gates.reasons(tags).alias("risk"))
     past = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("past"))
-    best = _hybrid(spark, d).where("rank = 1").select("query", "doc").join(past, "doc")
+    hybrid = written(_hybrid(spark, d))
+    best = hybrid.where("rank = 1").select("query", "doc").join(past, "doc")
     claim = F.when(F.col("query") % 5 == 0, " we have refunded").otherwise("")
     reply = F.concat(F.substr(F.trim(F.regexp_replace("past", "[^A-Za-z ]", " ")), F.lit(1), F.lit(60)), claim)
     best = best.select("query", reply.alias("reply"), F.array(F.struct(F.col("doc").alias("id"), F.col("past").alias("reply"))).alias("cases"), F.array("doc").alias("used"))
     nothing = F.array().cast(best.schema["cases"].dataType), F.array().cast("array<bigint>")
-    rows = _evidence(spark, d).join(risk, "query").join(best, "query", "left").select("query", "risk", "reasons", F.coalesce("reply", F.lit("")).alias("reply"), F.coalesce("cases", nothing[0]).alias("cases"), F.coalesce("used", nothing[1]).alias("used"))
+    rows = _evidence(spark, d, hybrid).join(risk, "query").join(best, "query", "left").select("query", "risk", "reasons", F.coalesce("reply", F.lit("")).alias("reply"), F.coalesce("cases", nothing[0]).alias("cases"), F.coalesce("used", nothing[1]).alias("used"))
     check = gates.verify(F.col("reply"), F.col("cases"), F.col("used"), F.lit(""), {"unsupported_action": ["we have refunded"]})
     action, why = gates.decide(F.col("risk"), F.col("reasons"), check["codes"])
     return rows.select("query", action.alias("action"), F.array_join(F.sort_array(why), "|").alias("reasons"))

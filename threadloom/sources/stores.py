@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,8 +56,8 @@ class KeyedStore:
     def version(self) -> int:
         try:
             return self._log().agg(F.max("version")).first()[0] or 0
-        except Exception as error:  # the log begins with the first version
-            if "PATH_NOT_FOUND" in str(error):
+        except AnalysisException as error:  # the log begins with the first version
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return 0
             raise
 
@@ -70,8 +71,8 @@ class KeyedStore:
         rows.write.parquet(f"{self.path}/{name}")
         try:
             self.spark.createDataFrame([(new, name)], "version bigint, name string").coalesce(1).write.mode("errorifexists").json(f"{self.path}/log/version={new}")
-        except Exception as error:
-            if "PATH_ALREADY_EXISTS" in str(error):
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_ALREADY_EXISTS":
                 raise RuntimeError(f"version {new} of {self.path} has been written meanwhile; load it and try again") from error
             raise
 
