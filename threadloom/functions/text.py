@@ -218,6 +218,16 @@ def provider_message(text: Column, most: int = 300) -> Column:
     return F.substr(collapse(hidden), F.lit(1), F.lit(most))
 
 
+def daily_quota(text: Column) -> Column:
+    """Whether an error message says that a day's tokens are used up, so that asking again the same day is no use."""
+    return F.coalesce(text.rlike(r"(?i)tokens per day|\bTPD\b"), F.lit(False))
+
+
+def transient_failure(status: Column, text: Column) -> Column:
+    """Whether a rejected request may succeed when repeated: its answer could not be parsed or generated."""
+    return F.coalesce((status == 400) & text.rlike("(?i)parsing failed|failed_generation"), F.lit(False))
+
+
 def retry_seconds(text: Column) -> Column:
     """The wait that an error message asks for, in seconds; null without one."""
     found = F.regexp_extract(text, r"(?i)(?:retry|try again)[a-z ]*(?:after|in)[ :]+([0-9.]+(?:ms|s|m|h)?[0-9.]*s?)", 1)

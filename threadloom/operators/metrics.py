@@ -79,10 +79,11 @@ def agreement(rows: DataFrame, a: str, b: str, weights: str = "quadratic", most_
     """
     power = {"linear": 1, "quadratic": 2}[weights]
     pairs = rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    seen = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("v")))
-    pairs, seen = written(pairs), written(seen)
+    pairs = written(pairs)
+    seen = written(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
     if seen.count() > most_labels:
         raise ValueError(f"more than {most_labels} different ratings")
+    seen = written(seen.withColumn("pos", F.row_number().over(Window.orderBy("v"))))  # at most most_labels rows
     cells = pairs.join(F.broadcast(seen.select(F.col("v").alias("a"), F.col("pos").alias("pa"))), "a").join(F.broadcast(seen.select(F.col("v").alias("b"), F.col("pos").alias("pb"))), "b")
     base = cells.agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("exact"), F.round(F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, F.col("n")).otherwise(0)) / F.sum("n"), 8).alias("within_one"), F.sum(F.col("n") * F.pow(F.abs(F.col("pa") - F.col("pb")), F.lit(power))).alias("seen"))
     ma, mb = cells.groupBy("pa").agg(F.sum("n").alias("na")), cells.groupBy("pb").agg(F.sum("n").alias("nb"))

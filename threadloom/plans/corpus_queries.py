@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as tx
 from threadloom.functions.durable import written
 from threadloom.operators import audits, freeze, gold, judging, metrics, sampling, splits, taxonomy, threads
 from threadloom.plans.core_queries import ACTIONABLE, GENERIC, TAXONOMY
@@ -202,3 +203,17 @@ def cached_judging(spark: SparkSession, d: str) -> DataFrame:
     known = said.where("doc_id % 4 = 0").select("cache_key", "raw", "retries")
     _, new, stats = judging.cached_evaluation(requests, known, said.where("doc_id % 9 <> 4").select("cache_key", "raw", "retries"), ["doc_id", "reply"])
     return stats.join(F.broadcast(new.agg(F.count("*").alias("new_entries"))))  # one row each
+
+
+#: Error messages by the last digit of the id.
+_ERRORS = ["Rate limit reached. Try again in 1.5s", "Limit: tokens per day", "TPD used up, try again in 2m", "tpdx", "Parsing failed.", "failed_generation", "try again in 300ms", "", "server error", "Tokens Per Day: try again in 1h"]
+_SECONDS = [1.5, None, 120.0, None, None, None, 0.3, None, None, 3600.0]
+
+
+@query("provider_errors", f"""WITH x AS (SELECT doc_id, [{', '.join(f"'{e}'" for e in _ERRORS)}][doc_id % 10 + 1] AS said, CASE WHEN doc_id % 3 = 0 THEN 400 ELSE 429 END AS status FROM documents)
+ SELECT doc_id, regexp_matches(lower(said), 'tokens per day|\\btpd\\b') AS daily, status = 400 AND regexp_matches(lower(said), 'parsing failed|failed_generation') AS transient, [{', '.join('NULL' if x is None else f'{x}::DOUBLE' for x in _SECONDS)}][doc_id % 10 + 1] AS wait FROM x""")
+def provider_errors(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, _ERRORS)), (n % 10).cast("int")).alias("said"), F.when(n % 3 == 0, 400).otherwise(429).alias("status"))
+    said = F.col("said")
+    return rows.select("doc_id", tx.daily_quota(said).alias("daily"), tx.transient_failure(F.col("status"), said).alias("transient"), tx.retry_seconds(said).alias("wait"))
