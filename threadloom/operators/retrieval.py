@@ -20,18 +20,17 @@ from threadloom.functions.durable import written
 def term_weights(docs: DataFrame, key: str, terms: Column, idf: DataFrame | None = None, least_docs: int = 1, sublinear: bool = True) -> tuple[DataFrame, DataFrame]:
     """(key, term, w) with unit length per document, and (term, idf). With ``idf`` given, terms outside it are dropped.
 
-    Counts are written once, and a document's terms meet in one row for its length: they are no more than its text.
+    Counts are written once, as they are read for the documents of a term, for lengths and for weights.
     """
     tf = docs.select(F.col(key).alias("key"), F.explode(terms).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    tf = written(tf)
     if idf is None:
-        tf = written(tf)
         n = docs.agg(F.count("*").alias("n"))
         df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_docs)
         idf = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
     raw = tf.join(idf, "term").select("key", "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("raw"))
-    whole = raw.groupBy("key").agg(F.collect_list(F.struct("term", "raw")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x["raw"] * x["raw"]))
-    return whole.select("key", norm.alias("norm"), F.inline("v")).select("key", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
+    norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("w")), idf
 
 
 def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
