@@ -21,12 +21,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Texts go to Python in batches of at most ``rows`` rows and about ``size`` bytes, as executors hold several batches beside
+    their heaps: some for each core, in the JVM and in the Python worker. A smaller number of rows that the session has stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    spark.conf.set(name, rows if own <= 0 else min(own, rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has an identifiable language.
 
     Null texts, empty texts and texts without a letter go. Each row is judged alone, so repeated rows fare alike, and null ids,
     languages and sources stay as they are. Where no language can be learned, every row goes.
     """
+    _small_batches(spark)
     found = langid.identify(docs, langid.train(docs), keep=COLUMNS)
     return found.where(F.col("predicted") != "und").select(COLUMNS)
 
@@ -37,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id are one document, and stay or go together; of those with the same text as well the first by
     language, source and length stays. Rows with a null id, and null and empty texts, resemble nothing and stay.
     """
+    _small_batches(spark)
     found = neardup.near_duplicates(docs, shingle=5, share=80)
     gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
     first = F.min(F.struct("lang", "source", "n_chars")).alias("first")
@@ -47,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of the benchmark. Each row is judged by its own text, whatever its id; null texts have no words
     and stay; with an empty benchmark every row stays."""
+    _small_batches(spark)
     found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=["lang", "source", "n_chars"])
     return found.where("n_hit = 0").select(COLUMNS)
 
@@ -60,6 +72,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of every row; null texts encode as empty ones."""
+    _small_batches(spark)
     # Earlier stages have filled the executors' heaps: fewer states leave room beside them.
     return bpe.round_trip(docs, ranks(), most_states=120_000).select(
         "doc_id",
