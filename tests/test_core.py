@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +266,24 @@ def test_paired_stores_and_configurations(spark, tmp_path):
     (tmp_path / "m.txt").write_text("x")
     made = stores.system_manifest(spark, {"b": 1.0, "a": 0.5}, str(tmp_path / "m.txt"))
     assert list(made["thresholds"]) == ["a", "b"] and made["files"] == {"m.txt": "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"}
+
+
+def test_character_grams_of_a_long_text_take_one_walk(spark):
+    words = " ".join(f"w{n}é" for n in range(25_000))
+    rows = spark.createDataFrame([(words,), ("a😀b\ncd e",), ("abcd",), ("",)], "t string")
+    began = time.time()
+    found = [set(r["g"]) for r in rows.select(tx.char_ngrams(F.col("t")).alias("g")).collect()]
+    assert time.time() - began < 30  # by places it took minutes
+    flat = [words, "a😀b cd e", "abcd", ""]
+    assert found == [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} - {""} for t in flat]
+
+
+def test_counts_by_groups_bound_the_similarity_of_sets(spark):
+    draw = random.Random(1)
+    sets = [(n, [f"g{draw.randrange(60)}" for _ in range(draw.randrange(80))]) for n in range(40)] + [(40, ["x"] * 2), (41, ["x"])]
+    rows = spark.createDataFrame(sets, "id int, g array<string>").select("id", F.array_distinct("g").alias("g"))
+    rows = rows.select("id", "g", F.size("g").alias("n"), splits._counts("g").alias("gc"))
+    side = lambda s: rows.select(*(F.col(c).alias(f"{s}_{c}") for c in rows.columns))
+    got = side("a").join(side("b"), F.col("a_id") <= F.col("b_id")).select("a_id", "b_id", splits._at_most("n", "gc").alias("most"), tx.jaccard(F.col("a_g"), F.col("b_g")).alias("true")).collect()
+    assert len(got) == 42 * 43 // 2 and all(r["most"] >= r["true"] - 1e-12 for r in got)
+    assert any(r["most"] < 0.5 for r in got)
