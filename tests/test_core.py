@@ -287,3 +287,21 @@ def test_counts_by_groups_bound_the_similarity_of_sets(spark):
     got = side("a").join(side("b"), F.col("a_id") <= F.col("b_id")).select("a_id", "b_id", splits._at_most("n", "gc").alias("most"), tx.jaccard(F.col("a_g"), F.col("b_g")).alias("true")).collect()
     assert len(got) == 42 * 43 // 2 and all(r["most"] >= r["true"] - 1e-12 for r in got)
     assert any(r["most"] < 0.5 for r in got)
+
+
+def test_terms_are_counted_within_rows_that_are_dealt_out(spark):
+    from threadloom.functions.durable import spread
+    from threadloom.operators.vocabulary import select_terms
+
+    draw = random.Random(2)
+    said = [[draw.choice("abcdefgh") for _ in range(draw.randrange(12))] for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, w array<string>").coalesce(1)
+    assert spread(rows, "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    got = {r["term"]: r["df"] for r in select_terms(rows, "id", F.col("w"), 5, 2).collect()}
+    tf = {w: sum(s.count(w) for s in said) for w in "abcdefgh"}
+    assert got == {w: sum(w in s for s in said) for w in sorted(tf, key=lambda w: (-tf[w], w))[:5]}
+    rule = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    from threadloom.operators.vocabulary import _marked
+
+    plan = rule(rows.select(F.inline(F.transform(F.array(F.sort_array("w")), _marked)[0])).groupBy("term").agg(F.count("*"), F.count_if("first")))
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.functions.durable import written
+from threadloom.functions.durable import spread, written
 
 
 def topic_quotas(available: dict[str, int], topics: list[str], target: int) -> dict[str, int]:
@@ -66,7 +66,7 @@ class _Case:
 
 def _prepared(candidates: DataFrame) -> DataFrame:
     flats = F.transform("texts", tx.normalize_for_leakage)
-    base = candidates.select("id", "bucket", "topic", "bin", "flags", flats.alias("flats"))
+    base = spread(candidates, "id").select("id", "bucket", "topic", "bin", "flags", flats.alias("flats"))
     return base.withColumns({"tokens": F.transform("flats", tx.token_set), "grams": F.transform("flats", lambda x: tx.char_ngrams(x)), "far": F.lit(1.0), "free": F.lit(True)})
 
 
