@@ -78,9 +78,13 @@ def _meeting(state: DataFrame, chosen: list[_Case], tokens_alike: float, chars_a
     rows = [(c.flats, [sorted(t) for t in c.tokens], [sorted(g) for g in c.grams]) for c in chosen]
     one = F.broadcast(state.sparkSession.createDataFrame([(rows,)], f"chosen {kind}"))
 
+    def alike(a: Column, b: Column, least: float) -> Column:
+        """Sizes are looked at first: sets of very different sizes are not alike."""
+        return (F.least(F.size(a), F.size(b)) >= least * F.greatest(F.size(a), F.size(b))) & (tx.jaccard(a, b) >= least)
+
     def same(other: Column) -> Column:
         parts = F.arrays_zip(F.col("flats").alias("f"), F.col("tokens").alias("t"), F.col("grams").alias("g"), other["flats"].alias("of"), other["tokens"].alias("ot"), other["grams"].alias("og"))
-        return F.exists(parts, lambda p: ((p["f"] != "") & (p["f"] == p["of"])) | (tx.jaccard(p["t"], p["ot"]) >= tokens_alike) | (tx.jaccard(p["g"], p["og"]) >= chars_alike))
+        return F.exists(parts, lambda p: ((p["f"] != "") & (p["f"] == p["of"])) | alike(p["t"], p["ot"], tokens_alike) | alike(p["g"], p["og"], chars_alike))
 
     near = F.array_min(F.transform("chosen", lambda c: 1 - tx.jaccard(F.element_at("tokens", -1), F.element_at(c["tokens"], -1))))
     met = state.join(one).where(~F.exists("chosen", same))  # the chosen are among their own duplicates, or go by id below
