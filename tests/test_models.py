@@ -111,3 +111,28 @@ def test_clusters_of_texts_have_terms_and_members(spark, texts):
     assert {r.cluster for r in terms.collect()} == {r.cluster for r in members.select("cluster").distinct().collect()}
     means = models.distances_to_means(spark.createDataFrame([(1, [0], [1.0]), (2, [1], [1.0]), (3, [], [])], "key int, places array<int>, ws array<double>"), spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "key int, cluster bigint"))
     assert {r.key: round(r.distance, 6) for r in means.collect()} == {1: round(math.sqrt(0.5), 6), 2: round(math.sqrt(0.5), 6), 3: 0.0}
+
+
+def test_a_documents_terms_are_weighed_in_its_own_row(spark):
+    docs = spark.createDataFrame([(1, "red cat red", ["a", "a", "z"]), (2, "dog", []), (3, None, None)], "doc_id int, text string, letters array<string>")
+    words = spark.createDataFrame([("cat", 0, 2.0), ("red", 1, 3.0)], "term string, place int, idf double")
+    letters = spark.createDataFrame([("a", 0, 1.0)], "term string, place int, idf double")
+    rows = vocabulary.packed(docs, "doc_id", [vocabulary.Kind(F.split("text", " "), words, 0.6), vocabulary.Kind(F.col("letters"), letters, 0.4, 2)])
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # no term is shuffled: the documents are dealt out, once
+    a, b = 2.0, 3.0 * (1 + math.log(2))
+    found = {r.key: (r.places, r.ws) for r in rows.collect()}
+    assert found[2] == found[3] == ([], []) and found[1][0] == [0, 1, 2]
+    assert found[1][1] == pytest.approx([0.6 * a / math.hypot(a, b), 0.6 * b / math.hypot(a, b), 0.4])
+    none = spark.createDataFrame([], words.schema)
+    assert [(r.places, r.ws) for r in vocabulary.packed(docs, "doc_id", [vocabulary.Kind(F.col("letters"), none)]).collect()] == [([], [])] * 3
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark):
+    """A batch gives a row for each of its terms, not for each time one occurs."""
+    import pyarrow as pa
+
+    lists = pa.array([["b", "a", "b"], None, [], ["a", None], ["a"]], pa.list_(pa.string()))
+    (out,) = vocabulary._counted(iter([pa.RecordBatch.from_arrays([lists], ["terms"])]))
+    assert {r["term"]: (r["tf"], r["df"]) for r in out.to_pylist()} == {"a": (3, 3), "b": (2, 1)}
+    (none,) = vocabulary._counted(iter([pa.RecordBatch.from_arrays([lists.slice(1, 2)], ["terms"])]))
+    assert none.num_rows == 0
