@@ -73,8 +73,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of every row; null texts encode as empty ones."""
     _small_batches(spark)
-    # Earlier stages have filled the executors' heaps: fewer states leave room beside them.
-    return bpe.round_trip(docs, ranks(), most_states=120_000).select(
+    # Earlier stages have filled the executors' heaps: fewer states and runs leave room beside them.
+    return bpe.round_trip(docs, ranks(), most_states=60_000, most_runs=150_000).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

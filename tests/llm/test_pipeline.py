@@ -27,3 +27,21 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     ids = library.encode_ordinary(text)
     assert found[55].n_tokens == len(ids) and found[55].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert found[55].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_idle_workers_let_go_of_what_they_hold():
+    """An idle worker's automaton or states would stay in memory beside stages that need no Python."""
+    import time
+
+    from threadloom.llm import common
+
+    made = []
+    thing = lambda: common.held("thing", lambda: made.append(1) or object())
+    first = thing()
+    common.drop_held_later(0.05)
+    assert thing() is first  # a task that follows at once finds it
+    time.sleep(0.2)
+    assert thing() is first and len(made) == 1  # and keeps it, however long it takes
+    common.drop_held_later(0.05)
+    time.sleep(0.3)
+    assert not common._held and thing() is not first

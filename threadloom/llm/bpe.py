@@ -314,15 +314,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id",
     return map_rows(frame, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, ids binary, text string", run)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, doc_id: str = "doc_id", text: str = "text", most_states: int = 400_000) -> DataFrame:
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, doc_id: str = "doc_id", text: str = "text", most_states: int = 400_000, most_runs: int = 300_000) -> DataFrame:
     """What ``decode(encode(docs))`` gives, in one pass, so that a core holds one Python worker instead of two.
 
-    A worker keeps at most ``most_states`` states of the transducer, about a kilobyte each with their arcs; fewer give the same ids, later.
+    A worker keeps at most ``most_states`` states of the transducer, about a kilobyte each with their arcs, and the ids of
+    ``most_runs`` runs, about 200 bytes each; fewer give the same ids, later.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), f"both {uuid.uuid4().hex}"
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:
-        encoder, decoder = held(key, lambda: (Encoder(shared.value, pattern, most_states=most_states), Decoder(shared.value)))
+        encoder, decoder = held(key, lambda: (Encoder(shared.value, pattern, most_runs, most_states=most_states), Decoder(shared.value)))
         ids = [encoder.encode(t.as_py()) for t in batch.column(1)]
         return {"doc_id": batch.column(0), "ids": ids, "text": [decoder.decode(x) for x in ids]}
 
