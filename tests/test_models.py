@@ -136,3 +136,23 @@ def test_terms_are_counted_before_they_are_shuffled(spark):
     assert {r["term"]: (r["tf"], r["df"]) for r in out.to_pylist()} == {"a": (3, 3), "b": (2, 1)}
     (none,) = vocabulary._counted(iter([pa.RecordBatch.from_arrays([lists.slice(1, 2)], ["terms"])]))
     assert none.num_rows == 0
+
+
+def test_vectors_are_a_table_that_no_python_makes(spark):
+    rows = spark.createDataFrame([(1, [0, 3], [1.0, 2.0]), (2, [], [])], "key int, places array<int>, ws array<double>")
+    out = vocabulary.as_vectors(rows, 5)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {r.key: r.features for r in out.collect()}
+    assert found[1].toArray().tolist() == [1, 0, 0, 2, 0] and found[2].toArray().tolist() == [0] * 5
+
+
+def test_character_terms_are_counted_by_word_as_in_whole_texts(spark):
+    from threadloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red red  a bär"), (2, "read 𝒳𝒴"), (3, ""), (4, None)], "doc_id int, text string")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    counted = lambda terms, **more: {tuple(r) for r in vocabulary.select_terms(docs, "doc_id", terms, 1000, **more).select("term", "place", "df", "idf").collect()}
+    assert counted(words, sizes=(3, 4, 5)) == counted(retrieval.char_terms(F.col("text"))) != set()
+    chosen = vocabulary.select_terms(docs, "doc_id", words, 8, sizes=(3, 4))
+    by_word, whole = (vocabulary.packed(docs, "doc_id", [k]).orderBy("key").collect() for k in (vocabulary.Kind(words, chosen, sizes=(3, 4)), vocabulary.Kind(retrieval.char_terms(F.col("text"), (3, 4)), chosen)))
+    assert [r.places for r in by_word] == [r.places for r in whole] and all(a.ws == pytest.approx(b.ws) for a, b in zip(by_word, whole))
