@@ -274,3 +274,19 @@ def test_the_shared_folder_is_no_local_disk_of_a_cluster():
     from threadloom.functions.durable import shared
 
     assert shared("/x/warehouse", "local[8]") and shared("hdfs://n/x", "yarn") and not shared("file:/x", "yarn") and not shared("/x", "spark://h:1")
+
+
+def test_pairs_that_differ_too_much_are_settled_where_they_meet(spark):
+    """Parities reject pairs whose sets are too far apart, and never one that is alike; tokens alone may be what is alike."""
+    rng = random.Random(11)
+    bags = {0: {f"w{i}" for i in range(200)}, 1: {f"w{i}" for i in range(5, 203)}, 2: {f"v{i}" for i in range(200)}, 3: {f"w{i}" for i in range(40, 240)}}
+    for i in range(4, 60):
+        size, moved = rng.choice([1, 7, 180, 200]), rng.choice([0, 1, 6, 9, 30])
+        bags[i] = {f"w{j}" for j in range(moved, size + moved)}
+    sets = {i: (t, {f"{x}{k}" for x in t for k in range(4 if i % 5 else 3)}) for i, t in bags.items()}
+    rows = spark.createDataFrame([(i, list(RANK)[i % 3], "X", sorted(t), sorted(g), "h") for i, (t, g) in sets.items()], "id bigint, split string, kind string, tokens array<string>, grams array<string>, h string")
+    member = rows.select("*", F.size("tokens").alias("t"), F.size("grams").alias("n"), splits._parity("tokens", 256).alias("tp"), splits._parity("grams", 1024).alias("np"))
+    found = {(r.a, r.b) for r in splits.proposed(member, 0.9, 0.92).collect()}
+    alike = {(a, b) for a, b in combinations(sets, 2) if a % 3 != b % 3 and (jaccard(sets[a][0], sets[b][0]) >= 0.9 or jaccard(sets[a][1], sets[b][1]) >= 0.92)}
+    assert alike <= found and (0, 1) in found and len(alike) > 20
+    assert not {(0, 2), (1, 2), (1, 3), (2, 3)} & found
