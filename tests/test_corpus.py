@@ -290,3 +290,27 @@ def test_pairs_that_differ_too_much_are_settled_where_they_meet(spark):
     alike = {(a, b) for a, b in combinations(sets, 2) if a % 3 != b % 3 and (jaccard(sets[a][0], sets[b][0]) >= 0.9 or jaccard(sets[a][1], sets[b][1]) >= 0.92)}
     assert alike <= found and (0, 1) in found and len(alike) > 20
     assert not {(0, 2), (1, 2), (1, 3), (2, 3)} & found
+
+
+@pytest.mark.parametrize("most", [0, 3, 40, 10**6])
+def test_weights_are_the_same_however_many_terms_are_sent_out(spark, most):
+    """Frequent terms are weighed in a document's own row, the others are joined; lengths have all terms, also those that nobody asked for."""
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(900)]
+    docs = {k: rng.sample(words, rng.choice([0, 1, 9, 30])) for k in range(60)}
+    rows = [(k, " ".join(w)) for k, w in docs.items()] + [(7, "w1 w2 w2"), (60, None), (None, "w1 w3 w1")]
+    docs[7], docs[None] = docs[7] + ["w1", "w2", "w2"], ["w1", "w3", "w1"]
+    frame = spark.createDataFrame(rows, "id bigint, text string")
+    bags = retrieval.counted(frame, "id", F.filter(F.split("text", " "), lambda w: w != ""))
+    idf = retrieval.inverse_frequency(bags, frame, 2)
+    df = {w: sum(w in own for own in docs.values()) for own in docs.values() for w in own}
+    want = {}
+    for k, own in docs.items():
+        raw = {w: (1 + math.log(own.count(w))) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w in own if df[w] >= 2}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        want |= {(k, w): x / norm for w, x in raw.items()}
+    found = {(r.key, r.term): r.w for r in retrieval.weighted(bags, idf, most=most).collect()}
+    assert found == pytest.approx(want, abs=1e-12) and len(want) > 200
+    asked = spark.createDataFrame([("w1",), ("w3",), ("w40",), ("w1",), ("never",)], "term string")
+    found = {(r.key, r.term): r.w for r in retrieval.weighted(bags, idf, only=asked, most=most).collect()}
+    assert found == pytest.approx({k: x for k, x in want.items() if k[1] in ("w1", "w3", "w40")}, abs=1e-12)
