@@ -314,3 +314,10 @@ def test_weights_are_the_same_however_many_terms_are_sent_out(spark, most):
     asked = spark.createDataFrame([("w1",), ("w3",), ("w40",), ("w1",), ("never",)], "term string")
     found = {(r.key, r.term): r.w for r in retrieval.weighted(bags, idf, only=asked, most=most).collect()}
     assert found == pytest.approx({k: x for k, x in want.items() if k[1] in ("w1", "w3", "w40")}, abs=1e-12)
+
+
+def test_roots_send_no_table_of_ids_around(spark):
+    from threadloom.operators import threads
+
+    found = threads.roots(spark.createDataFrame([(str(k), str(k - 1) if k else None) for k in range(9)], "message_id string, parent_id string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and {r.root for r in found.collect()} == {"0"}
