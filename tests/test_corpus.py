@@ -316,6 +316,18 @@ def test_weights_are_the_same_however_many_terms_are_sent_out(spark, most):
     assert found == pytest.approx({k: x for k, x in want.items() if k[1] in ("w1", "w3", "w40")}, abs=1e-12)
 
 
+def test_vectors_are_met_a_few_at_a_time_and_only_the_best_are_passed_on(spark):
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, size=(80, 3)).astype(float) + 0.5
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(80, [float("nan"), 1.0, 1.0])], "doc int, v array<double>").repartition(3)
+    asked = frame.where("doc % 9 = 0").select(F.col("doc").alias("query"), F.col("v").alias("q"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    # What is no number comes first, as it does in SQL; equal ones come by document.
+    want = {(i, j, k + 1) for i in range(0, 80, 9) for k, j in enumerate([80, *sorted((j for j in range(80) if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 6), j))][:5])}
+    for rows in (1, 7, 256):
+        assert {(r.query, r.doc, r["rank"]) for r in retrieval.vector_top_k(asked, frame, 5, block=4, rows=rows).collect()} == want
+
+
 def test_roots_send_no_table_of_ids_around(spark):
     from threadloom.operators import threads
 
