@@ -316,6 +316,20 @@ def test_weights_are_the_same_however_many_terms_are_sent_out(spark, most):
     assert found == pytest.approx({k: x for k, x in want.items() if k[1] in ("w1", "w3", "w40")}, abs=1e-12)
 
 
+def test_a_task_keeps_the_best_sets_whatever_the_parts(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs = {i: rng.sample(words, rng.choice([0, 1, 8, 20])) for i in range(90)} | {90: words[:1] + [f"v{i}" for i in range(511)]}
+    items = {f"q{i}": rng.sample(words, rng.choice([0, 2, 9])) for i in range(20)} | {"one": words[:1]}
+    frame = lambda x, c, t: spark.createDataFrame([*x.items(), (None if t == "string" else -1, None)], f"{c} {t}, ts array<string>")
+    half = lambda a, b: math.floor(jaccard(set(a), set(b)) * 10**8 + 0.5) / 10**8
+    want = {(q, d, s) for q, own in items.items() for s, d in [(-s, d) for s, d in sorted((-half(own, t), d) for d, t in docs.items() if set(own) & set(t))[:3]]}
+    for entries in (10, 10**6):
+        assert {(r.query, r.doc, r.similarity) for r in retrieval.set_top_k(frame(items, "query", "string"), frame(docs, "doc", "bigint").repartition(5), 3, entries).collect()} == want
+    alone = retrieval.set_top_k(frame({"one": words[:1]}, "query", "string"), frame({90: docs[90]}, "doc", "bigint"), 3).collect()
+    assert [r.similarity for r in alone] == [0.00195313] and "similarity#" in retrieval.set_top_k(frame({}, "query", "string"), frame(docs, "doc", "bigint"), 3)._jdf.queryExecution().toString()
+
+
 def test_vectors_are_met_a_few_at_a_time_and_only_the_best_are_passed_on(spark):
     rng = np.random.default_rng(9)
     v = rng.integers(-2, 3, size=(80, 3)).astype(float) + 0.5

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.functions.durable import written
+from threadloom.functions.durable import spread, written
 from threadloom.operators import compare, contracts, gates, judging, models, retrieval, taxonomy
 from threadloom.plans.core_queries import GENERIC, INTENTS, TAXONOMY
 from threadloom.plans.evaluation_queries import _PAIR, digest_sql
@@ -270,11 +270,9 @@ _BENCHMARK_SQL = f"""WITH dd AS (SELECT doc_id, list_distinct({_TOK.format(LEAK.
 @query("benchmark_similarity", _BENCHMARK_SQL)
 def benchmark_similarity(spark: SparkSession, d: str) -> DataFrame:
     bag = lambda c: tx.token_set(tx.normalize_for_leakage(F.col(c)))
-    x = table(spark, d, "documents").select("doc_id", bag("text").alias("t"))
-    y = table(spark, d, "benchmark").select("item_id", bag("text").alias("u"))
-    same = x.select("doc_id", F.size("t").alias("nt"), F.explode("t").alias("w")).join(y.select("item_id", F.size("u").alias("nu"), F.explode("u").alias("w")), "w")
-    scored = same.groupBy("doc_id", "item_id", "nt", "nu").agg(F.count("*").alias("same")).select("item_id", "doc_id", F.round(F.col("same") / (F.col("nt") + F.col("nu") - F.col("same")), 8).alias("similarity"))
-    return retrieval.top_k(scored, 3, group="item_id", tie="doc_id").select("item_id", "doc_id", "similarity")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("doc"), bag("text").alias("ts"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), bag("text").alias("ts"))
+    return retrieval.set_top_k(items, docs, 3).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "similarity")
 
 
 # A fitted model has no SQL; tests hold it against a dense fit.
