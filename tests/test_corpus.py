@@ -149,6 +149,20 @@ def test_quotas_and_an_exhausted_quota(spark):
         freeze.freeze(same, ["x"], {"A": 2}, "s")
 
 
+def test_passes_of_the_freeze_write_nothing(spark, monkeypatch):
+    """Candidates are written once, without their n-grams; copies and near copies, also of other tokens, are met by every pass."""
+    rng = random.Random(8)
+    pool = [say(rng, 30) for _ in range(12)]
+    texts = [t for t in pool for _ in range(9)] + [t.replace(" ", "") for t in pool] + [t.replace(" ", "", 1) for t in pool] + [""]
+    items = [{"id": i, "bucket": "A", "topic": "x", "bin": i % 5, "flags": rng.sample(["p", "q"], rng.randrange(3)), "texts": [text]} for i, text in enumerate(texts)]
+    frame = spark.createDataFrame([tuple(x.values()) for x in items], "id bigint, bucket string, topic string, bin int, flags array<string>, texts array<string>")
+    tables, write = [], freeze.written
+    monkeypatch.setattr(freeze, "written", lambda df: tables.append(df) or write(df))
+    found = freeze.freeze(frame, ["x"], {"A": 14}, "s", heap=4).orderBy("position").collect()
+    assert [tuple(r) for r in found] == freeze_plain(items, ["x"], {"A": 14}, "s", 0.9, 0.92)
+    assert len(tables) == 1 and "grams" not in tables[0].columns
+
+
 def test_freeze_of_a_whole_table(spark):
     found = registry.QUERIES["freeze_rows"](spark, "/root/testdata/sf0.001").collect()
     assert Counter(r.bucket for r in found) == {"REPRESENTATIVE": 24, "CHALLENGE": 12} and len({r.id for r in found}) == 36
