@@ -186,6 +186,28 @@ def test_top_k_by_blocks_equals_all_sums(spark):
     assert retrieval.top_by_weights(frame({}, "string"), frame(docs, "bigint"), 4).count() == 0 and retrieval.top_by_weights(frame(asked, "string"), frame({}, "bigint"), 4).count() == 0
 
 
+def test_products_of_matrices_equal_all_sums(spark, monkeypatch):
+    """Terms that many queries have and rare ones, of two kinds, in several parts; equal sums go by document, and queries without any term in common have none."""
+    monkeypatch.setattr(retrieval, "_COMMON", 0.3)
+    rng = random.Random(19)
+    words = [f"{kind}:{k}" for kind in "wc" for k in range(30)]
+    vector = lambda n: {w: rng.random() for w in rng.sample(words, n) + ["w:all"]}
+    asked, docs = {f"q{k}": vector(rng.randint(2, 20)) for k in range(25)}, {k: vector(rng.randint(1, 25)) for k in range(300)}
+    docs |= {k: dict(docs[k - 300]) for k in range(300, 340)}  # ties
+    asked["alone"], docs[999] = {"w:nowhere": 1.0}, {"c:elsewhere": 1.0}
+    frame = lambda rows, kind: spark.createDataFrame([(k, t, w) for k, v in rows.items() for t, w in v.items()], f"key {kind}, term string, w double")
+    found = defaultdict(list)
+    for r in retrieval.top_by_products(frame(asked, "string"), frame(docs, "bigint"), 4, ("w:", "c:"), entries=90, rows=16).orderBy("query", "rank").collect():
+        found[r["query"]].append((r.doc, r.similarity))
+        for kind in ("w:", "c:"):
+            assert abs(r[kind] - sum(w * docs[r.doc].get(t, 0) for t, w in asked[r["query"]].items() if t.startswith(kind))) < 1e-12
+    for q, v in asked.items():
+        every = sorted((-round(sum(w * own.get(t, 0) for t, w in v.items()), 6), d) for d, own in docs.items() if set(v) & set(own))
+        assert found[q] == [(d, -s) for s, d in every[:4]]
+    assert retrieval.top_by_products(frame({}, "string"), frame(docs, "bigint"), 4).count() == 0 and retrieval.top_by_products(frame(asked, "string"), frame({}, "bigint"), 4).columns == ["query", "doc", "similarity", "rank"]
+    assert retrieval.top_by_products(frame(asked, "string"), frame({}, "bigint"), 4).count() == 0
+
+
 def test_few_pairs_are_scored(spark):
     """Items against all documents: most pairs are not added up to the end. The share falls as tables grow: blocks of a task know a k-th best."""
     d = "/root/testdata/sf0.01"
