@@ -186,6 +186,29 @@ def test_top_k_by_blocks_equals_all_sums(spark):
     assert retrieval.top_by_weights(frame({}, "string"), frame(docs, "bigint"), 4).count() == 0 and retrieval.top_by_weights(frame(asked, "string"), frame({}, "bigint"), 4).count() == 0
 
 
+def test_similar_sets_have_a_group_in_common(spark):
+    """Of any size, also where the sizes' classes differ; and one value that all documents have proposes no pairs."""
+    rng = random.Random(3)
+    rows = []
+    for n in [*range(1, 60), 97, 211, 600]:
+        own = [rng.getrandbits(63) for _ in range(n)]
+        for t in (0.9, 0.92):
+            m = int(n * t + 1 - 1e-9)  # as small as it may be
+            rows += [(len(rows), own, t), (len(rows) + 1, own[:m], t)]
+            d = int((1 - t) / (1 + t) * 2 * n + 1e-9) // 2
+            rows += [(len(rows), own, t), (len(rows) + 1, own[d:] + [rng.getrandbits(63) for _ in range(d)], t)]
+    frame = spark.createDataFrame(rows, "id int, v array<bigint>, t double")
+    found = set()
+    for t in (0.9, 0.92):
+        base = frame.where(F.col("t") == t).select("id", F.when(F.col("id") % 2 == 0, "TRAIN").otherwise("GOLD").alias("split"), splits._group_keys(F.col("v"), t).alias("keys"))
+        found |= {tuple(r) for r in splits._meetings(base).collect()}
+    assert {(k, k + 1) for k in range(0, len(rows), 2)} <= found
+    texts = [" ".join(say(rng, 40).split()) for _ in range(40)]
+    docs = spark.createDataFrame([(k, ("TRAIN", "GOLD")[k % 2], "the same words begin " + x) for k, x in enumerate(texts)], "id int, split string, text string")
+    base = docs.select("id", "split", splits._group_keys(splits._hashed(tx.char_ngrams(F.col("text"))), 0.92).alias("keys"))
+    assert splits._meetings(base).count() < 20
+
+
 def test_products_of_matrices_equal_all_sums(spark, monkeypatch):
     """Terms that many queries have and rare ones, of two kinds, in several parts; equal sums go by document, and queries without any term in common have none."""
     monkeypatch.setattr(retrieval, "_COMMON", 0.3)
