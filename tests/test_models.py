@@ -75,6 +75,22 @@ def test_the_classifier_equals_a_dense_fit(spark, texts):
     assert [a.name for a in one.alternatives][0] == one.intent and one.margin == pytest.approx(one.alternatives[0].score - one.alternatives[1].score, abs=2e-6)
 
 
+def test_only_vectors_of_the_fit_are_written(spark, texts, monkeypatch):
+    """And they meet their labels without a shuffle; probabilities are those of the fitted model."""
+    docs = spark.createDataFrame([*texts, (1000, None, "en"), (1001, "unknown", None)], "doc_id int, text string, lang string")
+    seen, fits, write, fit = [], [], models.as_vectors, models.LogisticRegression.fit
+    monkeypatch.setattr(models, "as_vectors", lambda df, size: seen.append(df) or write(df, size))
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, df: fits.append(fit(self, df)) or fits[-1])
+    features = models.Features(most_words=40, most_chars=60)
+    found = {r.doc_id: r.probabilities for r in models.classify(docs.where("doc_id < 100"), docs, "lang", features=features, rounds=5).collect()}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
+    rows, size = features.rows(docs, "doc_id", "text", features.vocabularies(docs.where("doc_id < 100"), "doc_id", "text"))
+    known = fits[0].transform(write(rows, size)).collect()
+    assert len(found) == len(known) == 152 and all(found[r.key] == pytest.approx(list(r.probability), abs=1e-12) for r in known)
+    assert models._probabilities(rows, np.zeros((2, size)), np.array([np.inf, 0.0])).first().p == [1.0, 0.0]
+
+
 def test_clusters_equal_plain_k_means_from_ten_starts(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.6, (40, 5)) for c in (0, 2, 4)]).round(3)
